@@ -95,23 +95,30 @@ def add_score_columns(df: DataFrame, prob: str = "ai_delay_prob") -> DataFrame:
             .withColumn("risk_rank", risk_rank(F.col("risk_status"))))
 
 
-_TABLES: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def build_features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
-    """Materialised form of ``features``: the engineered frame is written once (so the
-    windows run once), then the drop + encoding, written again as the feature table."""
+def build_features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore") -> dict[str, DataFrame]:
+    """Materialised stages of ``features``: per-row stage (all rows), engineered
+    (with history, all rows), and the feature table (complete rows, encoded). Each
+    stage is written once, so the windows run once and later stages read files."""
     rows = materialize(per_row_stage(raw, anomaly), "rows")
-    complete = materialize(C.drop_incomplete(history_features(rows, chunked=chunked)), "complete")
-    return materialize(C.label_encode(complete, ENCODED_COLS), "features")
+    eng = materialize(history_features(rows, chunked=chunked), "engineered")
+    feats = materialize(C.label_encode(C.drop_incomplete(eng), ENCODED_COLS), "features")
+    return {"rows": rows, "engineered": eng, "features": feats}
 
 
-def load_features(spark: SparkSession, sf_dir: str, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
-    """Feature table for ``sf_dir``, built once per session and reused by every query."""
+def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool = True,
+               anomaly: str = "zscore") -> DataFrame:
+    """A materialised stage for ``sf_dir``, built once per session and reused by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, chunked, anomaly)
     if key not in _TABLES:
         _TABLES[key] = build_features(shipments(spark, sf_dir), chunked, anomaly)
-    return _TABLES[key]
+    return _TABLES[key][stage]
+
+
+def load_features(spark: SparkSession, sf_dir: str, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
+    return load_stage(spark, sf_dir, "features", chunked, anomaly)
 
 
 def load_scored(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
