@@ -18,10 +18,19 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def canonical(c: Column) -> Column:
+    """Round to 9 places: values that differ only in the last bits become one double."""
+    return F.rint(c * 1e9) / 1e9
+
+
 def round_half_even(c: Column, places: int) -> Column:
-    """numpy-style ``round(x, places)``: ``rint(x * 10^p) / 10^p``."""
+    """numpy-style ``round(x, places)`` (``rint(x * 10^p) / 10^p``), applied to the
+    9-place canonical value so that exact decimal ties round the same way whatever
+    the summation order that produced ``x``."""
     scale = float(10 ** places)
-    return F.rint(c * scale) / scale
+    if places >= 9:
+        return F.rint(c * scale) / scale
+    return F.rint(canonical(c) * scale) / scale
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:

@@ -287,9 +287,14 @@ def route_heatmap(scored: DataFrame, ports: Sequence[str] | None = None) -> Data
             .orderBy("origin_port"))
 
 
+def _canon(c: Column) -> Column:
+    """Round to 9 places first, so text does not depend on last-bit differences."""
+    return F.rint(c * 1e9) / 1e9
+
+
 def _pct2(c: Column) -> Column:
     """Value as a percent rounded half-even to 2 places (printed with %.2f)."""
-    return F.rint(c * 10000) / 100
+    return F.rint(_canon(c) * 10000) / 100
 
 
 def port_risk_context(feats: DataFrame) -> DataFrame:
@@ -300,7 +305,7 @@ def port_risk_context(feats: DataFrame) -> DataFrame:
         F.avg("is_delayed").alias("delay_rate"), F.avg("weather_severity_score").alias("weather_severity"),
         F.count(F.lit(1)).alias("records"))
     text = F.format_string("Delay Rate: %.2f%%\nWeather Severity: %.2f\nRecords: %d",
-                           _pct2(F.col("delay_rate")), F.rint(F.col("weather_severity") * 100) / 100,
+                           _pct2(F.col("delay_rate")), F.rint(_canon(F.col("weather_severity")) * 100) / 100,
                            F.col("records"))
     ports = port_dim(feats.sparkSession).select("port")
     j = ports.join(per, "port", "full")
@@ -314,7 +319,7 @@ def route_history_context(feats: DataFrame) -> DataFrame:
         F.avg("is_delayed").alias("delay_rate"), F.avg("delay_minutes").alias("avg_delay_minutes"),
         F.count(F.lit(1)).alias("shipments"))
     text = F.format_string("Historical Delay Rate: %.2f%%\nAverage Delay: %.1f minutes\nShipments: %d",
-                           _pct2(F.col("delay_rate")), F.rint(F.col("avg_delay_minutes") * 10) / 10,
+                           _pct2(F.col("delay_rate")), F.rint(_canon(F.col("avg_delay_minutes")) * 10) / 10,
                            F.col("shipments"))
     return per.withColumn("route_history", text)
 

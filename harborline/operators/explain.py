@@ -59,9 +59,14 @@ def explain_contributions(scored: DataFrame, imp: DataFrame, names: Sequence[str
     return e.select(*cols)
 
 
+def _canon(c: Column) -> Column:
+    """Round to 9 places first, so text does not depend on last-bit differences."""
+    return F.rint(c * 1e9) / 1e9
+
+
 def _fmt_round(c: Column, places: int) -> Column:
     s = float(10 ** places)
-    return F.rint(c * s) / s
+    return F.rint(_canon(c) * s) / s
 
 
 def reroute_advice(scored: DataFrame, contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -76,7 +81,7 @@ def reroute_advice(scored: DataFrame, contributions: DataFrame, threshold: float
         .when(has("strike", "labor"), F.format_string("→ Strike disruption level %d detected at origin.",
                                                       F.col("strike_alert_level").cast("int")))
         .when(has("cong", "berth", "vessel"), F.format_string("→ Port congestion %.0f%% at %s.",
-                                                              F.rint(F.col("port_congestion_index")),
+                                                              F.rint(_canon(F.col("port_congestion_index"))),
                                                               F.col("origin_port")))
         .when(has("weather", "wave", "wind"), F.format_string("→ Weather severity score: %.2f.",
                                                               _fmt_round(F.col("weather_severity_score"), 2)))
@@ -84,7 +89,7 @@ def reroute_advice(scored: DataFrame, contributions: DataFrame, threshold: float
                                                        _fmt_round(F.col("geopolitical_risk_index"), 3)))
         .when(has("hist", "delay_lag"), F.format_string("→ Historical delay rate at %s: %.1f%%.",
                                                         F.col("origin_port"),
-                                                        _fmt_round(F.col("orig_delay_hist") * 100, 1)))
+                                                        F.rint(_canon(F.col("orig_delay_hist")) * 100 * 10) / 10))
         .otherwise(F.lit("→ Multi-factor risk elevation. Recommend full route review.")))
     action = (
         F.when(has("transit_delay"), F.lit("Action: Switch to express carrier or expedited air freight."))
@@ -108,7 +113,7 @@ def _any(c: Column, frags: Sequence[str]) -> Column:
 def risk_narrative(scored: DataFrame) -> DataFrame:
     """Three texts by probability band."""
     p = F.col("ai_delay_prob")
-    low = F.format_string(NARRATIVE_LOW_FMT.replace("{pct}", "%.0f").replace("%.0f%", "%.0f%%"), F.rint(p * 100))
+    low = F.format_string(NARRATIVE_LOW_FMT.replace("{pct}", "%.0f").replace("%.0f%", "%.0f%%"), F.rint(_canon(p) * 100))
     text = F.when(p > 0.75, F.lit(NARRATIVE_CRITICAL)).when(p > 0.5, F.lit(NARRATIVE_HIGH)).otherwise(low)
     return scored.select("shipment_id", text.alias("narrative"))
 

@@ -144,7 +144,7 @@ sp AS (SELECT features.*, greatest(0e0, least(1e0, route_risk_score / (mx_rrs +
        FROM features CROSS JOIN mxr),
 scored AS (
   SELECT *,
-    round_even(ai_delay_prob * 100 * 10e0, 0) / 10e0 AS ai_risk_score,
+    round_even((round_even(ai_delay_prob * 100 * 1000000000e0, 0) / 1000000000e0) * 10e0, 0) / 10e0 AS ai_risk_score,
     CAST(ai_delay_prob > 6e-1 AS INTEGER) AS ai_rerouted,
     CASE WHEN ai_delay_prob > -1e-3 AND ai_delay_prob <= 3e-1 THEN 'LOW'
          WHEN ai_delay_prob > 3e-1 AND ai_delay_prob <= 5e-1 THEN 'MEDIUM'

@@ -2,7 +2,7 @@
 
 Every query reads the driver's parquet tables (through the materialised feature
 stages, which Spark derives from them) and runs over whole tables. Double
-columns are rounded half-even to 9 places on output (``round_doubles``), the
+columns are rounded half-even to 6 places on output (``round_doubles``), the
 same rule the DuckDB twins apply.
 """
 
