@@ -23,7 +23,8 @@ def clean_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
     """Parse strings to TIMESTAMP_NTZ; typed timestamps pass through."""
     dtype = df.schema[col].dataType
     if isinstance(dtype, T.StringType):
-        return df.withColumn(col, F.to_timestamp_ntz(F.col(col)))
+        # try_ form: an unparseable string becomes null (dropped later) instead of failing the job
+        return df.withColumn(col, F.try_to_timestamp(F.col(col)).cast("timestamp_ntz"))
     if isinstance(dtype, T.TimestampType):
         return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
     return df
@@ -133,23 +134,52 @@ def standardize(df: DataFrame, cols: Sequence[str] = ANOMALY_FEATURES, suffix: s
     return out.select(*df.columns, *zs)
 
 
+COMPLETE = "__complete"
+
+
 def drop_incomplete(df: DataFrame) -> DataFrame:
     """Drop rows with a null (or NaN) in any column."""
     return df.na.drop("any")
 
 
-def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
-    """Sorted distinct strings -> 0..k-1 (alphabetAsc).
+def with_complete_flag(df: DataFrame) -> DataFrame:
+    """P14 as a stored flag: true when no column is null or NaN. Written once with the
+    engineered table, so readers filter on one column instead of testing them all."""
+    conds = []
+    for f in df.schema.fields:
+        c = F.col(f.name).isNotNull()
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c & ~F.isnan(f.name)
+        conds.append(c)
+    flag = conds[0]
+    for c in conds[1:]:
+        flag = flag & c
+    return df.withColumn(COMPLETE, flag)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
 
-    The dictionary is a distinct aggregate over the (categorical) column; it is
-    joined back without a hint so AQE can broadcast it after checking its size.
-    """
+def encoding_dictionary(df: DataFrame, c: str) -> DataFrame:
+    """P15 dictionary: sorted distinct strings of ``c`` -> 0..k-1 (alphabetAsc). The
+    rank runs over the distinct values only (the categorical domain), not the rows."""
+    return (df.select(c).distinct()
+            .select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_enc")))
+
+
+def encode_with(df: DataFrame, dicts: dict[str, DataFrame], sizes: dict[str, int] | None = None) -> DataFrame:
+    """Join the dictionaries; broadcast a dictionary only when its row count is known
+    and below ``BROADCAST_MAX_ROWS`` (otherwise a regular join, AQE decides)."""
     out = df
-    for c in cols:
-        codes = (df.select(c).distinct()
-                 .select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_enc")))
-        out = out.join(codes, c, "left")
-    return out.select(*df.columns, *[f"{c}_enc" for c in cols])
+    for c, d in dicts.items():
+        small = sizes is not None and sizes.get(c, BROADCAST_MAX_ROWS + 1) <= BROADCAST_MAX_ROWS
+        out = out.join(F.broadcast(d) if small else d, c, "left")
+    return out.select(*df.columns, *[f"{c}_enc" for c in dicts])
+
+
+def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
+    """Encode ``cols`` with dictionaries fitted on ``df`` itself."""
+    return encode_with(df, {c: encoding_dictionary(df, c) for c in cols})
 
 
 def feature_list(columns: Sequence[str]) -> list[str]:

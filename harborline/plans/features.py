@@ -103,9 +103,15 @@ def build_features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore"
     (with history, all rows), and the feature table (complete rows, encoded). Each
     stage is written once, so the windows run once and later stages read files."""
     rows = materialize(per_row_stage(raw, anomaly), "rows")
-    eng = materialize(history_features(rows, chunked=chunked), "engineered")
-    feats = materialize(C.label_encode(C.drop_incomplete(eng), ENCODED_COLS), "features")
-    return {"rows": rows, "engineered": eng, "features": feats}
+    hist = history_features(rows, chunked=chunked)
+    eng = materialize(C.with_complete_flag(hist), "engineered")
+    complete = eng.where(F.col(C.COMPLETE)).drop(C.COMPLETE)
+    # encodings: small dictionaries fitted on the complete rows, stored once and
+    # joined on read (broadcast only under a checked row count)
+    dicts = {c: materialize(C.encoding_dictionary(complete, c), f"dict-{c}") for c in ENCODED_COLS}
+    sizes = {c: d.count() for c, d in dicts.items()}
+    feats = C.encode_with(complete, dicts, sizes)
+    return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats}
 
 
 def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool = True,

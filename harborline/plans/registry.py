@@ -51,19 +51,27 @@ def _eng(spark, sf):
 
 
 def _cleaned(spark, sf):
-    return FP.cleaned(SRC.shipments(spark, sf))
+    """Cleaned raw columns, read from the materialised per-row stage (no re-join)."""
+    return _rows(spark, sf).select(*SRC.RAW_COLUMNS)
 
 
-_INDEXED: dict[tuple, DataFrame] = {}
+_POSITIONS: dict[tuple, DataFrame] = {}
 
 
-def _indexed(spark, sf):
-    """Feature table + exact chronological position (computed once per session)."""
+def _positions(spark, sf):
+    """(shipment_id, timestamp, pos): exact chronological position of every complete
+    row. The distributed sort runs on this narrow projection only (computed once)."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXED:
+    if key not in _POSITIONS:
         from harborline.session import materialize
-        _INDEXED[key] = materialize(S.chronological_index(FP.heuristic_score(_feats(spark, sf))), "indexed")
-    return _INDEXED[key]
+        narrow = _feats(spark, sf).select("shipment_id", "timestamp")
+        _POSITIONS[key] = materialize(S.chronological_index(narrow), "positions")
+    return _POSITIONS[key]
+
+
+def _indexed(spark, sf):
+    """Scored feature table + position (one equi-join on the shipment key)."""
+    return FP.heuristic_score(_feats(spark, sf)).join(_positions(spark, sf).drop("timestamp"), "shipment_id")
 
 
 def _test_scores(spark, sf):
@@ -192,14 +200,14 @@ def _q() -> dict[str, Query]:
     q["signal_rolls"] = lambda s, sf: _eng(s, sf).select(
         "shipment_id", *[c for c in _eng(s, sf).columns if c.endswith(("_roll7", "_roll14"))])
     q["rolling_daily_rate"] = lambda s, sf: A.rolling_daily_rate(_cleaned(s, sf))
-    q["chronological_index"] = lambda s, sf: _indexed(s, sf).select("shipment_id", "timestamp", "pos")
-    q["chronological_split"] = lambda s, sf: S.chronological_split(_indexed(s, sf))
+    q["chronological_index"] = lambda s, sf: _positions(s, sf)
+    q["chronological_split"] = lambda s, sf: S.chronological_split(_positions(s, sf))
     q["route_allocation"] = lambda s, sf: R.route_allocation(R.scenario_options(
         A.route_stats(_scored(s, sf)).select("origin_port", "destination_port", "prob")))
     q["lp_scenarios"] = lambda s, sf: R.lp_scenarios(_scored(s, sf))
 
     # sorts, limits
-    q["sort_chronological"] = lambda s, sf: _indexed(s, sf).select("shipment_id", "timestamp", "pos")
+    q["sort_chronological"] = lambda s, sf: _positions(s, sf).orderBy("pos")
     q["top_shipments"] = lambda s, sf: _scored(s, sf).orderBy(F.desc("ai_risk_score"), "shipment_id").limit(15).select(
         "shipment_id", "origin_port", "destination_port", "ai_risk_score", "ai_delay_prob", "delay_minutes")
     q["top_risk_shipments"] = lambda s, sf: _scored(s, sf).orderBy(F.desc("ai_delay_prob"), "shipment_id").limit(
@@ -222,7 +230,7 @@ def _q() -> dict[str, Query]:
     q["confusion_matrix"] = lambda s, sf: S.confusion_matrix(_test_scores(s, sf))
     q["roc_curve"] = lambda s, sf: S.roc_curve(_test_scores(s, sf))
     q["roc_auc"] = lambda s, sf: S.roc_auc(S.roc_curve(_test_scores(s, sf)))
-    q["cv_fold_bounds"] = lambda s, sf: S.cv_fold_bounds(_indexed(s, sf), 3)
+    q["cv_fold_bounds"] = lambda s, sf: S.cv_fold_bounds(_positions(s, sf), 3)
     from harborline.plans import model_queries as MQ
     q.update(MQ.model_queries(_indexed, _feats))
 
