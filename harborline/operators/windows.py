@@ -116,59 +116,70 @@ def _chunk_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
                     F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__cb"))
 
 
+SMALL_TABLE_ROWS = 1_000_000
+
+
+def _small(t: DataFrame) -> DataFrame:
+    """Broadcast a per-chunk table when its counted size is below ``SMALL_TABLE_ROWS``
+    (its size is keys x chunks, bounded by the categorical domain and the time span,
+    not by the row count; the count checks it before any broadcast)."""
+    return F.broadcast(t) if t.count() <= SMALL_TABLE_ROWS else t
+
+
 def _with_halo(df: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` plus, for each (key, chunk), copies of the ``HALO`` rows that
-    precede the chunk in key order (``__halo`` = 1). Each tail row can reach at most
-    ``HALO`` later chunks (every chunk holds at least one row), so the candidate
-    list per tail row is bounded."""
-    chunks = _chunk_table(df, [key])
+    """Rows of ``df`` (``__halo`` = 0) plus, for each (key, chunk), copies of the
+    ``HALO`` rows that precede the chunk in key order (``__halo`` = 1, payload only).
+    Each tail row can reach at most ``HALO`` later chunks (every chunk holds at least
+    one row), so the candidate list per tail row is bounded."""
+    chunks = _small(_chunk_table(df, [key]).select(key, "__chunk", "__ci", "__nb", "__cn"))
     wd = Window.partitionBy(key, "__chunk").orderBy(*[F.col(c).desc() for c in ORDER])
     tail = (df.select(key, "__chunk", *ORDER, *payload, F.row_number().over(wd).alias("__rd"))
             .where(F.col("__rd") <= HALO)
-            .join(chunks.select(key, "__chunk", "__ci", "__nb", "__cn"), [key, "__chunk"]))
+            .join(chunks, [key, "__chunk"]))
     cand = tail.select(key, *ORDER, *payload,
                        (F.col("__nb") + F.col("__cn") - F.col("__rd")).alias("__p0"),
                        F.explode(F.sequence(F.col("__ci") + 1, F.col("__ci") + HALO)).alias("__cj"))
     target = chunks.select(key, F.col("__ci").alias("__cj"), F.col("__chunk"), F.col("__nb").alias("__tnb"))
     halo = (cand.join(target, [key, "__cj"]).where(F.col("__tnb") - F.col("__p0") <= HALO)
             .select(key, "__chunk", *ORDER, *payload, F.lit(1).alias("__halo")))
-    return df.select(key, "__chunk", *ORDER, *payload, F.lit(0).alias("__halo")).unionByName(halo)
+    return df.withColumn("__halo", F.lit(0)).unionByName(halo, allowMissingColumns=True)
 
 
 def history_features_chunked(df: DataFrame, unit: str = "month") -> DataFrame:
     """W1-W5 with hot keys split by time chunk (``unit``: any ``date_trunc`` unit).
 
     Works on a narrow projection (id, keys, time, label, lag signals); the history
-    columns are joined back to the wide frame once, by ``shipment_id``."""
+    columns are joined back to the wide frame once, by ``shipment_id``. Per-chunk
+    prefix tables are broadcast (checked size), so the W1 windows keyed by
+    (origin, ...) share one hash partitioning."""
     keys_all = ["origin_port", "destination_port", "carrier_id"]
     narrow = df.select(*ORDER, *keys_all, LABEL, *LAG_COLS, _chunk_expr(unit).alias("__chunk"))
 
     # Prefix over chunks (small tables) + running sum inside (key, chunk)
     j = narrow
-    exprs = []
+    w1 = {}
     for i, (name, keys) in enumerate(HIST_SPECS):
         ct = _chunk_table(narrow, keys).select(*keys, "__chunk", F.col("__sb").alias(f"__sb{i}"),
                                                F.col("__cb").alias(f"__cb{i}"))
-        j = j.join(ct, [*keys, "__chunk"], "left")
+        j = j.join(_small(ct), [*keys, "__chunk"], "left")
         w = _w(keys, ["__chunk"]).rowsBetween(Window.unboundedPreceding, -1)
         num = F.col(f"__sb{i}") + F.coalesce(F.sum(LABEL).over(w), F.lit(0))
         den = F.col(f"__cb{i}") + F.coalesce(F.count(LABEL).over(w), F.lit(0))
-        exprs.append(F.when(den > 0, num / den).alias(name))
-    w1 = j.select("shipment_id", *exprs)
+        w1[name] = F.when(den > 0, num / den)
+    j = j.select(*narrow.columns, *[e.alias(n) for n, e in w1.items()])
 
     # W2 (origin), W3-W5: frames inside (origin, chunk) with halo rows
-    ho = _with_halo(narrow, "origin_port", [LABEL, *LAG_COLS])
+    ho = _with_halo(j, "origin_port", [LABEL, *LAG_COLS])
     o_exprs = _origin_exprs(_w(["origin_port"], ["__chunk"]))
-    wo = (ho.select("shipment_id", "__halo", *[e.alias(n) for n, e in o_exprs.items()])
+    keep = ["shipment_id", "timestamp", "carrier_id", "__chunk", LABEL, *w1]
+    wo = (ho.select(*keep, "__halo", *[e.alias(n) for n, e in o_exprs.items()])
           .where(F.col("__halo") == 0).drop("__halo"))
 
     # W2 (carrier)
-    hc = _with_halo(narrow, "carrier_id", [LABEL])
-    wc = (hc.select("shipment_id", "__halo",
-                    _rolling_rate(_w(["carrier_id"], ["__chunk"]), 30, 5).alias("carrier_delay_30d"))
-          .where(F.col("__halo") == 0).drop("__halo"))
-
-    hist = w1.join(wo, "shipment_id").join(wc, "shipment_id")
+    hc = _with_halo(wo, "carrier_id", [LABEL])
+    wc = (hc.select("*", _rolling_rate(_w(["carrier_id"], ["__chunk"]), 30, 5).alias("carrier_delay_30d"))
+          .where(F.col("__halo") == 0))
+    hist = wc.select("shipment_id", *HISTORY_COLUMNS)
     return df.join(hist, "shipment_id", "left").select(*df.columns, *HISTORY_COLUMNS)
 
 
