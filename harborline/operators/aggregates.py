@@ -233,9 +233,9 @@ def rolling_daily_rate(df: DataFrame, n: int = 30) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLS) -> DataFrame:
     """Pearson matrix in long form (var1, var2, corr); one aggregate pass."""
-    from harborline.functions.stats import pearson_long
+    from harborline.functions.stats import pearson
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    half = pearson_long(df, pairs)
+    half = pearson(df, pairs)
     mirror = half.where(F.col("var1") != F.col("var2")).select(F.col("var2").alias("var1"),
                                                                 F.col("var1").alias("var2"), "corr")
     return half.unionByName(mirror)
@@ -252,9 +252,9 @@ TOPCORR_EXCLUDE = ["is_delayed", "ai_rerouted", "ai_risk_score", "risk_rank"]
 
 def top_correlations(scored: DataFrame, k: int = 15) -> DataFrame:
     """Signed corr with is_delayed of numeric, non-encoded columns; top ``k`` by |corr|."""
-    from harborline.functions.stats import pearson_long
+    from harborline.functions.stats import pearson
     cols = [c for c in numeric_columns(scored, TOPCORR_EXCLUDE) if "enc" not in c]
-    long = (pearson_long(scored, [(c, "is_delayed") for c in cols]).select(F.col("var1").alias("feature"), "corr")
+    long = (pearson(scored, [(c, "is_delayed") for c in cols]).select(F.col("var1").alias("feature"), "corr")
             .where(F.col("corr").isNotNull() & ~F.isnan("corr")))
     return long.orderBy(F.desc(F.abs("corr")), "feature").limit(k)
 

@@ -20,8 +20,8 @@ from harborline.constants import (ANALYSIS_SECTIONS, EXPLAIN_FEATURES, NARRATIVE
 def corr_importance(feats: DataFrame, names: Sequence[str]) -> DataFrame:
     """Data-derived importance table (feature, importance, std): |corr(feature, label)|,
     std 0. Used where a model's permutation importance is not SQL-checkable."""
-    from harborline.functions.stats import pearson_long
-    long = pearson_long(feats, [(c, "is_delayed") for c in names]).select(F.col("var1").alias("feature"), "corr")
+    from harborline.functions.stats import pearson
+    long = pearson(feats, [(c, "is_delayed") for c in names]).select(F.col("var1").alias("feature"), "corr")
     imp = F.when(F.col("corr").isNull() | F.isnan("corr"), F.lit(0.0)).otherwise(F.abs("corr"))
     return long.select("feature", imp.alias("importance"), F.lit(0.0).alias("std"))
 

@@ -183,5 +183,24 @@ def history_features_chunked(df: DataFrame, unit: str = "month") -> DataFrame:
     return df.join(hist, "shipment_id", "left").select(*df.columns, *HISTORY_COLUMNS)
 
 
-def history_features(df: DataFrame, chunked: bool = True, unit: str = "month") -> DataFrame:
+HOT_KEY_ROWS = 5_000_000
+
+
+def largest_key_rows(df: DataFrame) -> int:
+    """Rows held by the largest origin, destination or carrier key (one small
+    aggregate per key family; partial aggregation keeps the shuffle tiny)."""
+    biggest = 0
+    for k in ("origin_port", "destination_port", "carrier_id"):
+        m = df.groupBy(k).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        biggest = max(biggest, m or 0)
+    return biggest
+
+
+def history_features(df: DataFrame, chunked: bool | None = None, unit: str = "month",
+                     hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """W1-W5. ``chunked=None`` decides at run time: the plain windows (3 exchanges)
+    when every key fits one task's budget of ``hot_key_rows`` rows, the chunked form
+    (hot keys split by time chunk) as soon as one key is larger."""
+    if chunked is None:
+        chunked = largest_key_rows(df) > hot_key_rows
     return history_features_chunked(df, unit) if chunked else history_features_plain(df)

@@ -68,12 +68,12 @@ def per_row_stage(raw: DataFrame, anomaly: str = "zscore") -> DataFrame:
     return C.calendar_features(df)
 
 
-def engineered(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
+def engineered(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
     """Full feature frame before the drop: raw + derived + anomaly + calendar + history."""
     return history_features(per_row_stage(raw, anomaly), chunked=chunked)
 
 
-def features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
+def features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
     """P14 + P15 on top of ``engineered``: complete rows with encoded categoricals."""
     return C.label_encode(C.drop_incomplete(engineered(raw, chunked, anomaly)), ENCODED_COLS)
 
@@ -98,7 +98,7 @@ def add_score_columns(df: DataFrame, prob: str = "ai_delay_prob") -> DataFrame:
 _TABLES: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def build_features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore") -> dict[str, DataFrame]:
+def build_features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> dict[str, DataFrame]:
     """Materialised stages of ``features``: per-row stage (all rows), engineered
     (with history, all rows), and the feature table (complete rows, encoded). Each
     stage is written once, so the windows run once and later stages read files."""
@@ -114,7 +114,7 @@ def build_features(raw: DataFrame, chunked: bool = True, anomaly: str = "zscore"
     return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats}
 
 
-def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool = True,
+def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool | None = None,
                anomaly: str = "zscore") -> DataFrame:
     """A materialised stage for ``sf_dir``, built once per session and reused by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, chunked, anomaly)
@@ -123,9 +123,9 @@ def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunke
     return _TABLES[key][stage]
 
 
-def load_features(spark: SparkSession, sf_dir: str, chunked: bool = True, anomaly: str = "zscore") -> DataFrame:
+def load_features(spark: SparkSession, sf_dir: str, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
     return load_stage(spark, sf_dir, "features", chunked, anomaly)
 
 
-def load_scored(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
+def load_scored(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
     return heuristic_score(load_features(spark, sf_dir, chunked))

@@ -73,6 +73,9 @@ def test_chunked_equals_plain(spark, sf):
     a = round_doubles(history_features(rows, chunked=False), 9)
     b = round_doubles(history_features(rows, chunked=True, unit="week"), 9)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # automatic choice: a tiny per-task budget makes every port "hot" -> chunked form, same rows
+    c = round_doubles(history_features(rows, chunked=None, hot_key_rows=100), 9)
+    assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
 
 
 def test_isolation_forest_invariants(spark, sf):
