@@ -111,7 +111,8 @@ def build_features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "
     dicts = {c: materialize(C.encoding_dictionary(complete, c), f"dict-{c}") for c in ENCODED_COLS}
     sizes = {c: d.count() for c, d in dicts.items()}
     feats = C.encode_with(complete, dicts, sizes)
-    return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats}
+    return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats,
+            "engineered_files": eng}
 
 
 def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool | None = None,

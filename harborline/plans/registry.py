@@ -311,8 +311,8 @@ def _parse_analysis(spark, sf):
 def _stream_alerts(spark, sf):
     from harborline.streaming import checkpoints as T
     feats = _feats(spark, sf)
-    path = feats.inputFiles()[0].rsplit("/", 1)[0]
-    mx = feats.agg(F.max("route_risk_score")).first()[0]
+    path = FP.load_stage(spark, sf, "engineered_files").harborline_path
+    mx = feats.agg(F.max("route_risk_score")).first()[0]  # stored scalar for the stream
     return T.stream_score_alerts(spark, path, float(mx))
 
 

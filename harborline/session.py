@@ -59,4 +59,6 @@ def materialize(df, name: str):
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.harborline_path = path  # where the table lives (e.g. for a streaming source)
+    return out

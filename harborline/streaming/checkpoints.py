@@ -90,6 +90,8 @@ def stream_score_alerts(spark: SparkSession, feature_dir: str, max_risk: float)
     batch maximum of route risk), alert when p > 0.60."""
     schema = spark.read.parquet(feature_dir).schema
     rows = spark.readStream.schema(schema).parquet(feature_dir)
+    if "__complete" in schema.fieldNames():  # engineered table: score complete rows only (P14)
+        rows = rows.where(F.col("__complete"))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("route_risk_score") / F.lit(max_risk + 1e-9)))
     alerts = (rows.select("shipment_id", "timestamp", "origin_port", "destination_port", p.alias("ai_delay_prob"))
               .where(F.col("ai_delay_prob") > REROUTE_THRESHOLD))
