@@ -72,6 +72,8 @@ def grow_tree(x: np.ndarray, tree: int, seed: int, max_depth: int) -> list[tuple
 def fit_iforest(z: DataFrame, cols: Sequence[str], id_col: str = "shipment_id", n_trees: int = IFOREST["n_trees"],
                 psi: int = IFOREST["max_samples"], seed: int = IFOREST["seed"]) -> tuple[DataFrame, int]:
     """Grow ``n_trees`` trees on hash samples; returns (node table, effective psi)."""
+    from harborline.session import ship_package
+    ship_package(z.sparkSession)
     n = z.count()
     psi = int(min(psi, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -138,7 +140,9 @@ def path_lengths(x: np.ndarray, arrays) -> np.ndarray:
 def score_iforest(z: DataFrame, cols: Sequence[str], nodes: DataFrame, psi: int,
                   out: str = "anomaly_score") -> DataFrame:
     """Anomaly score s in (0, 1] for every row (higher = more anomalous)."""
+    from harborline.session import ship_package
     spark = z.sparkSession
+    ship_package(spark)
     arrays = _tree_arrays(nodes.toPandas())  # bounded: trees x (2 psi - 1) rows
     bc = spark.sparkContext.broadcast(arrays)
     denom = float(c_factor(np.array([psi]))[0]) or 1.0

@@ -62,3 +62,27 @@ def materialize(df, name: str):
     out = spark.read.parquet(path)
     out.harborline_path = path  # where the table lives (e.g. for a streaming source)
     return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``harborline`` importable on executors (Python UDFs pickle its functions by
+    reference): zip the package once per application and ``addPyFile`` it, which
+    Spark distributes to every executor."""
+    import zipfile
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="harborline-pkg-"), "harborline.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(app)
