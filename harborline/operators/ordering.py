@@ -30,7 +30,7 @@ def with_position(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos"
                   num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    cols = [F.col(c) for c in order_cols]
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
     tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
@@ -79,3 +79,29 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         out = out.withColumn(f"{prefix}{i}", F.col(f"__vlo{i}") + (F.col(f"__vhi{i}") - F.col(f"__vlo{i}")) * F.col(f"__d{i}"))
     keep = group_cols + [f"{prefix}{i}" for i in range(len(probs))] + ["n"]
     return out.select(*keep)
+
+
+def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], pos_col: str = "pos",
+                      num_partitions: int | None = None) -> DataFrame:
+    """``pos`` plus inclusive running sums of ``sum_cols`` in a total order, distributed.
+
+    Same layout as ``with_position``: range partitions fixed by a checkpoint; per
+    partition totals give offsets (one row per partition, broadcast); the running
+    sum inside a partition is a window over that partition alone."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+    tot = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(_PID, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                      *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
+    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(offs), _PID)
+    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
+    cols = [(F.col("__off") + local).alias(pos_col)]
+    cols += [(F.col(f"__o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sum_cols]
+    keep = [c for c in df.columns]
+    return out.select(*keep, *cols)

@@ -140,31 +140,40 @@ def classification_metrics(scores: DataFrame) -> DataFrame:
 
 def roc_curve(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """(idx, threshold, fpr, tpr) with the (0, 0) start point; collinear
-    intermediate points dropped like the common library default."""
+    intermediate points dropped like the common library default.
+
+    Distributed: counts per distinct score, then running sums in descending score
+    order (``with_running_sums``), neighbours by equi-joins on position, and the
+    final index by ``with_position``; no single-partition window."""
+    from harborline.operators.ordering import with_running_sums
     per = scores.groupBy(F.col("prob").alias("threshold")).agg(
-        F.sum("label").cast("long").alias("__pos"), F.sum(1 - F.col("label")).cast("long").alias("__neg"))
-    w = Window.orderBy(F.desc("threshold"))
-    cum = per.select("threshold", F.sum("__pos").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tps"),
-                     F.sum("__neg").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fps"))
+        F.sum("label").cast("long").alias("p_"), F.sum(1 - F.col("label")).cast("long").alias("n_"))
+    cum = with_running_sums(per, [F.col("threshold").desc()], ["p_", "n_"]).select(
+        "threshold", "pos", F.col("cum_p_").alias("tps"), F.col("cum_n_").alias("fps"))
     if drop_intermediate:
-        d2 = lambda c: F.lag(c, 1).over(w) - 2 * F.col(c) + F.lead(c, 1).over(w)
-        keep = (F.lag("tps", 1).over(w).isNull() | F.lead("tps", 1).over(w).isNull()
-                | (d2("fps") != 0) | (d2("tps") != 0))
-        cum = cum.select("*", keep.alias("__keep")).where("__keep").drop("__keep")
-    tot = per.agg(F.sum("__pos").alias("P"), F.sum("__neg").alias("N"))
-    start = scores.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"),
-                                                F.lit(0).cast("long").alias("fps"))
-    pts = start.unionByName(cum).crossJoin(F.broadcast(tot))
-    pts = pts.select("threshold", (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"))
-    return pts.select((F.row_number().over(Window.orderBy(F.desc("threshold"))) - 1).alias("idx"),
-                      "threshold", "fpr", "tpr")
+        prev = cum.select((F.col("pos") + 1).alias("pos"), F.col("tps").alias("ptps"), F.col("fps").alias("pfps"))
+        nxt = cum.select((F.col("pos") - 1).alias("pos"), F.col("tps").alias("ntps"), F.col("fps").alias("nfps"))
+        j = cum.join(prev, "pos", "left").join(nxt, "pos", "left")
+        keep = (F.col("ptps").isNull() | F.col("ntps").isNull()
+                | ((F.col("pfps") - 2 * F.col("fps") + F.col("nfps")) != 0)
+                | ((F.col("ptps") - 2 * F.col("tps") + F.col("ntps")) != 0))
+        cum = j.where(keep).select("threshold", "tps", "fps")
+    tot = per.agg(F.sum("p_").alias("P"), F.sum("n_").alias("N"))
+    kept = with_position(cum.select("threshold", "tps", "fps"), [F.col("threshold").desc()], "__k")
+    start = scores.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
+                                                F.lit(0).cast("long").alias("tps"),
+                                                F.lit(0).cast("long").alias("fps"), F.lit(-1).cast("long").alias("__k"))
+    pts = start.unionByName(kept).crossJoin(F.broadcast(tot))
+    return pts.select((F.col("__k") + 1).cast("int").alias("idx"), "threshold",
+                      (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"))
 
 
 def roc_auc(curve: DataFrame) -> DataFrame:
-    """Trapezoid area under the curve."""
-    w = Window.orderBy("idx")
-    seg = curve.select((F.col("fpr") - F.lag("fpr", 1).over(w)) * (F.col("tpr") + F.lag("tpr", 1).over(w)) / 2)
-    return seg.agg(F.sum(seg.columns[0]).alias("auc"))
+    """Trapezoid area; consecutive points paired by an equi-join on idx."""
+    prev = curve.select((F.col("idx") + 1).alias("idx"), F.col("fpr").alias("pfpr"), F.col("tpr").alias("ptpr"))
+    seg = curve.join(prev, "idx").select(((F.col("fpr") - F.col("pfpr")) * (F.col("tpr") + F.col("ptpr")) / 2)
+                                         .alias("seg"))
+    return seg.agg(F.sum("seg").alias("auc"))
 
 
 def thin_series(curve: DataFrame, target: int = 100) -> DataFrame:
