@@ -427,8 +427,7 @@ def importance_by_group(imp: DataFrame) -> DataFrame:
 def importance_by_category(imp: DataFrame) -> DataFrame:
     """A26 (overlapping categories): a feature counts in every category whose name
     fragments it contains; each sum is floored at 0; Other = features in none."""
-    cats = F.array(*[F.when(F.lit(False).__or__(_any_in(F.col("feature"), frags)), F.lit(name))
-                     for name, frags in IMPORTANCE_CATEGORIES])
+    cats = F.array(*[F.when(_any_in(F.col("feature"), frags), F.lit(name)) for name, frags in IMPORTANCE_CATEGORIES])
     tagged = imp.withColumn("__cats", F.filter(cats, lambda x: x.isNotNull()))
     tagged = tagged.withColumn("__cats", F.when(F.size("__cats") == 0, F.array(F.lit("Other")))
                                .otherwise(F.col("__cats")))

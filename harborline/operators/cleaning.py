@@ -24,7 +24,7 @@ def clean_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
     dtype = df.schema[col].dataType
     if isinstance(dtype, T.StringType):
         # try_ form: an unparseable string becomes null (dropped later) instead of failing the job
-        return df.withColumn(col, F.try_to_timestamp(F.col(col)).cast("timestamp_ntz"))
+        return df.withColumn(col, F.col(col).try_cast("timestamp_ntz"))
     if isinstance(dtype, T.TimestampType):
         return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
     return df

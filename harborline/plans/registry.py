@@ -85,10 +85,6 @@ def _importance(spark, sf):
     return X.corr_importance(f, FP.C.feature_list(f.columns))
 
 
-def _ids(cols):
-    return lambda df: df.select("shipment_id", *cols)
-
-
 # ---------------------------------------------------------------------------
 # registry
 # ---------------------------------------------------------------------------

@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.constants import PORT_COORDS
@@ -125,8 +124,11 @@ def read_shipments_csv(spark: SparkSession, path: str) -> DataFrame:
 
     ``is_delayed`` stays a string so that the label cleaner sees every spelling.
     """
-    return (spark.read.schema(RAW_SCHEMA).option("header", True)
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    csv_schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "timestamp" else f
+                               for f in RAW_SCHEMA.fields])
+    df = spark.read.schema(csv_schema).option("header", True).csv(path)
+    # Parse ISO ('T') and space-separated forms; an unparseable value becomes null
+    return df.withColumn("timestamp", df["timestamp"].try_cast("timestamp_ntz"))
 
 
 def export_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -155,10 +157,3 @@ def port_dim(spark: SparkSession) -> DataFrame:
     """The literal port table (21 rows, a proven size bound -> safe to broadcast)."""
     rows = [(name, float(lat), float(lon)) for name, (lat, lon) in PORT_COORDS.items()]
     return spark.createDataFrame(rows, PORT_SCHEMA)
-
-
-def port_values_sql() -> str:
-    """The port table as a SQL VALUES list (for oracle twins)."""
-    body = ",".join(f"('{n}',{lat!r}e0,{lon!r}e0)".replace("'", "'").replace(".0e0", "e0")
-                    for n, (lat, lon) in PORT_COORDS.items())
-    return f"(values {body}) as port_dim(port, lat, lon)"
