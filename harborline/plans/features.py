@@ -57,9 +57,14 @@ def zscore_anomaly(df: DataFrame) -> DataFrame:
             .select(*df.columns, "anomaly_flag", "anomaly_score", "is_anomaly"))
 
 
-def per_row_stage(raw: DataFrame, anomaly: str = "zscore") -> DataFrame:
-    """Everything before the history windows: row features, anomaly flags, calendar."""
+def per_row_stage(raw: DataFrame, anomaly: str = "zscore", stage: bool = False) -> DataFrame:
+    """Everything before the history windows: row features, anomaly flags, calendar.
+    With ``stage`` the row features are written once first, so the anomaly passes
+    (z-score statistics, quantile sort, final write) read files instead of
+    recomputing the source join and the row features each time."""
     df = row_features(cleaned(raw))
+    if stage:
+        df = materialize(df, "row_features")
     if anomaly == "iforest":
         from harborline.operators.anomaly import iforest_flags
         df = iforest_flags(df)
@@ -102,7 +107,7 @@ def build_features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "
     """Materialised stages of ``features``: per-row stage (all rows), engineered
     (with history, all rows), and the feature table (complete rows, encoded). Each
     stage is written once, so the windows run once and later stages read files."""
-    rows = materialize(per_row_stage(raw, anomaly), "rows")
+    rows = materialize(per_row_stage(raw, anomaly, stage=True), "rows")
     hist = history_features(rows, chunked=chunked)
     eng = materialize(C.with_complete_flag(hist), "engineered")
     complete = eng.where(F.col(C.COMPLETE)).drop(C.COMPLETE)

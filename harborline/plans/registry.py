@@ -80,9 +80,17 @@ def _test_scores(spark, sf):
     return S.model_scores(test)
 
 
+_IMPORTANCE: dict[tuple, DataFrame] = {}
+
+
 def _importance(spark, sf):
-    f = _feats(spark, sf)
-    return X.corr_importance(f, FP.C.feature_list(f.columns))
+    """Data-derived importance table (87 rows), computed once per session and stored."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _IMPORTANCE:
+        from harborline.session import materialize
+        f = _feats(spark, sf)
+        _IMPORTANCE[key] = materialize(X.corr_importance(f, FP.C.feature_list(f.columns)), "importance")
+    return _IMPORTANCE[key]
 
 
 # ---------------------------------------------------------------------------
