@@ -166,12 +166,12 @@ def iforest_scores(df: DataFrame, cols: Sequence[str] = ANOMALY_FEATURES, id_col
 def iforest_flags(df: DataFrame, cols: Sequence[str] = ANOMALY_FEATURES,
                   contamination: float = IFOREST["contamination"]) -> DataFrame:
     """M2: score, then flag the top ``contamination`` share (exact quantile cut)."""
-    from harborline.operators.ordering import exact_quantiles
+    from harborline.operators.ordering import exact_quantile
     from harborline.session import materialize
     scored = materialize(iforest_scores(df, cols), "iforest")
-    cut = exact_quantiles(scored, "anomaly_score", [1 - contamination]).select(F.col("q0").alias("__cut"))
-    flag = F.col("anomaly_score") > F.col("__cut")
-    return (scored.crossJoin(F.broadcast(cut))
+    cut = exact_quantile(scored, "anomaly_score", 1 - contamination)
+    flag = F.col("anomaly_score") > F.lit(cut)
+    return (scored
             .withColumn("anomaly_flag", F.when(flag, F.lit(-1)).otherwise(F.lit(1)))
             .withColumn("is_anomaly", flag.cast("int"))
             .select(*df.columns, "anomaly_flag", "anomaly_score", "is_anomaly"))

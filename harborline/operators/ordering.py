@@ -105,3 +105,37 @@ def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], p
     cols += [(F.col(f"__o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sum_cols]
     keep = [c for c in df.columns]
     return out.select(*keep, *cols)
+
+
+def exact_quantile(df: DataFrame, value_col: str, q: float, accuracy: int = 100_000) -> float | None:
+    """One global linear-interpolation quantile, exact, without sorting every row.
+
+    ``percentile_approx`` (rank error at most n / accuracy) brackets the two target
+    ranks; one counting pass checks that the bracket really contains them; only the
+    rows inside the bracket (about 4 n / accuracy) are sorted with ``with_position``.
+    If the check fails, the full distributed sort is used. Only scalars reach the
+    driver."""
+    vals = df.select(F.col(value_col).alias("__v")).where(F.col("__v").isNotNull())
+    eps = 2.0 / accuracy
+    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
+    head = vals.agg(F.count(F.lit(1)).alias("n"),
+                    F.percentile_approx("__v", [lo_q, hi_q], accuracy).alias("b")).first()
+    n = head["n"]
+    if not n:
+        return None
+    rank = (n - 1) * q
+    r_lo, r_hi = int(rank // 1), int(-(-rank // 1))
+    frac = rank - r_lo
+    lo_v, hi_v = head["b"]
+    c = vals.agg(F.count_if(F.col("__v") < lo_v).alias("below"),
+                 F.count_if((F.col("__v") >= lo_v) & (F.col("__v") <= hi_v)).alias("inside")).first()
+    if c["below"] <= r_lo and c["below"] + c["inside"] > r_hi:
+        sub = vals.where((F.col("__v") >= lo_v) & (F.col("__v") <= hi_v))
+        base = c["below"]
+    else:
+        sub, base = vals, 0
+    pos = with_position(sub, ["__v"])
+    got = {r["pos"] + base: r["__v"] for r in
+           pos.where(F.col("pos").isin(r_lo - base, r_hi - base)).select("pos", "__v").collect()}
+    v_lo, v_hi = got[r_lo], got[r_hi]
+    return v_lo + (v_hi - v_lo) * frac

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from harborline.constants import ANOMALY_FEATURES, ENCODED_COLS, REROUTE_THRESHOLD
 from harborline.functions.columns import risk_band, risk_rank, round_half_even
 from harborline.operators import cleaning as C
-from harborline.operators.ordering import exact_quantiles
+from harborline.operators.ordering import exact_quantile
 from harborline.operators.windows import history_features
 from harborline.session import materialize
 from harborline.sources.shipments import RAW_COLUMNS, shipments
@@ -49,9 +49,9 @@ def zscore_anomaly(df: DataFrame) -> DataFrame:
     z = C.standardize(df, ANOMALY_FEATURES, "__z")
     mean_abs = sum(F.abs(F.col(f"{c}__z")) for c in ANOMALY_FEATURES) / len(ANOMALY_FEATURES)
     scored = z.withColumn("anomaly_score", round_half_even(mean_abs, 9)).drop(*[f"{c}__z" for c in ANOMALY_FEATURES])
-    cut = exact_quantiles(scored, "anomaly_score", [1 - CONTAMINATION]).select(F.col("q0").alias("__cut"))
-    out = scored.crossJoin(F.broadcast(cut))
-    flag = F.col("anomaly_score") > F.col("__cut")
+    cut = exact_quantile(scored, "anomaly_score", 1 - CONTAMINATION)
+    out = scored
+    flag = F.col("anomaly_score") > F.lit(cut)
     return (out.withColumn("anomaly_flag", F.when(flag, F.lit(-1)).otherwise(F.lit(1)))
             .withColumn("is_anomaly", flag.cast("int"))
             .select(*df.columns, "anomaly_flag", "anomaly_score", "is_anomaly"))

@@ -9,7 +9,7 @@ from harborline.functions.columns import label_to_int, risk_band, severity_band
 from harborline.operators import aggregates as A
 from harborline.operators import explain as X
 from harborline.operators import routing as R
-from harborline.operators.ordering import exact_quantiles, with_position
+from harborline.operators.ordering import exact_quantile, exact_quantiles, with_position
 
 
 def test_band_edges(spark):
@@ -170,6 +170,9 @@ def test_position_and_quantiles(spark):
     pos = with_position(df, ["v", "id"]).orderBy("pos").collect()
     assert [r.pos for r in pos] == list(range(3000))
     assert [r.v for r in pos] == sorted(vals)
+    for p in (0.0, 0.05, 0.5, 0.95, 1.0):
+        assert exact_quantile(df, "v", p) == pytest.approx(np.quantile(np.array(vals), p), abs=1e-12)
+    assert exact_quantile(df, "v", 0.95, accuracy=10) == pytest.approx(np.quantile(np.array(vals), 0.95))
     q = exact_quantiles(df, "v", [0.05, 0.5, 0.95], ["g"]).collect()
     for r in q:
         sub = np.array([v for i, v in enumerate(vals) if f"g{i % 3}" == r.g])
