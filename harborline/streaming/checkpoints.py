@@ -77,7 +77,9 @@ def latest_checkpoint(events: DataFrame) -> DataFrame:
 
 
 def stream_latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows later than the watermark are dropped by the state store."""
+    """Latest event per user per closed 8-hour window. Rows within the watermark
+    delay are always aggregated; rows later than it may or may not be dropped (Spark's
+    one-directional guarantee)."""
     out = _run_to_parquet(latest_checkpoint(read_events_stream(spark, sf_dir)), spark, "latest_checkpoint")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id",
                       F.col("last.ts").cast("timestamp_ntz").alias("last_ts"),
