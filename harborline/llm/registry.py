@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from harborline.llm import common as C
-from harborline.llm import exact_dedup, fertility, langid, mixing, packing, toxicity, trie_tokens
+from harborline.llm import exact_dedup, fertility, langid, mixing, ngram_join, packing, toxicity, trie_tokens
 
 
 def op2_tokeniser_fertility(spark, sf_dir):
@@ -34,10 +34,14 @@ def op9_streaming_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(C.documents(spark, sf_dir)).drop("file", "row")
 
 
+def op10_prefix_tree_jaccard(spark, sf_dir):
+    return ngram_join.groups(C.documents(spark, sf_dir))
+
+
 def queries():
     return {f.__name__: f for f in (
         op2_tokeniser_fertility, op3_naive_bayes_language, op4_trie_token_counts, op6_first_fit_packing,
-        op7_subword_toxicity, op8_source_mix, op9_streaming_exact_dedup)}
+        op7_subword_toxicity, op8_source_mix, op9_streaming_exact_dedup, op10_prefix_tree_jaccard)}
 
 
 def oracle_sql():
