@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from harborline.llm import common as C
-from harborline.llm import exact_dedup, fertility, langid, mixing, ngram_join, packing, toxicity, trie_tokens
+from harborline.llm import (exact_dedup, fertility, langid, license_scan, mixing, ngram_join, packing, toxicity,
+                            trie_tokens, warc)
+
+
+def op1_warc_revisits(spark, sf_dir):
+    found = warc.resolve_revisits(warc.records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return found.withColumn("headers", warc.header_lines(found["headers"]))
 
 
 def op2_tokeniser_fertility(spark, sf_dir):
@@ -18,6 +24,10 @@ def op4_trie_token_counts(spark, sf_dir):
     return trie_tokens.token_counts(C.documents(spark, sf_dir))
 
 
+def op5_license_diagonals(spark, sf_dir):
+    return license_scan.scan(C.documents(spark, sf_dir)).drop("spans")
+
+
 def op6_first_fit_packing(spark, sf_dir):
     return packing.with_digest(packing.pack(C.documents(spark, sf_dir)))
 
@@ -40,9 +50,10 @@ def op10_prefix_tree_jaccard(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op2_tokeniser_fertility, op3_naive_bayes_language, op4_trie_token_counts, op6_first_fit_packing,
+        op1_warc_revisits, op2_tokeniser_fertility, op3_naive_bayes_language, op4_trie_token_counts,
+        op5_license_diagonals, op6_first_fit_packing,
         op7_subword_toxicity, op8_source_mix, op9_streaming_exact_dedup, op10_prefix_tree_jaccard)}
 
 
 def oracle_sql():
-    return {"op8_source_mix": mixing.ORACLE_SQL, "op9_streaming_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_warc_revisits": warc.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL, "op9_streaming_exact_dedup": exact_dedup.ORACLE_SQL}
