@@ -45,7 +45,7 @@ from harborline.session import ship_package
 
 PERCENT = 80
 #: Entries a task holds before it sends them.
-CHUNK_ENTRIES = 1_500_000
+CHUNK_ENTRIES = 700_000
 GROUP_SETS = 4_000
 GROUP_TOKENS = 4_000_000
 _U = np.uint64

@@ -8,7 +8,7 @@ import xxhash
 from harborline.llm.common import mix64
 
 WIDTH = 5
-MAX_ENTRIES = 800_000
+MAX_ENTRIES = 250_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
