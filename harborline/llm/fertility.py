@@ -117,7 +117,7 @@ class _Vocabularies:
 
 
 class _Words(dict):
-    MAX_ENTRIES = 600_000
+    MAX_ENTRIES = 400_000
 
     def __init__(self, owner: _Vocabularies):
         super().__init__()

@@ -85,7 +85,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
-_MAX_HASHES = 800_000
+_MAX_HASHES = 250_000
 
 
 def gram_hashes(words: list[bytes], k: int) -> np.ndarray:

@@ -34,7 +34,7 @@ DIM = 16
 WINDOW = 4
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.3
-MAX_ENTRIES = 800_000
+MAX_ENTRIES = 400_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
 

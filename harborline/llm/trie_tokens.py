@@ -35,7 +35,7 @@ BYTE_SCORE = -20_000_000
 MARK = "▁"
 LONG = 256
 MAX_TRIE_WORDS = 50_000
-MAX_ENTRIES = 800_000
+MAX_ENTRIES = 400_000
 
 
 class Vocabulary:
