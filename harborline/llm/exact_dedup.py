@@ -113,9 +113,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
                                F.col("doc").getField(text_col).alias("text"))
     C.map_arrow(doc, _digests, _DIGESTS, digest=digest, out=_DIGESTS_ARROW).write.parquet(f"{work}/digests")
     narrow = spark.read.parquet(f"{work}/digests")
-    state = stream_state(spark, f"{work}/digests", narrow.schema, work, bytes_per_trigger)
+    # written before the join, so that both its sides come from plain exchanges and AQE may split a hot digest
+    state = C.stored(stream_state(spark, f"{work}/digests", narrow.schema, work, bytes_per_trigger), "digest-state")
     kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    (narrow.join(state, "digest")  # AQE splits a hot digest; the state has one row a digest
+    (narrow.join(state, "digest")
      .select("doc_id", "file", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
              kept.alias("kept"), "text_sha256", "digest").write.parquet(f"{work}/members"))
     members = spark.read.parquet(f"{work}/members")

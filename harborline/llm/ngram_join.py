@@ -440,7 +440,7 @@ def _labelled(docs: DataFrame, **params) -> DataFrame:
 def groups(docs: DataFrame, **params) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     doc = C.stored(_labelled(docs, **params), "labelled")
-    least = doc.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"))
+    least = C.stored(doc.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
     return (doc.join(least, "label", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")))
@@ -450,7 +450,8 @@ def keep(docs: DataFrame, **params) -> DataFrame:
     """One document of each component (smallest id, null ids last), all columns as they were."""
     doc = C.stored(_labelled(docs, **params).where("label is not null"), "labelled")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
-    first = doc.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+    first = C.stored(doc.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1"),
+                     "first")
     gone = (doc.join(first, "label").where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
             .select("file", "row"))
     gone = C.stored(gone, "near-copies")
