@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import partial
@@ -68,6 +69,20 @@ def optional(df: DataFrame, name: str, kind: str = "string"):
     return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
 
 
+_WORKER: dict = {}
+
+
+def worker_cache(name, make):
+    """A table that lives as long as the Python worker; only the last operator's stays, so stages that
+    follow each other in the same workers don't add up."""
+    found = _WORKER.get(name)
+    if found is None:
+        _WORKER.clear()
+        gc.collect()
+        found = _WORKER[name] = make()
+    return found
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint behind a size check; beyond it Spark joins by shuffle (and AQE splits skew)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

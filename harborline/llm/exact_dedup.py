@@ -43,20 +43,21 @@ def normalised(text: Column) -> Column:
     return C.ascii_lower(F.coalesce(text, F.lit("")))
 
 
+def on_files(docs: DataFrame) -> DataFrame:
+    """``docs`` where its rows lie in files; a table that no file holds is written first."""
+    try:
+        _ = docs.select(docs.metadataColumn("_metadata").getField("row_index")).schema
+        return docs
+    except AnalysisException:
+        return C.stored(docs, "documents")
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its content locator; a table that no file holds is written first."""
-    for df in (docs, None):
-        df = df if df is not None else C.stored(docs, "documents")
-        try:
-            meta = df.metadataColumn("_metadata")
-            out = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"),
-                            meta.getField("file_path").alias("file"), meta.getField("row_index").alias("row"))
-            _ = out.schema
-            return out
-        except AnalysisException:
-            if df is not docs:
-                raise
-    raise AssertionError
+    """All columns of ``docs`` as one struct, and the content locator (file, row)."""
+    docs = on_files(docs)
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                       meta.getField("file_path").alias("file"), meta.getField("row_index").alias("row"))
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -143,6 +144,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents that stay, all columns as they were."""
+    docs = on_files(docs)
     gone = C.stored(groups(docs, id_col, text_col, **params).where(~F.col("kept")).select("file", "row"), "copies")
     rows = gone.count()
     return (located(docs).join(C.broadcast_if_small(gone, rows, 256), ["file", "row"], "left_anti").select("doc.*"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm import common as C
-from harborline.llm.pieces import byte_bpe, vocabulary_path
+from harborline.llm.pieces import ByteBpe, vocabulary_path
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ class _Vocabularies:
 
     def __init__(self, bpe_path: str, piece_path: str):
         import sentencepiece
-        self.bpe = byte_bpe(bpe_path)
+        self.bpe = ByteBpe(bpe_path)
         sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.known = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if len(sp.id_to_piece(i)) == 1}
         self.words = _Words(self)
@@ -117,7 +117,7 @@ class _Vocabularies:
 
 
 class _Words(dict):
-    MAX_ENTRIES = 400_000
+    MAX_ENTRIES = 250_000
 
     def __init__(self, owner: _Vocabularies):
         super().__init__()
@@ -142,14 +142,9 @@ class _Words(dict):
             self.rows = self.rows.__class__(None)
 
 
-_LOADED: dict[tuple[str, str], _Vocabularies] = {}
-
-
 def _vocabularies(bpe: str, piece: str, folder: str | None) -> _Vocabularies:
     key = (vocabulary_path(bpe, folder), vocabulary_path(piece, folder))
-    if key not in _LOADED:
-        _LOADED[key] = _Vocabularies(*key)
-    return _LOADED[key]
+    return C.worker_cache(("fertility", *key), lambda: _Vocabularies(*key))
 
 
 def script_of(text: bytes) -> str:

@@ -84,7 +84,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
 _MAX_HASHES = 250_000
 
 
@@ -92,9 +91,10 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.int64)
-    if len(_HASHES) > _MAX_HASHES:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = C.worker_cache("license", _WordHashes)
+    if len(known) > _MAX_HASHES:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     out = h[:n].copy()
     for i in range(1, k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]

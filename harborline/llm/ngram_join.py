@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm import common as C
-from harborline.llm.exact_dedup import located
+from harborline.llm.exact_dedup import located, on_files
 from harborline.llm.graph import components
 from harborline.llm.shingles import WIDTH, set_key, shingle_set
 from harborline.session import ship_package
@@ -448,6 +448,7 @@ def groups(docs: DataFrame, **params) -> DataFrame:
 
 def keep(docs: DataFrame, **params) -> DataFrame:
     """One document of each component (smallest id, null ids last), all columns as they were."""
+    docs = on_files(docs)
     doc = C.stored(_labelled(docs, **params).where("label is not null"), "labelled")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     first = C.stored(doc.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1"),

@@ -13,8 +13,10 @@ from array import array
 
 import numpy as np
 
+from harborline.llm.common import worker_cache
+
 #: Entries of the per-worker pre-token table.
-MAX_ENTRIES = 600_000
+MAX_ENTRIES = 400_000
 
 # GPT-2's published pre-token pattern in terms of Python's `re`; equal to the
 # original on the characters of `_PLAIN` (letters and digits there are the same
@@ -120,11 +122,6 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def byte_bpe(path: str) -> ByteBpe:
-    """One loaded vocabulary per worker and path."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    """The worker's loaded vocabulary."""
+    return worker_cache(("byte-bpe", path), lambda: ByteBpe(path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from harborline.llm.common import mix64
+from harborline.llm.common import mix64, worker_cache
 
 WIDTH = 5
 MAX_ENTRIES = 250_000
@@ -21,8 +21,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
 
 def shingle_set(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's ``width``-word shingles (A-Z lower-cased); a shorter
@@ -32,9 +30,10 @@ def shingle_set(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
         return np.empty(0, _U)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=len(words))], _U)
-    if len(_HASHES) > MAX_ENTRIES:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, words), _U, len(words))
+    known = worker_cache("shingles", _WordHashes)
+    if len(known) > MAX_ENTRIES:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), _U, len(words))
     n = len(h) - width + 1
     s = h[:n] * _MULT[0]
     for k in range(1, width):

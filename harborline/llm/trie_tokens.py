@@ -130,14 +130,9 @@ def trie_counts(words: list[str], v: Vocabulary) -> dict[str, int]:
     return out
 
 
-_LOADED: dict[str, tuple[Vocabulary, dict[bytes, int]]] = {}
-
-
 def _count(batches, model, folder, out):
     path = vocabulary_path(model, folder)
-    if path not in _LOADED:
-        _LOADED[path] = (Vocabulary.from_file(path), {})
-    v, known = _LOADED[path]
+    v, known = C.worker_cache(("trie-tokens", path), lambda: (Vocabulary.from_file(path), {}))
     for b in C.empty_guard(batches):
         texts = C.binary_column(b, 1)
         n_words, n_tokens, i = [], [], 0
