@@ -47,7 +47,7 @@ def _evaluate(kind, indexed_fn, feats_fn, spark, sf) -> DataFrame:
     model = _fit(kind, indexed_fn, feats_fn, spark, sf)
     _, test = _split(indexed_fn, spark, sf)
     out = model.transform(test)
-    auc = BinaryClassificationEvaluator(labelCol="is_delayed", rawPredictionCol="probability").evaluate(out)
+    auc = BinaryClassificationEvaluator(labelCol="is_delayed", rawPredictionCol="probability", numBins=0).evaluate(out)
     acc = out.agg(F.avg((F.col("prediction") == F.col("is_delayed")).cast("double"))).first()[0]
     return spark.createDataFrame([(kind, float(acc), float(auc))], "model string, accuracy double, auc double")
 

@@ -4,7 +4,10 @@ Each job reads a file source incrementally, runs with ``trigger(availableNow=Tru
 (process what is there, then stop; the same code runs continuously with a
 processing-time trigger), writes through ``foreachBatch`` to parquet under the
 shared checkpoint folder, and keeps its streaming state/offsets in a checkpoint
-location there, so a restarted job resumes where it stopped.
+location there. A job started again with the same ``folder`` resumes where it stopped; each
+batch owns one output folder and replaces it when it is done again, so no row is lost or written
+twice. A backfill is one batch whatever the order of its files, so the watermark
+can't pass rows of files that come later.
 
 Event time: the driver's ``events.ts`` is TIMESTAMP_NTZ, which ``withWatermark``
 rejects, so it is cast to TIMESTAMP (session time zone UTC).
@@ -30,30 +33,31 @@ WINDOW = "8 hours"
 WATERMARK = "8 hours"
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+def _paths(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
+    root = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/state"
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema(EVENTS_SCHEMA)
               .parquet(f"{sf_dir}/events*.parquet"))
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    out, state = _paths(spark, name)
+def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str, mode: str = "append",
+                    folder: str | None = None) -> DataFrame:
+    out, state = _paths(spark, name, folder)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", state)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows -> empty result with the stream's schema
-        return spark.createDataFrame([], df.schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # a stream without rows leaves none
+    written = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(written).parquet(out).drop("batch")
 
 
 def checkpoint_8h(events: DataFrame) -> DataFrame:
@@ -63,9 +67,9 @@ def checkpoint_8h(events: DataFrame) -> DataFrame:
             .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("events")))
 
 
-def stream_checkpoint_8h(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_checkpoint_8h(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Append mode emits a window once the watermark passes its end."""
-    out = _run_to_parquet(checkpoint_8h(read_events_stream(spark, sf_dir)), spark, "checkpoint_8h")
+    out = _run_to_parquet(checkpoint_8h(read_events_stream(spark, sf_dir)), spark, "checkpoint_8h", folder=folder)
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type",
                       "avg_value", "events")
 
@@ -76,11 +80,11 @@ def latest_checkpoint(events: DataFrame) -> DataFrame:
     return (events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", WINDOW), "user_id").agg(last))
 
 
-def stream_latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_latest_checkpoint(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Latest event per user per closed 8-hour window. Rows within the watermark
     delay are always aggregated; rows later than it may or may not be dropped (Spark's
     one-directional guarantee)."""
-    out = _run_to_parquet(latest_checkpoint(read_events_stream(spark, sf_dir)), spark, "latest_checkpoint")
+    out = _run_to_parquet(latest_checkpoint(read_events_stream(spark, sf_dir)), spark, "latest_checkpoint", folder=folder)
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id",
                       F.col("last.ts").cast("timestamp_ntz").alias("last_ts"),
                       F.col("last.event_id").alias("last_event_id"), F.col("last.event_type").alias("last_type"),

@@ -38,3 +38,32 @@ def test_append_mode_windows(spark, tmp_path):
     ids = {r.last_event_id for r in out}
     assert {1, 2} <= ids                                     # on-time rows aggregated
     assert 4 not in ids                                      # open window held back
+
+
+def test_file_order_and_restart(spark, tmp_path):
+    """Newest file first, then the same job again with one more file: every closed window once, no row lost."""
+    from harborline.streaming.checkpoints import stream_checkpoint_8h
+    d = tmp_path / "ev"
+    d.mkdir()
+    base = dt.datetime(2024, 1, 2)
+    rows = [(i, base + dt.timedelta(hours=i), 7, 1.0) for i in range(80)]
+    for k in (3, 2, 1, 0):
+        _write(d / f"events{3 - k}.parquet", rows[20 * k:20 * k + 20])
+    folder = str(tmp_path / "job")
+    first = stream_checkpoint_8h(spark, str(d), folder).collect()
+    closed = sum(r.events for r in first)
+    assert closed >= 80 - 8 - 8 - 8 and len({r.window_start for r in first}) == len(first)
+    assert len(stream_checkpoint_8h(spark, str(d), folder).collect()) == len(first)
+    _write(d / "events9.parquet", [(100, base + dt.timedelta(days=20), 7, 1.0)])
+    again = stream_checkpoint_8h(spark, str(d), folder).collect()
+    assert sum(r.events for r in again) == 80 and len({r.window_start for r in again}) == len(again)
+
+
+def test_pairwise_nulls(spark):
+    from harborline.functions.stats import pearson
+    pdf = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, 5.0), (3.0, None, 6.0), (4.0, 7.0, 9.0), (None, 3.0, 1.0)],
+                                "a double, b double, c double")
+    got = {(r.var1, r.var2): r["corr"] for r in pearson(pdf, [("a", "b"), ("a", "c"), ("b", "c")]).collect()}
+    want = pdf.toPandas().corr()
+    for (a, b), v in got.items():
+        assert abs(v - want.loc[a, b]) < 1e-12
