@@ -69,9 +69,17 @@ def _positions(spark, sf):
     return _POSITIONS[key]
 
 
+_INDEXED: dict[tuple, DataFrame] = {}
+
+
 def _indexed(spark, sf):
-    """Scored feature table + position (one equi-join on the shipment key)."""
-    return FP.heuristic_score(_feats(spark, sf)).join(_positions(spark, sf).drop("timestamp"), "shipment_id")
+    """Scored feature table + position, carried through the sort (ids may repeat, so it is never joined
+    back); written once in position order, so folds and splits are range filters."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXED:
+        from harborline.session import materialize
+        _INDEXED[key] = materialize(S.chronological_index(_feats(spark, sf)), "indexed")
+    return FP.heuristic_score(_INDEXED[key])
 
 
 def _test_scores(spark, sf):
