@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -41,7 +42,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType, **params) -> DataFrame:
     """``mapInArrow`` with a module-level function and bound parameters."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(partial(fn, **params), schema)
+    return df.mapInArrow(partial(_released, partial(fn, **params)), schema)
+
+
+def _released(fn: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from fn(batches)
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back to the machine: an idle worker of one operator else keeps its peak while
+    the next one's workers grow beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def binary_column(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
@@ -49,6 +65,11 @@ def binary_column(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
+def binary_values(batch: pa.RecordBatch, i: int) -> Iterator[bytes | None]:
+    """As ``binary_column``, one value at a time."""
+    return (v.as_py() for v in batch.column(i).cast(pa.binary()))
+
+
 def record_batch(schema: pa.Schema, cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(cols, schema)],
@@ -79,6 +100,7 @@ def worker_cache(name, make):
     if found is None:
         _WORKER.clear()
         gc.collect()
+        release()
         found = _WORKER[name] = make()
     return found
 

@@ -73,7 +73,7 @@ def _tokenise(batches, tokenizer, folder, capacity, end_id, groups, seed, out):
     for b in C.empty_guard(batches):
         rows: list[tuple] = []
         held = 0
-        for doc_id, raw in zip(b.column(0).to_pylist(), C.binary_column(b, 1)):
+        for doc_id, raw in zip(b.column(0).to_pylist(), C.binary_values(b, 1)):
             ids = np.append(bpe.ids((raw or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
             data, n = ids.tobytes(), len(ids)
             key = (doc_id, zlib.crc32(data), n)
@@ -84,7 +84,7 @@ def _tokenise(batches, tokenizer, folder, capacity, end_id, groups, seed, out):
                 grp = zlib.crc32(b"%d:" % start, zlib.crc32(mark)) * groups >> 32
                 rows.append((grp, doc_id, start, len(piece) // 4, piece, n))
             held += len(data)
-            if held > 16 << 20:
+            if held > 4 << 20:
                 yield C.record_batch(out, list(map(list, zip(*rows))))
                 rows, held = [], 0
         if rows:

@@ -10,18 +10,23 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 from harborline.llm.common import worker_cache
 
 #: Entries of the per-worker pre-token table.
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 200_000
 
 # GPT-2's published pre-token pattern in terms of Python's `re`; equal to the
 # original on the characters of `_PLAIN` (letters and digits there are the same
 # in every Unicode version).
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Between ASCII letters, a blank always starts a pre-token, so a text may be cut before it.
+_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Characters of a long text that are encoded at a time.
+SEGMENT = 1 << 18
 _ODD = re.compile("[^\t\n\r -~¡-©«-±´¶-¸¿-ſ‐-‧‰-⁞]")
 
 
@@ -95,18 +100,26 @@ class ByteBpe:
         return [i for p in _PRE.findall(text) for i in encode(p.encode())]
 
     def ids(self, text: str) -> np.ndarray:
+        parts = [self._segment_ids(s) for s in segments(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _segment_ids(self, text: str) -> np.ndarray:
         if _ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         found = _PRE.findall(text)
         if not found:
             return np.empty(0, np.uint32)
         self.table.trim()
-        out = []
-        for i in range(0, len(found), 200_000):  # a long text goes through the table in parts
-            part = found[i:i + 200_000]
-            rows = np.fromiter(map(self.table.__getitem__, part), np.int64, len(part))
-            out.append(self.table.gather(rows))
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        return self.table.gather(np.fromiter(map(self.table.__getitem__, found), np.int64, len(found)))
+
+
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that share no pre-token (whole where it has no cut)."""
+    at = 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

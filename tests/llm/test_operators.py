@@ -306,3 +306,15 @@ def test_hot_url_over_many_partitions(spark):
         "*", "map('etag', 'x') as headers", "cast(null as string) as payload_digest", "cast(null as long) as payload_length")
     got = {r["ts"]: r["base_ts"] for r in rows_of(warc.resolve_revisits(df))}
     assert got == {i: i - 1 if i else None for i in range(0, 500, 3)}
+
+
+def test_long_texts_are_encoded_in_segments():
+    from harborline.llm import pieces as P
+    bpe = P.byte_bpe(P.vocabulary_path("byte_bpe_50k.json"))
+    text = "It's 12 old  words,\n\n \twe'll see 北京 naïve 🙂 x y z  . " * 40 + "a" * 300
+    want = bpe.whole.encode(text, add_special_tokens=False).ids
+    for size in (1, 7, 100, 1 << 18):
+        parts = list(P.segments(text, size))
+        assert "".join(parts) == text
+        assert [i for s in parts for i in bpe._segment_ids(s)] == want
+    assert list(P.segments("", 5)) == [""] and bpe.ids("").tolist() == []
