@@ -32,15 +32,17 @@ def _imp_row(imp: DataFrame, names: Sequence[str], default: float) -> DataFrame:
     return row.select(*[F.coalesce(F.col(f"`{n}`"), F.lit(default)).alias(f"__imp_{n}") for n in names])
 
 
-def explain_contributions(scored: DataFrame, imp: DataFrame, names: Sequence[str] = EXPLAIN_FEATURES,
-                          top_n: int = 6, default: float = 0.001, with_pct: bool = False) -> DataFrame:
-    """X1 (+ X2 with ``with_pct``): contribution = |x| / (column max + 1e-9) * importance;
-    the ``top_n`` factors of every shipment (ties: earlier feature first)."""
+def _factor_scalars(scored: DataFrame, imp: DataFrame, names: Sequence[str], default: float,
+                    with_pct: bool = False) -> DataFrame:
+    """One row: each factor's column maximum (of absolute values too, with ``with_pct``) and importance."""
     aggs = [F.max(n).alias(f"__mx_{n}") for n in names]
     if with_pct:
         aggs += [F.max(F.abs(n)).alias(f"__ma_{n}") for n in names]
-    scal = scored.agg(*aggs).crossJoin(_imp_row(imp, names, default))
-    j = scored.select("shipment_id", *names).crossJoin(F.broadcast(scal))
+    return scored.agg(*aggs).crossJoin(_imp_row(imp, names, default))
+
+
+def _factors(names: Sequence[str], with_pct: bool = False) -> list[Column]:
+    """A struct per factor; the greatest struct is the top factor (ties: earlier factor)."""
     items = []
     for i, n in enumerate(names):
         score = F.abs(F.col(n)) / (F.col(f"__mx_{n}") + 1e-9) * F.col(f"__imp_{n}")
@@ -50,7 +52,16 @@ def explain_contributions(scored: DataFrame, imp: DataFrame, names: Sequence[str
             pct = F.least(F.abs(F.col(n) / F.greatest(F.col(f"__ma_{n}"), F.lit(0.001))) * 100, F.lit(100.0))
             fields.append(pct.alias("bar_pct"))
         items.append(F.struct(*fields))
-    top = F.slice(F.sort_array(F.array(*items), asc=False), 1, top_n)
+    return items
+
+
+def explain_contributions(scored: DataFrame, imp: DataFrame, names: Sequence[str] = EXPLAIN_FEATURES,
+                          top_n: int = 6, default: float = 0.001, with_pct: bool = False) -> DataFrame:
+    """X1 (+ X2 with ``with_pct``): contribution = |x| / (column max + 1e-9) * importance;
+    the ``top_n`` factors of every shipment (ties: earlier feature first)."""
+    scal = _factor_scalars(scored, imp, names, default, with_pct)
+    j = scored.select("shipment_id", *names).crossJoin(F.broadcast(scal))
+    top = F.slice(F.sort_array(F.array(*_factors(names, with_pct)), asc=False), 1, top_n)
     e = j.select("shipment_id", F.posexplode(top).alias("pos", "f"))
     cols = ["shipment_id", (F.col("pos") + 1).alias("rank"), "f.feature", "f.value", "f.contribution"]
     if with_pct:
@@ -68,10 +79,16 @@ def _fmt_round(c: Column, places: int) -> Column:
     return F.rint(_canon(c) * s) / s
 
 
-def reroute_advice(scored: DataFrame, contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """For shipments above ``threshold``, the first rule matching the top factor."""
-    top = contributions.where(F.col("rank") == 1).select("shipment_id", F.col("feature").alias("top_feature"))
-    j = scored.where(F.col("ai_delay_prob") > threshold).join(top, "shipment_id")
+def with_top_factor(scored: DataFrame, imp: DataFrame, names: Sequence[str] = EXPLAIN_FEATURES,
+                    default: float = 0.001) -> DataFrame:
+    """``scored`` with ``top_feature``, the factor of rank 1, found inside each row."""
+    j = scored.crossJoin(F.broadcast(_factor_scalars(scored, imp, names, default)))
+    return j.select(*scored.columns, F.array_max(F.array(*_factors(names)))["feature"].alias("top_feature"))
+
+
+def reroute_advice(explained: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """For shipments above ``threshold``, the first rule matching the top factor (``top_feature``)."""
+    j = explained.where(F.col("ai_delay_prob") > threshold)
     f = F.col("top_feature")
     has = lambda *xs: _any(f, xs)
     reason = (

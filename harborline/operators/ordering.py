@@ -3,14 +3,16 @@
 ``with_position(df, order_cols)`` adds ``pos`` (0-based rank in a total order):
 
 1. range-partition on the order keys and sort inside partitions (a distributed
-   sort; the sampled range bounds split hot keys because the order is total);
-2. ``checkpoint()`` into the shared checkpoint folder, which fixes partition
-   contents and cuts lineage (survives executor loss);
+   sort; the number of partitions follows the row count);
+2. write the sorted rows to the shared checkpoint folder with their partition and their
+   rank inside it, which fixes both and cuts lineage (survives executor loss);
 3. per-partition row counts -> cumulative offsets (one row per partition, a
    proven small table) -> broadcast join on the partition id;
-4. ``pos = offset + rank inside the partition`` via ``monotonically_increasing_id``.
+4. ``pos = offset + rank inside the partition``.
 
-This replaces ``row_number() OVER (ORDER BY ...)``, which runs in one task.
+This replaces ``row_number() OVER (ORDER BY ...)``, which runs in one task. Rows that tie
+on all order keys share a range partition, so values that repeat much are counted first
+(``exact_quantiles``) or get a further key.
 """
 
 from __future__ import annotations
@@ -20,65 +22,70 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.session import ensure_checkpoint_dir
+from harborline.session import materialize
 
 _PID = "__pid"
-_MID = "__mid"
+_LOCAL = "__local"
+#: Rows a range partition is meant to hold.
+PARTITION_ROWS = 2_000_000
 
 
-def with_position(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos",
+def _sorted(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataFrame:
+    """``df`` sorted over range partitions and written, with ``__pid`` and ``__local`` (rank inside)."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(least, -(-df.count() // PARTITION_ROWS))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                       .withColumn(_PID, F.spark_partition_id()).withColumn(_LOCAL, local), "ordered")
+
+
+def _offset_window() -> Window:
+    return Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_position(df: DataFrame, order_cols: Sequence, pos_col: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
-    tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        _PID,
-        (F.coalesce(F.sum("__n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
-                    F.lit(0))).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), _PID)
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    return out.withColumn(pos_col, F.col("__off") + local).drop(_PID, _MID, "__off")
+    rows = _sorted(df, order_cols, num_partitions)
+    counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(_PID, F.coalesce(F.sum("__n").over(_offset_window()), F.lit(0)).alias("__off"))
+    return (rows.join(F.broadcast(offsets), _PID)
+            .select(*df.columns, (F.col("__off") + F.col(_LOCAL)).alias(pos_col)))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), tie_col: str | None = None,
-                    prefix: str = "q") -> DataFrame:
+                    group_cols: Sequence[str] = (), prefix: str = "q") -> DataFrame:
     """Linear-interpolation quantiles (= DuckDB ``quantile_cont``) per group.
 
-    Distributed: one global sort of the narrow projection, then each group's
-    target ranks are fetched by an equi-join on position. Output: group cols +
-    ``{prefix}{i}`` per probability and ``n``.
+    Rows are counted per distinct (group, value) first, so a value that most rows share is one row of
+    the sort. Running sums of the counts give each value its range of ranks, and the target ranks pick
+    their values in one aggregate. Output: group cols + ``{prefix}{i}`` per probability and ``n``.
     """
     group_cols = list(group_cols)
-    base = df.select(*group_cols, value_col).where(F.col(value_col).isNotNull())
-    order = group_cols + [value_col] + ([tie_col] if tie_col else [])
-    if tie_col:
-        base = df.select(*group_cols, value_col, tie_col).where(F.col(value_col).isNotNull())
-    pos = with_position(base, order)
-    grp = pos.groupBy(*group_cols).agg(F.min("pos").alias("__start"), F.count(F.lit(1)).alias("n"))
-    targets = grp
+    counted = (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, F.col(value_col).alias("__v"))
+               .agg(F.count(F.lit(1)).alias("__c")))
+    order = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col("__v")]
+    ranked = with_running_sums(counted, order, ["__c"]).select(
+        *group_cols, "__v", (F.col("cum___c") - F.col("__c")).alias("__from"), F.col("cum___c").alias("__to"))
+    grp = ranked.groupBy(*group_cols).agg(F.min("__from").alias("__start"), F.max("__to").alias("__end"))
+    if group_cols:
+        g = grp.withColumnsRenamed({c: f"__g_{c}" for c in group_cols})
+        j = ranked.join(g, [ranked[c].eqNullSafe(g[f"__g_{c}"]) for c in group_cols]).drop(
+            *[f"__g_{c}" for c in group_cols])
+    else:
+        j = ranked.crossJoin(F.broadcast(grp))
+    n = F.col("__end") - F.col("__start")
+    picks = []
+    for i, q in enumerate(probs):
+        for name, edge in (("lo", F.floor), ("hi", F.ceil)):
+            at = F.col("__start") + edge((n - 1) * F.lit(float(q)))
+            picks.append(F.max(F.when((at >= F.col("__from")) & (at < F.col("__to")), F.col("__v"))).alias(f"__{name}{i}"))
+    out = j.groupBy(*group_cols).agg(F.max(n).alias("n"), *picks)
     for i, q in enumerate(probs):
         rank = (F.col("n") - 1) * F.lit(float(q))
-        targets = (targets.withColumn(f"__lo{i}", F.col("__start") + F.floor(rank))
-                   .withColumn(f"__hi{i}", F.col("__start") + F.ceil(rank))
-                   .withColumn(f"__d{i}", rank - F.floor(rank)))
-    # long list of needed positions -> join once with the sorted values
-    needed = targets.select(*group_cols, F.explode(F.array(*[
-        c for i in range(len(probs)) for c in (F.col(f"__lo{i}"), F.col(f"__hi{i}"))])).alias("pos")).distinct()
-    vals = pos.select("pos", value_col).join(needed.select("pos"), "pos", "left_semi")
-    vals = vals.withColumnRenamed(value_col, "__v")
-    out = targets
-    for i in range(len(probs)):
-        lo = vals.select(F.col("pos").alias(f"__lo{i}"), F.col("__v").alias(f"__vlo{i}"))
-        hi = vals.select(F.col("pos").alias(f"__hi{i}"), F.col("__v").alias(f"__vhi{i}"))
-        out = out.join(lo, f"__lo{i}").join(hi, f"__hi{i}")
-        out = out.withColumn(f"{prefix}{i}", F.col(f"__vlo{i}") + (F.col(f"__vhi{i}") - F.col(f"__vlo{i}")) * F.col(f"__d{i}"))
-    keep = group_cols + [f"{prefix}{i}" for i in range(len(probs))] + ["n"]
-    return out.select(*keep)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out = out.withColumn(f"{prefix}{i}", lo + (hi - lo) * (rank - F.floor(rank)))
+    return out.select(*group_cols, *[f"{prefix}{i}" for i in range(len(probs))], "n")
 
 
 def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], pos_col: str = "pos",
@@ -88,23 +95,16 @@ def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], p
     Same layout as ``with_position``: range partitions fixed by a checkpoint; per
     partition totals give offsets (one row per partition, broadcast); the running
     sum inside a partition is a window over that partition alone."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
-    tot = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _sorted(df, order, num_partitions)
+    tot = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    before = _offset_window()
     offs = tot.select(_PID, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
                       *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
-    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offs), _PID)
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    cols = [(F.col("__off") + local).alias(pos_col)]
+    inside = Window.partitionBy(_PID).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(offs), _PID)
+    cols = [(F.col("__off") + F.col(_LOCAL)).alias(pos_col)]
     cols += [(F.col(f"__o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sum_cols]
-    keep = [c for c in df.columns]
-    return out.select(*keep, *cols)
+    return out.select(*df.columns, *cols)
 
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, accuracy: int = 100_000) -> float | None:
@@ -134,8 +134,12 @@ def exact_quantile(df: DataFrame, value_col: str, q: float, accuracy: int = 100_
         base = c["below"]
     else:
         sub, base = vals, 0
-    pos = with_position(sub, ["__v"])
-    got = {r["pos"] + base: r["__v"] for r in
-           pos.where(F.col("pos").isin(r_lo - base, r_hi - base)).select("pos", "__v").collect()}
-    v_lo, v_hi = got[r_lo], got[r_hi]
+    counted = sub.groupBy("__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = with_running_sums(counted, ["__v"], ["__c"])
+
+    def at(rank):
+        r = F.lit(rank - base)
+        return F.max(F.when((r >= F.col("cum___c") - F.col("__c")) & (r < F.col("cum___c")), F.col("__v")))
+
+    v_lo, v_hi = ranked.agg(at(r_lo), at(r_hi)).first()
     return v_lo + (v_hi - v_lo) * frac

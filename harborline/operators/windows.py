@@ -1,20 +1,18 @@
 """Leak-free history features per key.
 
-All frames count rows in the total order ``(timestamp, shipment_id)`` and look at
-earlier rows only (W5 includes the current row, as the reproduced code does).
-
-Two physical forms with identical results:
-
-* ``history_features_plain``: one window per key spec. Specs are ordered
-  (origin), (origin, dest), (carrier, origin), (dest), (carrier) so that a hash
-  partitioning by origin also serves the wider origin keys: 3 exchanges, not 5.
-  A key holding a third of all rows is sorted by one task.
-* ``history_features_chunked`` (default): each key's history is cut into time
-  chunks. W1 = prefix sums over the small per-chunk table + an in-chunk running
-  sum. W2-W5 need at most ``HALO`` earlier rows: the last ``HALO`` rows before a
-  chunk are copied into it as halo rows, the frames run inside
-  (key, chunk), and the halo rows are dropped. A hot key is spread over as many
-  tasks as it has chunks.
+All frames count rows in the total order ``(timestamp, shipment_id)``, null times last, and look
+at earlier rows only (W5 includes the current row, as the reproduced code does).
+
+One physical form at every size. A distributed sort gives each row its position, which is unique and
+never null, so repeated ids and missing times need no special case. A chunk is ``chunk_rows``
+consecutive positions, so no (key, chunk) group exceeds it, however large the key is.
+
+* W1 = sums over the key's earlier chunks (a table with one row per key and chunk) + a running
+  sum inside the chunk.
+* W2-W5 need at most ``HALO`` earlier rows: the last ``HALO`` rows of the key before a chunk are
+  copied into it as halo rows, the frames run inside (key, chunk), and the halo rows are dropped.
+
+The work runs on a narrow projection; its columns are joined back to the wide rows by position.
 """
 
 from __future__ import annotations
@@ -25,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.constants import LAG_COLS
+from harborline.operators.ordering import with_position
+from harborline.session import materialize
 
-ORDER = ["timestamp", "shipment_id"]
 LABEL = "is_delayed"
 HALO = 30
+CHUNK_ROWS = 1_000_000
+POS, CHUNK = "__pos", "__chunk"
 
 # (output name, key columns) for the expanding delay rate (W1), in exchange-sharing order.
 HIST_SPECS = [
@@ -51,8 +52,12 @@ HISTORY_COLUMNS = (["orig_delay_hist", "dest_delay_hist", "carrier_delay_hist",
                    + [f"{c}_{s}" for c in LAG_COLS for s in ("lag1", "lag3", "roll7", "roll14")])
 
 
-def _w(keys: Sequence[str], extra: Sequence[str] = ()) -> Window:
-    return Window.partitionBy(*keys, *extra).orderBy(*ORDER)
+def chronological() -> list[Column]:
+    return [F.col("timestamp").asc_nulls_last(), F.col("shipment_id").asc_nulls_last()]
+
+
+def _w(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys, CHUNK).orderBy(POS)
 
 
 def _rolling_rate(w: Window, n: int, min_count: int, col: str = LABEL) -> Column:
@@ -82,125 +87,76 @@ def _origin_exprs(w: Window) -> dict[str, Column]:
     return out
 
 
-def history_features_plain(df: DataFrame) -> DataFrame:
-    """W1-W5 as plain windows (reference form; used to test the chunked form)."""
-    cols = {}
-    for name, keys in HIST_SPECS[:3]:
-        cols[name] = F.avg(LABEL).over(_w(keys).rowsBetween(Window.unboundedPreceding, -1))
-    cols.update(_origin_exprs(_w(["origin_port"])))
-    out = df.select("*", *[e.alias(n) for n, e in cols.items()])
-    for name, keys in HIST_SPECS[3:]:
-        out = out.withColumn(name, F.avg(LABEL).over(_w(keys).rowsBetween(Window.unboundedPreceding, -1)))
-    out = out.withColumn("carrier_delay_30d", _rolling_rate(_w(["carrier_id"]), 30, 5))
-    return out.select(*df.columns, *HISTORY_COLUMNS)
-
-
-# ---------------------------------------------------------------------------
-# chunked form
-# ---------------------------------------------------------------------------
-
-def _chunk_expr(unit: str) -> Column:
-    return F.date_trunc(unit, F.col("timestamp"))
+def _chunk_table(narrow: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (key, chunk): rows, dense chunk number, and rows, label sum and labels before the chunk.
 
-
-def _chunk_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per (key, chunk): rows, label sum, dense index and counts before the chunk."""
-    t = df.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__cn"), F.sum(LABEL).alias("__cs"),
-                                        F.count(LABEL).alias("__cc"))
-    w = Window.partitionBy(*keys).orderBy("__chunk")
+    Written out, so that Spark plans its joins by the table's real size."""
+    t = narrow.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__cn"), F.sum(LABEL).alias("__cs"),
+                                         F.count(LABEL).alias("__cc"))
+    w = Window.partitionBy(*keys).orderBy(CHUNK)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return t.select(*keys, "__chunk", "__cn",
-                    F.row_number().over(w).alias("__ci"),
-                    F.coalesce(F.sum("__cn").over(before), F.lit(0)).alias("__nb"),
-                    F.coalesce(F.sum("__cs").over(before), F.lit(0)).alias("__sb"),
-                    F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__cb"))
-
+    return materialize(t.select(*keys, CHUNK, "__cn",
+                                F.row_number().over(w).alias("__ci"),
+                                F.coalesce(F.sum("__cn").over(before), F.lit(0)).alias("__nb"),
+                                F.coalesce(F.sum("__cs").over(before), F.lit(0)).alias("__sb"),
+                                F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__cb")), "chunks")
 
-SMALL_TABLE_ROWS = 1_000_000
 
+def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null equal to null; the left's keys stay."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
+    return left.join(r, on).drop(*[f"__r_{k}" for k in keys])
 
-def _small(t: DataFrame) -> DataFrame:
-    """Broadcast a per-chunk table when its counted size is below ``SMALL_TABLE_ROWS``
-    (its size is keys x chunks, bounded by the categorical domain and the time span,
-    not by the row count; the count checks it before any broadcast)."""
-    return F.broadcast(t) if t.count() <= SMALL_TABLE_ROWS else t
 
-
-def _with_halo(df: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+def _with_halo(df: DataFrame, chunks: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
     """Rows of ``df`` (``__halo`` = 0) plus, for each (key, chunk), copies of the
     ``HALO`` rows that precede the chunk in key order (``__halo`` = 1, payload only).
     Each tail row can reach at most ``HALO`` later chunks (every chunk holds at least
     one row), so the candidate list per tail row is bounded."""
-    chunks = _small(_chunk_table(df, [key]).select(key, "__chunk", "__ci", "__nb", "__cn"))
-    wd = Window.partitionBy(key, "__chunk").orderBy(*[F.col(c).desc() for c in ORDER])
-    tail = (df.select(key, "__chunk", *ORDER, *payload, F.row_number().over(wd).alias("__rd"))
-            .where(F.col("__rd") <= HALO)
-            .join(chunks, [key, "__chunk"]))
-    cand = tail.select(key, *ORDER, *payload,
+    wd = Window.partitionBy(key, CHUNK).orderBy(F.desc(POS))
+    tail = (df.select(key, CHUNK, POS, *payload, F.row_number().over(wd).alias("__rd"))
+            .where(F.col("__rd") <= HALO))
+    tail = _join_same(tail, chunks.select(key, CHUNK, "__ci", "__nb", "__cn"), [key, CHUNK])
+    cand = tail.select(key, POS, *payload,
                        (F.col("__nb") + F.col("__cn") - F.col("__rd")).alias("__p0"),
                        F.explode(F.sequence(F.col("__ci") + 1, F.col("__ci") + HALO)).alias("__cj"))
-    target = chunks.select(key, F.col("__ci").alias("__cj"), F.col("__chunk"), F.col("__nb").alias("__tnb"))
-    halo = (cand.join(target, [key, "__cj"]).where(F.col("__tnb") - F.col("__p0") <= HALO)
-            .select(key, "__chunk", *ORDER, *payload, F.lit(1).alias("__halo")))
+    target = chunks.select(key, F.col("__ci").alias("__cj"), CHUNK, F.col("__nb").alias("__tnb"))
+    halo = (_join_same(cand, target, [key, "__cj"]).where(F.col("__tnb") - F.col("__p0") <= HALO)
+            .select(key, CHUNK, POS, *payload, F.lit(1).alias("__halo")))
     return df.withColumn("__halo", F.lit(0)).unionByName(halo, allowMissingColumns=True)
 
 
-def history_features_chunked(df: DataFrame, unit: str = "month") -> DataFrame:
-    """W1-W5 with hot keys split by time chunk (``unit``: any ``date_trunc`` unit).
-
-    Works on a narrow projection (id, keys, time, label, lag signals); the history
-    columns are joined back to the wide frame once, by ``shipment_id``. Per-chunk
-    prefix tables are broadcast (checked size), so the W1 windows keyed by
-    (origin, ...) share one hash partitioning."""
-    keys_all = ["origin_port", "destination_port", "carrier_id"]
-    narrow = df.select(*ORDER, *keys_all, LABEL, *LAG_COLS, _chunk_expr(unit).alias("__chunk"))
+def history_columns(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``__pos`` and the W1-W5 columns of rows that carry their position."""
+    narrow = ordered.select(POS, "origin_port", "destination_port", "carrier_id", LABEL, *LAG_COLS,
+                            F.floor(F.col(POS) / chunk_rows).alias(CHUNK))
+    tables = {name: _chunk_table(narrow, keys) for name, keys in HIST_SPECS}
 
-    # Prefix over chunks (small tables) + running sum inside (key, chunk)
-    j = narrow
-    w1 = {}
+    j, w1 = narrow, {}
     for i, (name, keys) in enumerate(HIST_SPECS):
-        ct = _chunk_table(narrow, keys).select(*keys, "__chunk", F.col("__sb").alias(f"__sb{i}"),
-                                               F.col("__cb").alias(f"__cb{i}"))
-        j = j.join(_small(ct), [*keys, "__chunk"], "left")
-        w = _w(keys, ["__chunk"]).rowsBetween(Window.unboundedPreceding, -1)
+        before = tables[name].select(*keys, CHUNK, F.col("__sb").alias(f"__sb{i}"), F.col("__cb").alias(f"__cb{i}"))
+        j = _join_same(j, before, [*keys, CHUNK])
+        w = _w(keys).rowsBetween(Window.unboundedPreceding, -1)
         num = F.col(f"__sb{i}") + F.coalesce(F.sum(LABEL).over(w), F.lit(0))
         den = F.col(f"__cb{i}") + F.coalesce(F.count(LABEL).over(w), F.lit(0))
         w1[name] = F.when(den > 0, num / den)
     j = j.select(*narrow.columns, *[e.alias(n) for n, e in w1.items()])
 
     # W2 (origin), W3-W5: frames inside (origin, chunk) with halo rows
-    ho = _with_halo(j, "origin_port", [LABEL, *LAG_COLS])
-    o_exprs = _origin_exprs(_w(["origin_port"], ["__chunk"]))
-    keep = ["shipment_id", "timestamp", "carrier_id", "__chunk", LABEL, *w1]
-    wo = (ho.select(*keep, "__halo", *[e.alias(n) for n, e in o_exprs.items()])
+    ho = _with_halo(j, tables["orig_delay_hist"], "origin_port", [LABEL, *LAG_COLS])
+    wo = (ho.select(POS, "carrier_id", CHUNK, LABEL, *w1, "__halo",
+                    *[e.alias(n) for n, e in _origin_exprs(_w(["origin_port"])).items()])
           .where(F.col("__halo") == 0).drop("__halo"))
 
-    # W2 (carrier)
-    hc = _with_halo(wo, "carrier_id", [LABEL])
-    wc = (hc.select("*", _rolling_rate(_w(["carrier_id"], ["__chunk"]), 30, 5).alias("carrier_delay_30d"))
-          .where(F.col("__halo") == 0))
-    hist = wc.select("shipment_id", *HISTORY_COLUMNS)
-    return df.join(hist, "shipment_id", "left").select(*df.columns, *HISTORY_COLUMNS)
-
-
-HOT_KEY_ROWS = 5_000_000
-
-
-def largest_key_rows(df: DataFrame) -> int:
-    """Rows held by the largest origin, destination or carrier key (one small
-    aggregate per key family; partial aggregation keeps the shuffle tiny)."""
-    biggest = 0
-    for k in ("origin_port", "destination_port", "carrier_id"):
-        m = df.groupBy(k).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        biggest = max(biggest, m or 0)
-    return biggest
+    # W2 (carrier): its halo rows come from the narrow rows, not from the windows above
+    rate = _with_halo(narrow.select(POS, CHUNK, "carrier_id", LABEL), tables["carrier_delay_hist"], "carrier_id", [LABEL])
+    rate = (rate.select(POS, "__halo", _rolling_rate(_w(["carrier_id"]), 30, 5).alias("carrier_delay_30d"))
+            .where(F.col("__halo") == 0).drop("__halo"))
+    return wo.join(rate, POS).select(POS, *HISTORY_COLUMNS)
 
 
-def history_features(df: DataFrame, chunked: bool | None = None, unit: str = "month",
-                     hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """W1-W5. ``chunked=None`` decides at run time: the plain windows (3 exchanges)
-    when every key fits one task's budget of ``hot_key_rows`` rows, the chunked form
-    (hot keys split by time chunk) as soon as one key is larger."""
-    if chunked is None:
-        chunked = largest_key_rows(df) > hot_key_rows
-    return history_features_chunked(df, unit) if chunked else history_features_plain(df)
+def history_features(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with the W1-W5 columns, one row per input row (repeated ids and null times included)."""
+    ordered = with_position(df, chronological(), POS)
+    return ordered.join(history_columns(ordered, chunk_rows), POS).select(*df.columns, *HISTORY_COLUMNS)

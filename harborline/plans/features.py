@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from harborline.constants import ANOMALY_FEATURES, ENCODED_COLS, REROUTE_THRESHOLD
 from harborline.functions.columns import risk_band, risk_rank, round_half_even
 from harborline.operators import cleaning as C
-from harborline.operators.ordering import exact_quantile
-from harborline.operators.windows import history_features
+from harborline.operators.ordering import exact_quantile, with_position
+from harborline.operators.windows import HISTORY_COLUMNS, POS, chronological, history_columns, history_features
 from harborline.session import materialize
 from harborline.sources.shipments import RAW_COLUMNS, shipments
 
@@ -73,14 +73,14 @@ def per_row_stage(raw: DataFrame, anomaly: str = "zscore", stage: bool = False)
     return C.calendar_features(df)
 
 
-def engineered(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
+def engineered(raw: DataFrame, anomaly: str = "zscore") -> DataFrame:
     """Full feature frame before the drop: raw + derived + anomaly + calendar + history."""
-    return history_features(per_row_stage(raw, anomaly), chunked=chunked)
+    return history_features(per_row_stage(raw, anomaly))
 
 
-def features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
+def features(raw: DataFrame, anomaly: str = "zscore") -> DataFrame:
     """P14 + P15 on top of ``engineered``: complete rows with encoded categoricals."""
-    return C.label_encode(C.drop_incomplete(engineered(raw, chunked, anomaly)), ENCODED_COLS)
+    return C.label_encode(C.drop_incomplete(engineered(raw, anomaly)), ENCODED_COLS)
 
 
 def heuristic_score(df: DataFrame) -> DataFrame:
@@ -103,12 +103,14 @@ def add_score_columns(df: DataFrame, prob: str = "ai_delay_prob") -> DataFrame:
 _TABLES: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def build_features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "zscore") -> dict[str, DataFrame]:
+def build_features(raw: DataFrame, anomaly: str = "zscore") -> dict[str, DataFrame]:
     """Materialised stages of ``features``: per-row stage (all rows), engineered
     (with history, all rows), and the feature table (complete rows, encoded). Each
     stage is written once, so the windows run once and later stages read files."""
-    rows = materialize(per_row_stage(raw, anomaly, stage=True), "rows")
-    hist = history_features(rows, chunked=chunked)
+    # the sort by time writes the per-row stage; history reads it, and joins back on the position
+    ordered = with_position(per_row_stage(raw, anomaly, stage=True), chronological(), POS)
+    rows = ordered.drop(POS)
+    hist = ordered.join(history_columns(ordered), POS).select(*rows.columns, *HISTORY_COLUMNS)
     eng = materialize(C.with_complete_flag(hist), "engineered")
     complete = eng.where(F.col(C.COMPLETE)).drop(C.COMPLETE)
     # encodings: small dictionaries fitted on the complete rows, stored once and
@@ -120,18 +122,17 @@ def build_features(raw: DataFrame, chunked: bool | None = None, anomaly: str = "
             "engineered_files": eng}
 
 
-def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", chunked: bool | None = None,
-               anomaly: str = "zscore") -> DataFrame:
+def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", anomaly: str = "zscore") -> DataFrame:
     """A materialised stage for ``sf_dir``, built once per session and reused by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir, chunked, anomaly)
+    key = (spark.sparkContext.applicationId, sf_dir, anomaly)
     if key not in _TABLES:
-        _TABLES[key] = build_features(shipments(spark, sf_dir), chunked, anomaly)
+        _TABLES[key] = build_features(shipments(spark, sf_dir), anomaly)
     return _TABLES[key][stage]
 
 
-def load_features(spark: SparkSession, sf_dir: str, chunked: bool | None = None, anomaly: str = "zscore") -> DataFrame:
-    return load_stage(spark, sf_dir, "features", chunked, anomaly)
+def load_features(spark: SparkSession, sf_dir: str, anomaly: str = "zscore") -> DataFrame:
+    return load_stage(spark, sf_dir, "features", anomaly)
 
 
-def load_scored(spark: SparkSession, sf_dir: str, chunked: bool | None = None) -> DataFrame:
-    return heuristic_score(load_features(spark, sf_dir, chunked))
+def load_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heuristic_score(load_features(spark, sf_dir))

@@ -250,8 +250,7 @@ def _q() -> dict[str, Query]:
     q["explain_contributions"] = lambda s, sf: X.explain_contributions(_scored(s, sf), _importance(s, sf))
     q["feature_bar_pct"] = lambda s, sf: X.explain_contributions(_scored(s, sf), _importance(s, sf), top_n=8,
                                                                  with_pct=True)
-    q["reroute_advice"] = lambda s, sf: X.reroute_advice(
-        _scored(s, sf), X.explain_contributions(_scored(s, sf), _importance(s, sf), top_n=1))
+    q["reroute_advice"] = lambda s, sf: X.reroute_advice(X.with_top_factor(_scored(s, sf), _importance(s, sf)))
     q["risk_narrative"] = lambda s, sf: X.risk_narrative(_scored(s, sf))
     q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_feats(s, sf)),
                                                        A.route_history_context(_feats(s, sf)))

@@ -65,17 +65,39 @@ def test_oracle_agrees(spark, sf, duck, name):
     assert r1 == r2
 
 
-def test_chunked_equals_plain(spark, sf):
-    from harborline.functions.output import round_doubles
-    from harborline.operators.windows import history_features
-    from harborline.plans import features as FP
-    rows = FP.load_stage(spark, sf, "rows")
-    a = round_doubles(history_features(rows, chunked=False), 9)
-    b = round_doubles(history_features(rows, chunked=True, unit="week"), 9)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    # automatic choice: a tiny per-task budget makes every port "hot" -> chunked form, same rows
-    c = round_doubles(history_features(rows, chunked=None, hot_key_rows=100), 9)
-    assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+@pytest.mark.parametrize("chunk_rows", [7, 100, 1_000_000])
+def test_history_with_repeated_ids_and_missing_times(spark, tmp_path, chunk_rows):
+    """W1-W5 against plain DuckDB windows: repeated rows, null times, null keys and labels, one hot port."""
+    from harborline.constants import LAG_COLS
+    from harborline.operators.windows import HISTORY_COLUMNS, history_features
+    from harborline.plans import oracle_base as OB
+    rnd = lambda i, k: F.pmod(F.xxhash64(F.col(i), F.lit(k)), F.lit(1000))
+    base = spark.range(400).select(
+        F.format_string("S%04d", "id").alias("shipment_id"),
+        F.when(rnd("id", 1) > 80, F.expr("timestamp_ntz'2001-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int) % 97)"))
+        .alias("timestamp"),
+        F.when(rnd("id", 2) < 700, "Dubai").when(rnd("id", 2) < 960, "Tokyo").alias("origin_port"),
+        F.when(rnd("id", 3) < 500, "Busan").when(rnd("id", 3) < 970, "Mumbai").alias("destination_port"),
+        F.when(rnd("id", 4) < 970, F.format_string("C%d", rnd("id", 4) % 3)).alias("carrier_id"),
+        F.when(rnd("id", 5) < 900, (rnd("id", 5) % 2).cast("int")).alias("is_delayed"),
+        *[F.when(rnd("id", 9 + k) < 900, (rnd("id", 9 + k) / 8).cast("double")).alias(c) for k, c in enumerate(LAG_COLS)])
+    path = str(tmp_path / "rows")
+    base.unionByName(base.where("shipment_id < 'S0040'")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    got = history_features(rows, chunk_rows).select("shipment_id", *HISTORY_COLUMNS)
+    exprs = {"orig_delay_hist": OB._hist("origin_port"), "dest_delay_hist": OB._hist("destination_port"),
+             "carrier_delay_hist": OB._hist("carrier_id"), "route_delay_hist": OB._hist("origin_port, destination_port"),
+             "carrier_route_hist": OB._hist("carrier_id, origin_port"), "port_delay_30d": OB._rate("origin_port", 30, 5),
+             "port_delay_7d": OB._rate("origin_port", 7, 3), "carrier_delay_30d": OB._rate("carrier_id", 30, 5)}
+    exprs |= {f"delay_lag{k}": OB._lag("is_delayed", k) for k in (1, 3, 7)}
+    for c in LAG_COLS:
+        exprs |= {f"{c}_lag1": OB._lag(c, 1), f"{c}_lag3": OB._lag(c, 3), f"{c}_roll7": OB._roll(c, 7, 1),
+                  f"{c}_roll14": OB._roll(c, 14, 3)}
+    # repeated rows tie: one order of them must hold for all windows
+    sql = ", ".join(f"{e.replace('ORDER BY timestamp, shipment_id', 'ORDER BY rn')} AS {n}" for n, e in exprs.items())
+    want = duckdb.sql(f"SELECT shipment_id, {sql} FROM (SELECT *, row_number() OVER (ORDER BY timestamp, shipment_id) "
+                      f"AS rn FROM read_parquet('{path}/*.parquet'))").df()
+    assert _canon(got.toPandas()) == _canon(want[got.columns])
 
 
 def test_isolation_forest_invariants(spark, sf):
