@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -46,8 +47,10 @@ def map_arrow(df: DataFrame, fn, schema: str | T.StructType, **params) -> DataFr
 
 
 def _released(fn: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _busy()
     yield from fn(batches)
     release()
+    _idle()
 
 
 def release() -> None:
@@ -91,6 +94,30 @@ def optional(df: DataFrame, name: str, kind: str = "string"):
 
 
 _WORKER: dict = {}
+#: Seconds without a task after which a worker drops its table.
+IDLE_SECONDS = 3.0
+_timer: threading.Timer | None = None
+
+
+def _busy() -> None:
+    if _timer:
+        _timer.cancel()
+
+
+def _idle() -> None:
+    """Drop the worker's table unless a task follows soon: Spark keeps idle workers for a minute, beside those
+    of the next session's tasks."""
+    global _timer
+    _busy()
+    _timer = threading.Timer(IDLE_SECONDS, _forget)
+    _timer.daemon = True
+    _timer.start()
+
+
+def _forget() -> None:
+    _WORKER.clear()
+    gc.collect()
+    release()
 
 
 def worker_cache(name, make):
