@@ -59,14 +59,40 @@ def lp_scenarios(scored: DataFrame, n_routes: int = 3) -> DataFrame:
     return route_allocation(scenario_options(top_routes(scored, n_routes, "prob")))
 
 
-def polyline_points(routes: DataFrame, n: int = 30, height: float = 6.0, signed: bool = True) -> DataFrame:
-    """Arc between two ports, ``n + 1`` points, bulge ``h sin(pi i / n)``
-    (times sign(dlat) when ``signed``). One generator row per point."""
+def route_ends(routes: DataFrame) -> DataFrame:
+    """Route keys with the coordinates of both ends (la1, lo1, la2, lo2); routes with an unknown port go."""
     ports = F.broadcast(port_dim(routes.sparkSession))
     o = ports.select(F.col("port").alias("origin_port"), F.col("lat").alias("la1"), F.col("lon").alias("lo1"))
     d = ports.select(F.col("port").alias("destination_port"), F.col("lat").alias("la2"), F.col("lon").alias("lo2"))
-    j = routes.select(*ROUTE).join(o, "origin_port").join(d, "destination_port")
-    e = j.select(*ROUTE, "la1", "lo1", "la2", "lo2", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i"))
+    return routes.select(*ROUTE).join(o, "origin_port").join(d, "destination_port")
+
+
+def _points(ends: DataFrame, points: list) -> DataFrame:
+    """One row per (lat, lon) of ``points``, numbered from 0."""
+    e = ends.select(*ROUTE, F.posexplode(F.array(*[F.struct(la.alias("lat"), lo.alias("lon")) for la, lo in points])))
+    return e.select(*ROUTE, F.col("pos").alias("i"), "col.lat", "col.lon")
+
+
+def three_point_arc(routes: DataFrame, height: float = 8.0) -> DataFrame:
+    """Origin, midpoint bent by ``height`` degrees of latitude towards the origin's side, destination."""
+    la1, lo1, la2, lo2 = (F.col(c) for c in ("la1", "lo1", "la2", "lo2"))
+    mid = (la1 + la2) / 2 + F.lit(height) * F.signum(la1 - la2)
+    return _points(route_ends(routes), [(la1, lo1), (mid, (lo1 + lo2) / 2), (la2, lo2)])
+
+
+def detour_points(routes: DataFrame, south: float = 15.0) -> DataFrame:
+    """Detour in five points through a waypoint ``south`` degrees below the lower end."""
+    la1, lo1, la2, lo2 = (F.col(c) for c in ("la1", "lo1", "la2", "lo2"))
+    low, mid = F.least(la1, la2) - south, (lo1 + lo2) / 2
+    return _points(route_ends(routes), [
+        (la1, lo1), ((la1 + low) / 2, lo1 + (mid - lo1) * 0.4), (low, mid),
+        ((low + la2) / 2, mid + (lo2 - mid) * 0.6), (la2, lo2)])
+
+
+def polyline_points(routes: DataFrame, n: int = 30, height: float = 6.0, signed: bool = True) -> DataFrame:
+    """Arc between two ports, ``n + 1`` points, bulge ``h sin(pi i / n)``
+    (times sign(dlat) when ``signed``). One generator row per point."""
+    e = route_ends(routes).select(*ROUTE, "la1", "lo1", "la2", "lo2", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i"))
     frac = F.col("i") / n
     bulge = F.lit(height) * F.sin(F.lit(3.141592653589793) * F.col("i") / n)
     if signed:

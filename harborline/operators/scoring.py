@@ -41,6 +41,15 @@ def filter_shipments(scored: DataFrame, search: str = "", risk_status: str = "AL
     return scored.where(cond)
 
 
+def top_shipments(scored: DataFrame, n: int = 15, sort_by: str = "ai_risk_score",
+                  rerouted_only: bool = False) -> DataFrame:
+    """O2: the ``n`` largest rows by ``sort_by`` (ai_risk_score, delay_minutes or ai_delay_prob; nulls last,
+    ties by id), all or only those flagged for rerouting."""
+    rows = scored.where(F.col("ai_rerouted") == 1) if rerouted_only else scored
+    return rows.orderBy(F.desc_nulls_last(sort_by), "shipment_id").limit(n).select(
+        "shipment_id", "origin_port", "destination_port", "ai_risk_score", "ai_delay_prob", "delay_minutes")
+
+
 def shipment_lookup(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is in ``ids`` (a one-column frame; semi join)."""
     return df.join(ids.select("shipment_id"), "shipment_id", "left_semi")

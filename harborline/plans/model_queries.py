@@ -2,16 +2,17 @@
 
 Trees cannot match across engines, so these have no SQL twin. They use the
 reference's structure (chronological 80/20 split, 3 expanding folds, 5
-permutation repeats on at most 2,000 test rows) with the check-size settings in
-``registry.CHECK_*``.
+permutation repeats over the whole test part). The forest runs at the reference
+settings, boosting at the check-size settings in ``registry.CHECK_*``.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborline.constants import RF_SCRIPT
 from harborline.operators import anomaly as AN
 from harborline.operators import models as M
 from harborline.operators import scoring as S
@@ -30,7 +31,7 @@ def _features(feats_fn, spark, sf):
 
 
 def _fit(kind, indexed_fn, feats_fn, spark, sf):
-    from harborline.plans.registry import CHECK_GBT, CHECK_RF
+    from harborline.plans.registry import CHECK_GBT
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _FITS:
         train, _ = _split(indexed_fn, spark, sf)
@@ -38,7 +39,7 @@ def _fit(kind, indexed_fn, feats_fn, spark, sf):
         if kind == "boosted":
             pipe = M.boosted(cols, CHECK_GBT["max_iter"], CHECK_GBT["learning_rate"], CHECK_GBT["max_depth"])
         else:
-            pipe = M.forest(cols, CHECK_RF["n_trees"], CHECK_RF["max_depth"], min_leaf=5, balanced=True)
+            pipe = M.forest(cols, **RF_SCRIPT)
         _FITS[key] = M.fit(pipe, train)
     return _FITS[key]
 
@@ -64,12 +65,12 @@ def _cv(indexed_fn, feats_fn, spark, sf) -> DataFrame:
 
 
 def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
-    from harborline.plans.registry import CHECK_GBT, CHECK_RF
+    from harborline.plans.registry import CHECK_GBT
     idx = indexed_fn(spark, sf)
     cols = _features(feats_fn, spark, sf)
     g = M.timeseries_cv(idx, lambda: M.boosted(cols, CHECK_GBT["max_iter"], CHECK_GBT["learning_rate"],
                                                CHECK_GBT["max_depth"]), 3)
-    r = M.timeseries_cv(idx, lambda: M.forest(cols, CHECK_RF["n_trees"], CHECK_RF["max_depth"], 5, True), 3)
+    r = M.timeseries_cv(idx, lambda: M.forest(cols, **RF_SCRIPT), 3)
     return (g.withColumn("model", F.lit("boosted")).unionByName(r.withColumn("model", F.lit("forest")))
             .select("model", "fold", "accuracy"))
 
@@ -77,10 +78,10 @@ def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
 def _perm(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     model = _fit("boosted", indexed_fn, feats_fn, spark, sf)
     _, test = _split(indexed_fn, spark, sf)
-    sample = test.orderBy(F.xxhash64("shipment_id", F.lit(42)), "shipment_id").limit(2000)
-    # dense 0..m-1 index over the (at most 2,000-row) sample
-    sample = sample.withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)
-    return M.permutation_importance(model, sample, _features(feats_fn, spark, sf), repeats=5)
+    # positions of the whole table are dense, so those of its last part are dense from the split on
+    first = test.agg(F.min("pos")).first()[0] or 0
+    return M.permutation_importance(model, test.withColumn("pos", F.col("pos") - first),
+                                    _features(feats_fn, spark, sf), repeats=5)
 
 
 def _save_load(indexed_fn, feats_fn, spark, sf) -> DataFrame:

@@ -264,6 +264,27 @@ def oracle_sql() -> dict[str, str]:
         "GROUP BY ALL ORDER BY prob DESC, origin_port, destination_port LIMIT 12) r "
         "JOIN port_dim o ON r.origin_port = o.port JOIN port_dim d ON r.destination_port = d.port "
         "CROSS JOIN range(0, 31) AS t(i)", ["lat", "lon"])
+    ends = "JOIN port_dim o ON r.origin_port = o.port JOIN port_dim d ON r.destination_port = d.port "
+    o["route_arcs"] = final(
+        "SELECT r.origin_port, r.destination_port, CAST(i AS INTEGER) AS i, o.lat + (d.lat - o.lat) * (i / 40) AS lat, "
+        "o.lon + (d.lon - o.lon) * (i / 40) + 5e0 * sin(3.141592653589793e0 * i / 40) AS lon "
+        "FROM (SELECT DISTINCT origin_port, destination_port FROM scored) r " + ends +
+        "CROSS JOIN range(0, 41) AS t(i)", ["lat", "lon"])
+    o["three_point_arcs"] = final(
+        "SELECT r.origin_port, r.destination_port, CAST(i AS INTEGER) AS i, CASE i WHEN 0 THEN o.lat WHEN 2 THEN d.lat "
+        "ELSE (o.lat + d.lat) / 2 + 8e0 * sign(o.lat - d.lat) END AS lat, "
+        "CASE i WHEN 0 THEN o.lon WHEN 2 THEN d.lon ELSE (o.lon + d.lon) / 2 END AS lon "
+        "FROM (SELECT origin_port, destination_port, count(ai_delay_prob) AS cnt FROM scored "
+        "GROUP BY ALL ORDER BY cnt DESC, origin_port, destination_port LIMIT 20) r " + ends +
+        "CROSS JOIN range(0, 3) AS t(i)", ["lat", "lon"])
+    o["detour_points"] = final(
+        "SELECT origin_port, destination_port, CAST(i AS INTEGER) AS i, "
+        "CASE i WHEN 0 THEN la1 WHEN 1 THEN (la1 + low) / 2 WHEN 2 THEN low WHEN 3 THEN (low + la2) / 2 ELSE la2 END "
+        "AS lat, CASE i WHEN 0 THEN lo1 WHEN 1 THEN lo1 + (mid - lo1) * 0.4e0 WHEN 2 THEN mid "
+        "WHEN 3 THEN mid + (lo2 - mid) * 0.6e0 ELSE lo2 END AS lon FROM (SELECT r.origin_port, r.destination_port, "
+        "o.lat AS la1, o.lon AS lo1, d.lat AS la2, d.lon AS lo2, least(o.lat, d.lat) - 15e0 AS low, "
+        "(o.lon + d.lon) / 2 AS mid FROM (SELECT DISTINCT origin_port, destination_port FROM scored "
+        "WHERE ai_rerouted = 1 ORDER BY ALL LIMIT 5) r " + ends + ") CROSS JOIN range(0, 5) AS t(i)", ["lat", "lon"])
     o["shipment_lookup"] = final(
         "SELECT shipment_id, origin_port, destination_port, ai_delay_prob, risk_status FROM scored "
         "WHERE shipment_id IN (SELECT shipment_id FROM scored ORDER BY timestamp, shipment_id LIMIT 1)",
@@ -474,6 +495,12 @@ def oracle_sql() -> dict[str, str]:
     o["top_shipments"] = final(
         "SELECT shipment_id, origin_port, destination_port, ai_risk_score, ai_delay_prob, delay_minutes FROM scored "
         "ORDER BY ai_risk_score DESC, shipment_id LIMIT 15", ["ai_risk_score", "ai_delay_prob", "delay_minutes"])
+    for key, column, only in (("top_shipments_rerouted", "delay_minutes", "WHERE ai_rerouted = 1 "),
+                              ("top_shipments_by_prob", "ai_delay_prob", "")):
+        o[key] = final(
+            "SELECT shipment_id, origin_port, destination_port, ai_risk_score, ai_delay_prob, delay_minutes FROM scored "
+            f"{only}ORDER BY {column} DESC NULLS LAST, shipment_id LIMIT 50",
+            ["ai_risk_score", "ai_delay_prob", "delay_minutes"])
     o["top_risk_shipments"] = final(
         "SELECT shipment_id, ai_delay_prob, risk_status FROM scored ORDER BY ai_delay_prob DESC, shipment_id LIMIT 100",
         ["ai_delay_prob"])

@@ -133,3 +133,39 @@ def test_permutation_importance_unused_feature(spark, sf):
     test = idx.where("pos >= 4000").withColumn("pos", F.col("pos") - 4000)
     imp = {r.feature: r.importance for r in M.permutation_importance(model, test, cols, repeats=2).collect()}
     assert imp["const_zero"] == 0.0
+
+
+def test_sample_rows_is_stable(spark, sf):
+    q = E.queries()["sample_rows"]
+    a = [tuple(r) for r in q(spark, sf).collect()]
+    assert 0 < len(a) <= 2000 and len({r[0] for r in a}) == len(a)
+    assert a == [tuple(r) for r in q(spark, sf).collect()]
+
+
+def test_forest_folds_and_selection(spark, sf):
+    q = E.queries()
+    m = q["train_forest"](spark, sf).first()
+    assert 0 <= m.accuracy <= 1 and 0 <= m.auc <= 1
+    cv = q["timeseries_cv"](spark, sf).collect()
+    assert sorted((r.model, r.fold) for r in cv) == [(k, f) for k in ("boosted", "forest") for f in range(3)]
+    mean = {k: sum(r.accuracy for r in cv if r.model == k) / 3 for k in ("boosted", "forest")}
+    best = [r.model for r in q["select_model"](spark, sf).collect() if r.is_best]
+    assert len(best) == 1 and mean[best[0]] >= max(mean.values()) - 1e-6
+
+
+def test_grid_search_orders_by_mean_and_setting(spark, sf):
+    """Small grid on three features; a setting that changes nothing ties and is ordered by its value."""
+    from harborline.operators import models as M
+    from harborline.plans import registry as R
+    train = R._indexed(spark, sf).where("pos < 2000")
+    cols = ["transit_delay_8h_bin", "port_congestion_index", "strike_alert_level"]
+    grid = {"max_iter": [1], "learning_rate": [0.05, 0.1], "max_depth": [1, 2]}
+    rows = M.grid_search(train, cols, grid, 2).collect()
+    assert len(rows) == 4 and all(0 <= r.mean_accuracy <= 1 for r in rows)
+    keys = [(-r.mean_accuracy, r.max_iter, r.learning_rate, r.max_depth) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_missing_model_is_none(tmp_path, spark):
+    from harborline.operators import models as M
+    assert M.load_model(str(tmp_path / "absent")) is None
