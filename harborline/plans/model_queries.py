@@ -2,8 +2,8 @@
 
 Trees cannot match across engines, so these have no SQL twin. They use the
 reference's structure (chronological 80/20 split, 3 expanding folds, 5
-permutation repeats over the whole test part). The forest runs at the reference
-settings, boosting at the check-size settings in ``registry.CHECK_*``.
+permutation repeats over the whole test part). Forest and boosting run at the
+reference settings, the grid search at ``registry.CHECK_GRID``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.constants import RF_SCRIPT
+from harborline.constants import GBT_SCRIPT, RF_SCRIPT
 from harborline.operators import anomaly as AN
 from harborline.operators import models as M
 from harborline.operators import scoring as S
@@ -31,15 +31,11 @@ def _features(feats_fn, spark, sf):
 
 
 def _fit(kind, indexed_fn, feats_fn, spark, sf):
-    from harborline.plans.registry import CHECK_GBT
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _FITS:
         train, _ = _split(indexed_fn, spark, sf)
         cols = _features(feats_fn, spark, sf)
-        if kind == "boosted":
-            pipe = M.boosted(cols, CHECK_GBT["max_iter"], CHECK_GBT["learning_rate"], CHECK_GBT["max_depth"])
-        else:
-            pipe = M.forest(cols, **RF_SCRIPT)
+        pipe = M.boosted(cols, **GBT_SCRIPT) if kind == "boosted" else M.forest(cols, **RF_SCRIPT)
         _FITS[key] = M.fit(pipe, train)
     return _FITS[key]
 
@@ -65,11 +61,9 @@ def _cv(indexed_fn, feats_fn, spark, sf) -> DataFrame:
 
 
 def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
-    from harborline.plans.registry import CHECK_GBT
     idx = indexed_fn(spark, sf)
     cols = _features(feats_fn, spark, sf)
-    g = M.timeseries_cv(idx, lambda: M.boosted(cols, CHECK_GBT["max_iter"], CHECK_GBT["learning_rate"],
-                                               CHECK_GBT["max_depth"]), 3)
+    g = M.timeseries_cv(idx, lambda: M.boosted(cols, **GBT_SCRIPT), 3)
     r = M.timeseries_cv(idx, lambda: M.forest(cols, **RF_SCRIPT), 3)
     return (g.withColumn("model", F.lit("boosted")).unionByName(r.withColumn("model", F.lit("forest")))
             .select("model", "fold", "accuracy"))
