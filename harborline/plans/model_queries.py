@@ -2,17 +2,16 @@
 
 Trees cannot match across engines, so these have no SQL twin. They use the
 reference's structure (chronological 80/20 split, 3 expanding folds, 5
-permutation repeats over the whole test part). Forest and boosting run at the
-reference settings, the grid search at ``registry.CHECK_GRID``.
+permutation repeats over the whole test part) and settings: forest, boosting and
+the grid of 16 settings, whose best one is fitted again on the train part.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.constants import GBT_SCRIPT, RF_SCRIPT
+from harborline.constants import GBT_SCRIPT, GRID, RF_SCRIPT
 from harborline.operators import anomaly as AN
 from harborline.operators import models as M
 from harborline.operators import scoring as S
@@ -43,10 +42,7 @@ def _fit(kind, indexed_fn, feats_fn, spark, sf):
 def _evaluate(kind, indexed_fn, feats_fn, spark, sf) -> DataFrame:
     model = _fit(kind, indexed_fn, feats_fn, spark, sf)
     _, test = _split(indexed_fn, spark, sf)
-    out = model.transform(test)
-    auc = BinaryClassificationEvaluator(labelCol="is_delayed", rawPredictionCol="probability", numBins=0).evaluate(out)
-    acc = out.agg(F.avg((F.col("prediction") == F.col("is_delayed")).cast("double"))).first()[0]
-    return spark.createDataFrame([(kind, float(acc), float(auc))], "model string, accuracy double, auc double")
+    return spark.createDataFrame([(kind, *M.holdout_metrics(model, test))], "model string, accuracy double, auc double")
 
 
 _CV: dict[tuple, DataFrame] = {}
@@ -69,6 +65,13 @@ def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
             .select("model", "fold", "accuracy"))
 
 
+def _grid(indexed_fn, feats_fn, spark, sf) -> DataFrame:
+    """M7: every setting of the reference's grid over 3 folds of the train part, the refit and its test metrics."""
+    train, test = _split(indexed_fn, spark, sf)
+    cols = _features(feats_fn, spark, sf)
+    return M.refit_best(M.grid_search(train, cols, GRID, 3), train, test, cols)
+
+
 def _perm(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     model = _fit("boosted", indexed_fn, feats_fn, spark, sf)
     _, test = _split(indexed_fn, spark, sf)
@@ -102,15 +105,13 @@ def _iforest(feats_fn, spark, sf) -> DataFrame:
 
 
 def model_queries(indexed_fn, feats_fn) -> dict:
-    from harborline.plans.registry import CHECK_GRID
     return {
         "isolation_forest": lambda s, sf: _iforest(feats_fn, s, sf),
         "train_boosted": lambda s, sf: _evaluate("boosted", indexed_fn, feats_fn, s, sf),
         "train_forest": lambda s, sf: _evaluate("forest", indexed_fn, feats_fn, s, sf),
         "score_shipments": lambda s, sf: _score_all(indexed_fn, feats_fn, s, sf),
         "timeseries_cv": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf),
-        "grid_search": lambda s, sf: M.grid_search(_split(indexed_fn, s, sf)[0], _features(feats_fn, s, sf),
-                                                   CHECK_GRID, 3),
+        "grid_search": lambda s, sf: _grid(indexed_fn, feats_fn, s, sf),
         "select_model": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf)),
         "permutation_importance": lambda s, sf: _perm(indexed_fn, feats_fn, s, sf),
         "save_model": lambda s, sf: _save_load(indexed_fn, feats_fn, s, sf),

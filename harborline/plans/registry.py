@@ -26,10 +26,6 @@ from harborline.sources import shipments as SRC
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Grid of the registered (rows-checked) grid search: the reference's own structure (3 expanding folds) with
-# fewer boosting rounds so that a check run stays in minutes on one machine.
-CHECK_GRID = {"max_iter": [10, 20], "learning_rate": [0.05, 0.1], "max_depth": [4], "min_leaf": [6]}
-
 
 def _scored(spark, sf):
     return FP.heuristic_score(FP.load_features(spark, sf))
