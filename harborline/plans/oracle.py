@@ -111,11 +111,10 @@ def _week_end(ts: str) -> str:
     return f"CAST(date_trunc('week', {ts}) AS DATE) + 6"
 
 
-def _explain_ctes(with_pct: bool) -> str:
-    feats = EXPLAIN_FEATURES
+def _explain_ctes(with_pct: bool, feats=EXPLAIN_FEATURES, default: str = "1e-3") -> str:
     mx = ", ".join(f"max({c}) AS mx_{c}" + (f", max(abs({c})) AS ma_{c}" if with_pct else "") for c in feats)
     idx_vals = ", ".join(f"('{c}', {i})" for i, c in enumerate(feats))
-    imp_cols = ", ".join(f"coalesce(max(CASE WHEN feature = '{c}' THEN importance END), 1e-3) AS i_{c}"
+    imp_cols = ", ".join(f"coalesce(max(CASE WHEN feature = '{c}' THEN importance END), {default}) AS i_{c}"
                          for c in feats)
     arms = []
     for i, c in enumerate(feats):
@@ -131,11 +130,11 @@ lng AS ({long}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY contribution DESC, fidx) AS rank FROM lng)"""
 
 
-def _explain(top_n: int, with_pct: bool) -> str:
+def _explain(top_n: int, with_pct: bool, **form) -> str:
     pct_col = ", bar_pct" if with_pct else ""
     body = (f"SELECT shipment_id, CAST(rank AS INTEGER) AS rank, feature, value, contribution{pct_col} "
             f"FROM rk WHERE rank <= {top_n}")
-    return final(body, ["value", "contribution"] + (["bar_pct"] if with_pct else []), _explain_ctes(with_pct))
+    return final(body, ["value", "contribution"] + (["bar_pct"] if with_pct else []), _explain_ctes(with_pct, **form))
 
 
 def _port_ctx_cte() -> str:
@@ -544,6 +543,9 @@ def oracle_sql() -> dict[str, str]:
     o["explain_contributions"] = _explain(6, False)
     o["feature_bar_pct"] = _explain(8, True)
     o["reroute_advice"] = _advice_sql()
+    every = {"feats": feature_names(), "default": "0e0"}
+    o["explain_contributions_all"] = _explain(6, False, **every)
+    o["reroute_advice_all"] = _advice_sql(**every)
     low = NARRATIVE_LOW_FMT.replace("{pct}", "%.0f").replace("%.0f%", "%.0f%%")
     o["risk_narrative"] = final(
         f"SELECT shipment_id, CASE WHEN ai_delay_prob > 75e-2 THEN '{_q(NARRATIVE_CRITICAL)}' "
@@ -654,7 +656,7 @@ def _topcorr_sql() -> str:
                  f"tw AS (SELECT {sel} FROM scored), tc AS (UNPIVOT tw ON COLUMNS(*) INTO NAME feature VALUE corr)")
 
 
-def _advice_sql() -> str:
+def _advice_sql(**form) -> str:
     def has(*xs):
         return "(" + " OR ".join(f"contains(top_feature, '{x}')" for x in xs) + ")"
     reason = (
@@ -680,6 +682,6 @@ def _advice_sql() -> str:
         f"WHEN {has('geopolit', 'risk')} THEN 'Action: Select alternative carrier and use Cape of Good Hope routing.' "
         f"WHEN {has('hist', 'delay_lag')} THEN 'Action: Flag for priority handling; assign dedicated carrier account.' "
         f"ELSE 'Action: Escalate to supply chain operations team.' END")
-    ctes = _explain_ctes(False) + ",\ntopf AS (SELECT shipment_id, feature AS top_feature FROM rk WHERE rank = 1)"
+    ctes = _explain_ctes(False, **form) + ",\ntopf AS (SELECT shipment_id, feature AS top_feature FROM rk WHERE rank = 1)"
     return final(f"SELECT s.shipment_id, top_feature, {reason} AS reason, {action} AS action FROM scored s "
                  f"JOIN topf t ON s.shipment_id = t.shipment_id WHERE ai_delay_prob > 5e-1", (), ctes)

@@ -248,6 +248,11 @@ def _q() -> dict[str, Query]:
     q["feature_bar_pct"] = lambda s, sf: X.explain_contributions(_scored(s, sf), _importance(s, sf), top_n=8,
                                                                  with_pct=True)
     q["reroute_advice"] = lambda s, sf: X.reroute_advice(X.with_top_factor(_scored(s, sf), _importance(s, sf)))
+    # the notebook's form: every model feature, importance 0 where it has none (the 12-feature keys above are the dashboard's)
+    q["explain_contributions_all"] = lambda s, sf: X.explain_contributions(
+        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0)
+    q["reroute_advice_all"] = lambda s, sf: X.reroute_advice(X.with_top_factor(
+        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
     q["risk_narrative"] = lambda s, sf: X.risk_narrative(_scored(s, sf))
     q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_feats(s, sf)),
                                                        A.route_history_context(_feats(s, sf)))
