@@ -36,31 +36,35 @@ from harborline.llm.pieces import ByteBpe, vocabulary_path
 class Band:
     """Accepted range. ``entropy`` holds (tokens, least bits) points: the floor runs straight in
     log2(tokens) between them and stays at the last one's. Texts with fewer tokens than the
-    first point are judged by the base rules alone: their measures are mostly noise."""
-    entropy: tuple[tuple[int, float], ...] = ((128, 5.0), (512, 5.6), (2048, 5.9))
+    first point have no entropy floor; the other two measures judge every text."""
+    entropy: tuple[tuple[int, float], ...] = ((32, 3.6), (64, 4.4), (128, 5.0), (512, 5.6), (2048, 5.9))
     min_chars_per_token: float = 1.3
     max_chars_per_token: float = 8.0
     max_byte_share: float = 0.05
 
     def accepts(self, n_tokens: int, per_token: float, byte_share: float, entropy: float) -> bool:
+        if not (self.min_chars_per_token <= per_token <= self.max_chars_per_token and byte_share <= self.max_byte_share):
+            return False
         if n_tokens < self.entropy[0][0]:
             return True
         floor = float(np.interp(math.log2(n_tokens), [math.log2(n) for n, _ in self.entropy],
                                 [bits for _, bits in self.entropy]))
-        return (self.min_chars_per_token <= per_token <= self.max_chars_per_token
-                and byte_share <= self.max_byte_share and entropy >= floor)
+        return entropy >= floor
 
 
-_EUROPEAN = ((128, 5.5), (256, 5.75), (512, 6.0), (1024, 6.2), (2048, 6.3))
+_SHORT = ((32, 4.1), (64, 4.9))
+_EUROPEAN = (*_SHORT, (128, 5.5), (256, 5.75), (512, 6.0), (1024, 6.2), (2048, 6.3))
+_OTHER = ((32, 2.6), (64, 3.4), (128, 4.0))
 
 #: By language, then by script of the text, then "default". The four languages' floors lie between
 #: the token entropy of prose and that of symbol runs, tables and shouted or repeated lines (labelled
-#: rows of `labels`). Other scripts take one to three byte-level tokens a letter, so their bands lie lower.
+#: rows of `labels`). Other scripts take one to three byte-level tokens a letter, so their bands lie lower;
+#: below 128 tokens their floors (and those of "latin" and "default") fall by the four languages' steps.
 BANDS = {
-    "en": Band(((128, 5.5), (256, 5.95), (512, 6.2), (1024, 6.4), (2048, 6.55))),
+    "en": Band((*_SHORT, (128, 5.5), (256, 5.95), (512, 6.2), (1024, 6.4), (2048, 6.55))),
     "de": Band(_EUROPEAN), "fr": Band(_EUROPEAN), "es": Band(_EUROPEAN),
-    "latin": Band(), "greek": Band(((128, 4.0),), 0.4, 6.0, 0.2), "cyrillic": Band(((128, 4.0),), 0.4, 6.0, 0.2),
-    "han": Band(((128, 4.0),), 0.25, 3.0, 0.6), "default": Band(((128, 3.0),), 0.1, 8.0, 0.8),
+    "latin": Band(), "greek": Band(_OTHER, 0.4, 6.0, 0.2), "cyrillic": Band(_OTHER, 0.4, 6.0, 0.2),
+    "han": Band(_OTHER, 0.25, 3.0, 0.6), "default": Band(((32, 1.6), (64, 2.4), (128, 3.0)), 0.1, 8.0, 0.8),
 }
 
 _SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("han", 0x3040, 0x9FFF))
