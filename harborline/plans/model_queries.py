@@ -1,7 +1,7 @@
 """Registered model queries (M2-M8, M12, S3); checked by row counts and invariants.
 
 Trees cannot match across engines, so these have no SQL twin. They use the
-reference's structure (chronological 80/20 split, 3 expanding folds, 5
+reference's structure (chronological 80/20 split, 3 expanding folds, 20
 permutation repeats over the whole test part) and settings: forest, boosting and
 the grid of 16 settings, whose best one is fitted again on the train part.
 """
@@ -78,7 +78,7 @@ def _perm(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     # positions of the whole table are dense, so those of its last part are dense from the split on
     first = test.agg(F.min("pos")).first()[0] or 0
     return M.permutation_importance(model, test.withColumn("pos", F.col("pos") - first),
-                                    _features(feats_fn, spark, sf), repeats=5)
+                                    _features(feats_fn, spark, sf), repeats=20)
 
 
 def _save_load(indexed_fn, feats_fn, spark, sf) -> DataFrame:
