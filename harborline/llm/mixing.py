@@ -22,10 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm import common as C
+from harborline.operators.ordering import with_position, with_running_sums
 
 WEIGHTS = (5, 2, 1)
 SALTS = 64
@@ -36,24 +37,25 @@ def size_of(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
-    """source, source_size, target: one row a source of the table (source, size)."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # windows over the table of sources: one row each
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    w = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats)
-    every = Window.partitionBy()
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    w = (w.withColumn("total", F.sum("source_size").over(every)).withColumn("all_weights", F.sum("weight").over(every))
-         .withColumn("caps_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-         .withColumn("weights_before", F.coalesce(F.sum("weight").over(before), F.lit(0))))
+    """source, source_size, target: one row a source of the table (source, size).
+
+    Ranks and running sums go over range partitions of the table of sources, whole sums are one-row aggregates."""
+    per = C.stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    by_name = F.col("source").asc_nulls_last()
+    ranked = with_position(per, [by_name], "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    w = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats)
+    whole = w.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weights"))
+    w = (with_running_sums(w, [F.col("cap") / F.col("weight"), by_name], ["cap", "weight"])
+         .withColumn("caps_before", F.col("cum_cap") - F.col("cap"))
+         .withColumn("weights_before", F.col("cum_weight") - F.col("weight")).crossJoin(F.broadcast(whole)))
     level = (F.col("total") - F.col("caps_before")) / (F.col("all_weights") - F.col("weights_before"))
     w = w.withColumn("capped", F.col("cap") / F.col("weight") <= level)
-    left = F.col("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every)
-    free = F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every)
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(left / free * F.col("weight"))
-    return w.select("source", "source_size", target.alias("target"))
+    rest = w.agg(F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).alias("caps"),
+                 F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).alias("free"))
+    left = F.col("total") - F.col("caps")
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(left / F.col("free") * F.col("weight"))
+    return w.crossJoin(F.broadcast(rest)).select("source", "source_size", target.alias("target"))
 
 
 def hash_unit(seed: str, key: Column) -> Column:

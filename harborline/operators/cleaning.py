@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.constants import (ANOMALY_FEATURES, BASE_FEATURES, ENCODED_COLS, LAG_SUFFIXES,
                                   NORM_COLS, ROUTE_RISK_WEIGHTS)
 from harborline.functions.columns import clip, haversine_km, label_to_int
+from harborline.operators.ordering import with_position
 from harborline.sources.shipments import port_dim
 
 
@@ -162,9 +163,8 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 def encoding_dictionary(df: DataFrame, c: str) -> DataFrame:
     """P15 dictionary: sorted distinct strings of ``c`` -> 0..k-1 (alphabetAsc). The
-    rank runs over the distinct values only (the categorical domain), not the rows."""
-    return (df.select(c).distinct()
-            .select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_enc")))
+    rank is a distributed position over the distinct values, so a domain of any size is never one task."""
+    return with_position(df.select(c).distinct(), [c], "__rank").select(c, F.col("__rank").cast("int").alias(f"{c}_enc"))
 
 
 def encode_with(df: DataFrame, dicts: dict[str, DataFrame], sizes: dict[str, int] | None = None) -> DataFrame:
