@@ -5,7 +5,9 @@
    equal or one edit apart.
 3. Every word's full one-edit neighbourhood of its reduced word (itself, deletions, replacements, insertions) is joined
    with the reduced vocabulary. A reduced word travels as a 64-bit polynomial hash, from which each neighbour's hash
-   follows in constant time, so a word of n letters costs O(symbols n), however long it is.
+   follows in constant time, so a word of n letters costs O(symbols n), however long it is. Neighbours that a bitmap of
+   the reduced vocabulary (at most ``MAX_BITS``, so its broadcast is bounded) can't hold are left out before the shuffle;
+   a fuller bitmap passes more of them, and the join decides.
 4. The candidates are verified on the original strings, by edit distance.
 5. A word's form is its most frequent near word where that is at least ``ratio`` times as frequent (ties: the smallest in
    code-point order); roots follow by pointer doubling. A form is more frequent by ``ratio``, so chains have no cycle.
@@ -37,6 +39,9 @@ MAX_ENTRIES = 100_000
 MAX_BYTES = 16 << 20
 #: Neighbours made at a time.
 CHUNK = 1 << 20
+#: Bits of the bitmap: a power of two, of 16 a word or more, up to 32 MB.
+MAX_BITS = 1 << 28
+_BUCKET = 1 << 15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -136,26 +141,60 @@ def _word_keys(batches, symbols):
             yield C.record_batch(_KEYS_ARROW, [pa.array(wids), pa.array(word_keys(words, symbols).view(np.int64))])
 
 
-def _ball_keys(batches, symbols):
-    for b in C.empty_guard(batches):
-        for wids, words in _by_length(b, 2 * symbols + 1):
-            keys = np.sort(ball_keys(words, symbols), axis=1)
-            new = np.concatenate((np.ones((len(wids), 1), bool), keys[:, 1:] != keys[:, :-1]), axis=1)
-            who, flat = np.repeat(wids, new.sum(axis=1)), keys[new].view(np.int64)
-            for at in range(0, len(flat), CHUNK):  # one very long word may have more
-                yield C.record_batch(_KEYS_ARROW, [pa.array(who[at:at + CHUNK]), pa.array(flat[at:at + CHUNK])])
+class KeyFilter:
+    """Bitmap of two bits a key; never misses a key that is in it."""
+
+    def __init__(self, bits: int, buckets: list[tuple[int, bytes]]):
+        self.mask = _U(bits - 1)
+        self.map = np.zeros(max(1, bits // _BUCKET) * (_BUCKET // 8), np.uint8)
+        for no, part in buckets:
+            self.map[(no - 1) * (_BUCKET // 8):][:len(part)] = np.frombuffer(part, np.uint8)
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        at = at & self.mask
+        return self.map[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 != 0
+
+    def where(self, keys: np.ndarray) -> np.ndarray:
+        """Indices of the keys that may be in it."""
+        hit = np.nonzero(self._set(keys))[0]
+        return hit[self._set(keys[hit] >> _U(32))]
 
 
-def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(wid, word, n, other, o_wid, o_n) for every word and every word exactly one edit from it."""
+def key_filter(reduced: DataFrame, total: int, max_bits: int = MAX_BITS) -> KeyFilter:
+    """Filter of the keys of ``reduced``; at most max_bits / 8 bytes reach the driver."""
+    bits = min(max_bits, max(_BUCKET, 1 << (16 * total - 1).bit_length() if total else 0))
+    halves = F.array("key", F.shiftrightunsigned("key", 32))
+    at = reduced.select(F.explode(halves).alias("bit"))
+    at = at.select((F.col("bit").bitwiseAND(F.lit(bits - 1)) + 1).alias("bit"))  # these functions count from 1
+    # dealt by bucket first: partial maps of every task would be larger than the bits
+    at = at.select(F.bitmap_bucket_number("bit").alias("no"), F.bitmap_bit_position("bit").alias("position")).repartition("no")
+    return KeyFilter(bits, [tuple(r) for r in at.groupBy("no").agg(F.bitmap_construct_agg("position").alias("map")).collect()])
+
+
+def _ball_keys(batches, symbols, known):
+    for b in C.empty_guard(batches):
+        for wids, words in _by_length(b, 2 * symbols + 1):
+            keys = ball_keys(words, symbols)
+            flat = keys.reshape(-1)
+            hit = known.value.where(flat)
+            who, flat = wids[hit // keys.shape[1]], flat[hit].view(np.int64)
+            order = np.lexsort((flat, who))
+            who, flat = who[order], flat[order]
+            new = np.concatenate(([True], (who[1:] != who[:-1]) | (flat[1:] != flat[:-1])))[:len(who)]
+            if len(who):
+                yield C.record_batch(_KEYS_ARROW, [pa.array(who[new]), pa.array(flat[new])])
+
+
+def near_pairs(words: DataFrame, symbols: int = SYMBOLS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(wid, word, n, o_wid, other, o_n) for every word and every word exactly one edit from it."""
     total, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 48), F.lit(0))).first()
-    text = words.select("wid", "word")
-    reduced = C.map_arrow(text, _word_keys, "wid long, key long", symbols=symbols)
-    reduced = C.stored(reduced.withColumnRenamed("wid", "o_wid"), "reduced-words")
-    balls = C.map_arrow(text, _ball_keys, "wid long, key long", symbols=symbols)
+    reduced = C.stored(C.map_arrow(words.select("wid", "word"), _word_keys, "wid long, key long", symbols=symbols), "reduced-words")
+    known = words.sparkSession.sparkContext.broadcast(key_filter(reduced, total, max_bits))
+    balls = C.map_arrow(words.select("wid", "word"), _ball_keys, "wid long, key long", symbols=symbols, known=known)
+    reduced = reduced.withColumnRenamed("wid", "o_wid")
     found = balls.join(C.broadcast_if_small(reduced, total, 32), "key").where("wid <> o_wid").select("wid", "o_wid")
     other = words.select(F.col("wid").alias("o_wid"), F.col("word").alias("other"), F.col("n").alias("o_n"))
-    return (found.join(C.broadcast_if_small(words, size, 1), "wid").join(C.broadcast_if_small(other, size, 1), "o_wid")
+    return (found.join(C.broadcast_if_small(other, size, 1), "o_wid").join(C.broadcast_if_small(words, size, 1), "wid")
             .where(F.levenshtein("word", "other", 1) == 1))
 
 

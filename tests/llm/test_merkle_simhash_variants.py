@@ -258,3 +258,14 @@ def test_neighbourhood_holds_every_one_edit_word():
             for near in [word[:i] + c + word[i:] for c in letters] + [word[:i] + c + word[i + 1:] for c in letters] + [word[:i] + word[i + 1:]]:
                 if near:
                     assert int(variants.word_keys([near], 4)[0]) in ball
+
+
+def test_filter_holds_its_keys_and_few_others(spark):
+    keys = C.mix64(np.arange(20_000, dtype=np.uint64)).view(np.int64).tolist()
+    df = spark.createDataFrame([(k,) for k in keys[:10_000]], "key long")
+    at = np.array(keys, np.int64).view(np.uint64)
+    for bits in (1 << 28, 1 << 15):
+        hit = variants.key_filter(df, 10_000, bits).where(at).tolist()
+        assert hit[:10_000] == list(range(10_000))
+        assert len(hit) < (10_400 if bits > 1 << 15 else 20_000)
+    assert variants.key_filter(df.where("false"), 0).where(at).tolist() == []
