@@ -2,7 +2,9 @@
 
 1. One Arrow pass counts the words of whole texts, summed per task before the shuffle.
 2. Every word is reduced: its letters are hashed to ``symbols`` symbols. Words one edit apart have reduced words that are
-   equal or one edit apart.
+   equal or one edit apart. Words of chance meet when reduced, so the number of symbols follows the vocabulary: the
+   least that makes ``SPARE`` reduced words of the shortest length for every word, which holds the candidates a word
+   about level at every size.
 3. Every word's full one-edit neighbourhood of its reduced word (itself, deletions, replacements, insertions) is joined
    with the reduced vocabulary. A reduced word travels as a 64-bit polynomial hash, from which each neighbour's hash
    follows in constant time, so a word of n letters costs O(symbols n), however long it is. Neighbours that a bitmap of
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from harborline.llm import common as C
 
-SYMBOLS = 8
+#: Reduced words of the shortest length for every word of the vocabulary.
+SPARE = 64
 MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10
@@ -185,9 +188,19 @@ def _ball_keys(batches, symbols, known):
                 yield C.record_batch(_KEYS_ARROW, [pa.array(who[new]), pa.array(flat[new])])
 
 
-def near_pairs(words: DataFrame, symbols: int = SYMBOLS, max_bits: int = MAX_BITS) -> DataFrame:
+def symbols_for(words: int, shortest: int) -> int:
+    """Least number of symbols (two at least) with SPARE reduced words of the shortest length for every word."""
+    symbols = 2
+    while symbols ** shortest < SPARE * words:
+        symbols += 1
+    return symbols
+
+
+def near_pairs(words: DataFrame, symbols: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """(wid, word, n, o_wid, other, o_n) for every word and every word exactly one edit from it."""
-    total, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 48), F.lit(0))).first()
+    total, size, shortest = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 48), F.lit(0)),
+                                      F.min(F.char_length("word"))).first()
+    symbols = symbols or symbols_for(total, max(1, shortest or 1))
     reduced = C.stored(C.map_arrow(words.select("wid", "word"), _word_keys, "wid long, key long", symbols=symbols), "reduced-words")
     known = words.sparkSession.sparkContext.broadcast(key_filter(reduced, total, max_bits))
     balls = C.map_arrow(words.select("wid", "word"), _ball_keys, "wid long, key long", symbols=symbols, known=known)
@@ -211,7 +224,7 @@ def roots(forms: DataFrame) -> DataFrame:
             return at
 
 
-def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, ratio: int = RATIO,
+def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int | None = None, ratio: int = RATIO,
              min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, drop_every: int = DROP_EVERY) -> DataFrame:
     """One row a word: word, form, root, n, n_near, form_n."""
     words = vocabulary(docs, id_col, text_col, min_length, min_count, drop_every)
