@@ -10,7 +10,9 @@
    follows in constant time, so a word of n letters costs O(symbols n), however long it is. Neighbours that a bitmap of
    the reduced vocabulary (at most ``MAX_BITS``, so its broadcast is bounded) can't hold are left out before the shuffle;
    a fuller bitmap passes more of them, and the join decides.
-4. The candidates are verified on the original strings, by edit distance.
+4. The candidates are verified on the original strings, by edit distance, where they meet. Words are numbered by falling
+   frequency, then in code-point order, so of a word's near words the one with the least number is wanted, and only
+   numbers travel on.
 5. A word's form is its most frequent near word where that is at least ``ratio`` times as frequent (ties: the smallest in
    code-point order); roots follow by pointer doubling. A form is more frequent by ``ratio``, so chains have no cycle.
 
@@ -30,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm import common as C
+from harborline.operators.ordering import with_position
 
 #: Reduced words of the shortest length for every word of the vocabulary.
-SPARE = 64
+SPARE = 1024
 MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10
@@ -84,11 +87,12 @@ def _count(batches, min_length, drop_every):
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
                min_count: int = MIN_COUNT, drop_every: int = DROP_EVERY) -> DataFrame:
-    """(wid, word, n) of the words of at least ``min_length`` letters and ``min_count`` occurrences."""
+    """(wid, word, n) of the words of at least ``min_length`` letters and ``min_count`` occurrences; wid counts them by
+    falling n, then in code-point order."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = C.map_arrow(narrow, _count, "word string, n long", min_length=min_length, drop_every=drop_every)
     words = parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return C.stored(words.select(F.monotonically_increasing_id().alias("wid"), "word", "n"), "words")
+    return C.stored(with_position(C.stored(words, "counted-words"), [F.desc("n"), "word"], "wid"), "words")
 
 
 def _reduced(words: list[str], symbols: int) -> np.ndarray:
@@ -122,11 +126,12 @@ def ball_keys(words: list[str], symbols: int) -> np.ndarray:
     return C.mix64(np.concatenate((deleted, replaced.reshape(k, -1), inserted.reshape(k, -1)), axis=1))
 
 
-_KEYS_ARROW = pa.schema([("wid", pa.int64()), ("key", pa.int64())])
+_KEYS = "wid long, word string, key long"
+_KEYS_ARROW = pa.schema([("wid", pa.int64()), ("word", pa.string()), ("key", pa.int64())])
 
 
 def _by_length(b: pa.RecordBatch, cost: int):
-    """Rows of the batch as (wids, words) of one length, few enough that cost * letters stays within CHUNK."""
+    """Rows of the batch as (wids, words) of one length, few enough that cost * letters stays within CHUNK (one at least)."""
     wids, words = b.column(0).to_pylist(), b.column(1).to_pylist()
     rows = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
@@ -141,7 +146,7 @@ def _by_length(b: pa.RecordBatch, cost: int):
 def _word_keys(batches, symbols):
     for b in C.empty_guard(batches):
         for wids, words in _by_length(b, 1):
-            yield C.record_batch(_KEYS_ARROW, [pa.array(wids), pa.array(word_keys(words, symbols).view(np.int64))])
+            yield C.record_batch(_KEYS_ARROW, [pa.array(wids), words, pa.array(word_keys(words, symbols).view(np.int64))])
 
 
 class KeyFilter:
@@ -180,12 +185,15 @@ def _ball_keys(batches, symbols, known):
             keys = ball_keys(words, symbols)
             flat = keys.reshape(-1)
             hit = known.value.where(flat)
-            who, flat = wids[hit // keys.shape[1]], flat[hit].view(np.int64)
+            who, flat = hit // keys.shape[1], flat[hit].view(np.int64)
             order = np.lexsort((flat, who))
             who, flat = who[order], flat[order]
             new = np.concatenate(([True], (who[1:] != who[:-1]) | (flat[1:] != flat[:-1])))[:len(who)]
-            if len(who):
-                yield C.record_batch(_KEYS_ARROW, [pa.array(who[new]), pa.array(flat[new])])
+            who, flat = who[new], flat[new]
+            step = max(1, CHUNK // len(words[0]))  # words of one batch hold about CHUNK letters
+            for at in range(0, len(who), step):
+                part = who[at:at + step]
+                yield C.record_batch(_KEYS_ARROW, [pa.array(wids[part]), pa.array(words).take(pa.array(part)), pa.array(flat[at:at + step])])
 
 
 def symbols_for(words: int, shortest: int) -> int:
@@ -197,18 +205,16 @@ def symbols_for(words: int, shortest: int) -> int:
 
 
 def near_pairs(words: DataFrame, symbols: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
-    """(wid, word, n, o_wid, other, o_n) for every word and every word exactly one edit from it."""
-    total, size, shortest = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 48), F.lit(0)),
-                                      F.min(F.char_length("word"))).first()
+    """(wid, o_wid) for every word and every word exactly one edit from it."""
+    total, shortest = words.agg(F.count("*"), F.min(F.char_length("word"))).first()
     symbols = symbols or symbols_for(total, max(1, shortest or 1))
-    reduced = C.stored(C.map_arrow(words.select("wid", "word"), _word_keys, "wid long, key long", symbols=symbols), "reduced-words")
+    text = words.select("wid", "word")
+    reduced = C.stored(C.map_arrow(text, _word_keys, _KEYS, symbols=symbols), "reduced-words")
     known = words.sparkSession.sparkContext.broadcast(key_filter(reduced, total, max_bits))
-    balls = C.map_arrow(words.select("wid", "word"), _ball_keys, "wid long, key long", symbols=symbols, known=known)
-    reduced = reduced.withColumnRenamed("wid", "o_wid")
-    found = balls.join(C.broadcast_if_small(reduced, total, 32), "key").where("wid <> o_wid").select("wid", "o_wid")
-    other = words.select(F.col("wid").alias("o_wid"), F.col("word").alias("other"), F.col("n").alias("o_n"))
-    return (found.join(C.broadcast_if_small(other, size, 1), "o_wid").join(C.broadcast_if_small(words, size, 1), "wid")
-            .where(F.levenshtein("word", "other", 1) == 1))
+    balls = C.map_arrow(text, _ball_keys, _KEYS, symbols=symbols, known=known)
+    reduced = reduced.select(F.col("wid").alias("o_wid"), F.col("word").alias("other"), "key")
+    return (balls.join(reduced, "key").where((F.col("wid") != F.col("o_wid")) & (F.levenshtein("word", "other", 1) == 1))
+            .select("wid", "o_wid"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -228,18 +234,19 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sy
              min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, drop_every: int = DROP_EVERY) -> DataFrame:
     """One row a word: word, form, root, n, n_near, form_n."""
     words = vocabulary(docs, id_col, text_col, min_length, min_count, drop_every)
-    best = F.min(F.struct((-F.col("o_n")).alias("less"), "other", "o_wid"))
-    near = near_pairs(words, symbols).groupBy("wid").agg(F.count("*").alias("n_near"), best.alias("best"))
+    near = near_pairs(words, symbols).groupBy("wid").agg(F.count("*").alias("n_near"), F.min("o_wid").alias("best"))
     near = C.stored(near, "near-words")
-    told = words.join(near, "wid", "left").withColumn("is_form", -F.col("best.less") >= ratio * F.col("n"))
+    other = words.select(F.col("wid").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+    near = C.stored(near.join(other, "best"), "best-words")
+    told = words.join(near, "wid", "left")
+    is_form = F.col("form_n") >= ratio * F.col("n")
     told = C.stored(told.select("wid", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
-                                *[F.when(F.col("is_form"), F.col(f"best.{c}")).alias(a)
-                                  for c, a in (("other", "form"), ("o_wid", "form_wid"), ("less", "less"))]), "forms-told")
-    last = C.stored(roots(told.where("form_wid is not null").select("wid", F.col("form_wid").alias("form"))), "last-forms")
+                                *[F.when(is_form, F.col(c)).alias(c) for c in ("best", "form", "form_n")]), "forms-told")
+    last = C.stored(roots(told.where("best is not null").select("wid", F.col("best").alias("form"))), "last-forms")
     names = words.select(F.col("wid").alias("root"), F.col("word").alias("root_word"))
     named = C.stored(last.join(names, "root").select("wid", "root_word"), "root-words")
     return told.join(named, "wid", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near",
-                                                  (-F.col("less")).alias("form_n"))
+                                                  "form_n")
 
 
 ORACLE_SQL = r"""
