@@ -6,8 +6,10 @@ and word q of a template votes for the diagonal p - q: where the template would
 per (document, template, diagonal), partly in each task; neighbouring diagonals (up to ``gap`` apart:
 words put in or left out) are merged; a merged span with votes for at least half of its template's
 grams is verified against the words themselves: by equality for phrases, else by the longest common
-subsequence over the longer of the two, at least ``accept``. Of overlapping spans that aren't
-phrases the best verified one stays.
+subsequence over the longer of the two, at least ``accept``. A merged span may hold more than one
+occurrence, or an occurrence behind words that belong to none, so every part of it that starts and ends
+on a template word is tried (others can't score higher), one best end for each start. Of overlapping
+spans that aren't phrases the best verified one stays.
 
 The templates are a parameter; their grams are broadcast behind a check of their number. Texts never
 move: rows of (document, position, hash) are made and joined in the scanning task, and only the
@@ -122,14 +124,27 @@ def _grams(batches, k, out):
 _GRAMS_ARROW = pa.schema([("rid", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
 
 
-def common_words(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def best_parts(found: list[bytes], want: list[bytes], accept: float) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the best part from each start in ``found`` whose longest common subsequence with
+    ``want``, over the longer of the two, is at least ``accept``."""
+    n, known, out = len(want), set(want), []
+    longest = int(n / accept) if accept > 0 else len(found)
+    for start, first in enumerate(found):
+        if first not in known:
+            continue
+        row, best = [0] * (n + 1), (0.0, 0)
+        for end in range(start, min(len(found), start + longest)):
+            x = found[end]
+            if x not in known:
+                continue
+            last = 0
+            for j, y in enumerate(want, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+            size = end + 1 - start
+            best = max(best, (row[-1] / max(size, n), -size))
+        if best[0] >= accept:
+            out.append((start, start - best[1], best[0]))
+    return out
 
 
 def verify(words: list[bytes], spans: list[tuple[int, int, int]], templates, accept: float) -> list[tuple]:
@@ -142,10 +157,7 @@ def verify(words: list[bytes], spans: list[tuple[int, int, int]], templates, acc
                 phrases.append((t, start, start + len(want), 1.0))
             continue
         lo, hi = max(0, start), min(len(words), end)
-        found = words[lo:hi]
-        score = common_words(found, want) / max(len(found), len(want), 1)
-        if score >= accept:
-            loose.append((t, lo, hi, score))
+        loose += [(t, lo + a, lo + z, score) for a, z, score in best_parts(words[lo:hi], want, accept)]
     chosen: list[tuple] = []
     for s in sorted(loose, key=lambda s: (-s[3], s[1] - s[2], s[0])):
         if all(s[2] <= c[1] or s[1] >= c[2] for c in chosen):
