@@ -65,15 +65,15 @@ class PieceTable(dict):
 
 
 class ByteBpe:
-    """Ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``
-    with ``encode_special_tokens`` on (special strings in a text are ordinary text)."""
+    """Ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the strings of its special
+    tokens have their own ids where they stand in a text (in single words, ``word_ids`` takes them as text)."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.table = PieceTable(self._piece_encoder(path))
 
     def _piece_encoder(self, path: str):
@@ -85,7 +85,11 @@ class ByteBpe:
             import tiktoken
             return tiktoken.Encoding("ranks", pat_str=r"\s+|\S+", mergeable_ranks=read_ranks(ranks_path),
                                      special_tokens={})._core_bpe.encode_single_piece
-        return lambda b: self.whole.encode(b.decode(), add_special_tokens=False).ids
+        return lambda b: self._encode(b.decode(), special=False)
+
+    def _encode(self, text: str, special: bool) -> list[int]:
+        self.whole.encode_special_tokens = not special
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def word_ids(self, word: bytes) -> list[int]:
         """Ids of a blank and one word without white space."""
@@ -96,7 +100,7 @@ class ByteBpe:
             return encode(b" " + word[:-1]) + encode(word[-1:])
         text = " " + word.decode("utf-8", "replace")
         if _ODD.search(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
+            return self._encode(text, special=False)
         return [i for p in _PRE.findall(text) for i in encode(p.encode())]
 
     def ids(self, text: str) -> np.ndarray:
@@ -104,8 +108,8 @@ class ByteBpe:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def _segment_ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if _ODD.search(text) or any(x in text for x in self.special):
+            return np.array(self._encode(text, special=True), np.uint32)
         found = _PRE.findall(text)
         if not found:
             return np.empty(0, np.uint32)
