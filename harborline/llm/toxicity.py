@@ -8,9 +8,10 @@ training runs), since few words make a long text toxic. Embeddings and softmax a
 together by Adam on mini-batches.
 
 The fit uses at most ``max_train`` labelled rows, half of them toxic where there are enough (lowest
-seeded hash first; of texts up to ``max_train_bytes``), and runs in one task over that bounded sample;
-weights and a Platt scale make scores follow the labelled rows' own share of toxic ones. Scoring reads
-every whole text. For two classes the average, the softmax and the vectors fold into one number a
+seeded hash first, texts of every length), and runs in one task over that bounded sample. A text of more than
+``max_fit_bytes`` is in it with passages of ``PASSAGE`` words from all over it, seeded by its id, of about that many
+bytes; they are taken where the text is read, so long texts don't reach the task. Weights and a Platt scale make
+scores follow the labelled rows' own share of toxic ones. Scoring reads every whole text. For two classes the average, the softmax and the vectors fold into one number a
 bucket, which is broadcast.
 
 Defined results: null and empty texts score as a text without words (the share of toxic labels).
@@ -35,6 +36,8 @@ WINDOW = 4
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.3
 MAX_ENTRIES = 400_000
+#: Words of a passage of a long text in the fit.
+PASSAGE = 200
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
 
@@ -212,6 +215,30 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(m["scale"] * z + m["shift"], -30, 30))))
 
 
+def passages(raw: bytes, most: int, seed: int) -> bytes:
+    """The text, or about ``most`` bytes of it in passages drawn evenly from all over it, in their order."""
+    if len(raw) <= most:
+        return raw
+    words = raw.split()
+    parts = [words[i:i + PASSAGE] for i in range(0, len(words), PASSAGE)]
+    drawn, held = [], 0
+    for i in np.random.default_rng(seed).permutation(len(parts)).tolist():
+        if held >= most:
+            break
+        drawn.append(i)
+        held += sum(map(len, parts[i])) + len(parts[i])
+    return b" ".join(w for i in sorted(drawn) for w in parts[i])
+
+
+def _excerpts(batches, most, out):
+    for b in C.empty_guard(batches):
+        text = [passages(x or b"", most, abs(i)) for i, x in zip(b.column(0).to_pylist(), C.binary_values(b, 1))]
+        yield C.record_batch(out, [b.column(0), text, b.column(2)])
+
+
+_FIT_ARROW = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("y", pa.int32())])
+
+
 def _train_task(batches, base_rate, settings, out):
     texts, labels = [], []
     for b in C.empty_guard(batches):
@@ -232,7 +259,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_train: int = 6_000, max_train_bytes: int = 20_000, **settings) -> dict:
+        max_train: int = 6_000, max_fit_bytes: int = 60_000, **settings) -> dict:
     """The model (numpy arrays) from labelled rows that are not held out."""
     label = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("__y")))
@@ -244,10 +271,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     most = {1: max(half, max_train - (n - toxic)), 0: max(half, max_train - toxic)}
     mark = F.md5(F.concat(F.lit("fit:"), F.col("__id").cast("string")).cast("binary"))
     drawn = [label.where(F.col("__y") == y).orderBy(mark).limit(most[y]) for y in (0, 1)]  # at most max_train rows
-    texts = (docs.where(F.octet_length(text_col) <= max_train_bytes)
-             .select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
-    sample = (texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "__id").dropDuplicates(["__id"])
-              .select("__text", "__y").repartition(1))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "__id").select("__id", "__text", "__y")
+    sample = (C.map_arrow(rows, _excerpts, "id long, text binary, y int", most=max_fit_bytes, out=_FIT_ARROW)
+              .dropDuplicates(["id"]).select("text", "y").repartition(1))
     found = C.map_arrow(sample, _train_task, "model binary", base_rate=base, settings=settings,
                         out=pa.schema([("model", pa.binary())])).first()
     if found is None:
