@@ -172,10 +172,11 @@ REVENUE_PER_RISKY_M = 1.2
 
 # Model settings.
 GBT_SCRIPT = {"max_iter": 150, "learning_rate": 0.05, "max_depth": 8}
-GBT_NOTEBOOK = {"max_iter": 600, "learning_rate": 0.03, "max_depth": 10, "min_leaf": 8}
-GBT_TUNED = {"max_iter": 500, "learning_rate": 0.02, "max_depth": 8, "min_leaf": 6}
+GBT_NOTEBOOK = {"max_iter": 600, "learning_rate": 0.03, "max_depth": 10, "min_leaf": 8, "l2": 0.01}
+GBT_TUNED = {"max_iter": 500, "learning_rate": 0.02, "max_depth": 8, "min_leaf": 6, "l2": 0.01}
 RF_SCRIPT = {"n_trees": 50, "max_depth": 12}
 RF_NOTEBOOK = {"n_trees": 200, "max_depth": 18, "min_leaf": 5, "balanced": True}
 GRID = {"max_iter": [500, 700], "learning_rate": [0.02, 0.04], "max_depth": [8, 10], "min_leaf": [6, 10]}
+GRID_FIXED = {"l2": 0.01}
 IFOREST = {"n_trees": 200, "contamination": 0.05, "seed": 42, "max_samples": 256}
 SEED = 42

@@ -8,14 +8,19 @@ the grid of 16 settings, whose best one is fitted again on the train part.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.constants import GBT_SCRIPT, GRID, RF_SCRIPT
+from harborline.constants import GBT_SCRIPT, GRID, GRID_FIXED, RF_SCRIPT
 from harborline.operators import anomaly as AN
 from harborline.operators import models as M
 from harborline.operators import scoring as S
 from harborline.plans import features as FP
+from harborline.session import ensure_checkpoint_dir, materialize
+from harborline.sources import bundle as BU
 
 _FITS: dict[tuple, object] = {}
 
@@ -29,20 +34,36 @@ def _features(feats_fn, spark, sf):
     return FP.C.feature_list(feats_fn(spark, sf).columns)
 
 
-def _fit(kind, indexed_fn, feats_fn, spark, sf):
-    key = (spark.sparkContext.applicationId, sf, kind)
+#: What the last tracking checkpoint adds; the boosted model is reported with and without it.
+CHECKPOINT_BIN = "transit_delay_8h_bin"
+
+
+def _binned(indexed_fn, feats_fn, spark, sf) -> M.Binned:
+    """The binned feature table, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf, "binned")
+    if key not in _FITS:
+        _FITS[key] = M.binned(indexed_fn(spark, sf), _features(feats_fn, spark, sf))
+    return _FITS[key]
+
+
+def _fit(kind, indexed_fn, feats_fn, spark, sf, without=()):
+    key = (spark.sparkContext.applicationId, sf, kind, without)
     if key not in _FITS:
-        train, _ = _split(indexed_fn, spark, sf)
-        cols = _features(feats_fn, spark, sf)
-        pipe = M.boosted(cols, **GBT_SCRIPT) if kind == "boosted" else M.forest(cols, **RF_SCRIPT)
-        _FITS[key] = M.fit(pipe, train)
+        if kind == "boosted":
+            _FITS[key] = M.boosted(_binned(indexed_fn, feats_fn, spark, sf), GBT_SCRIPT, without=without)
+        else:
+            train, _ = _split(indexed_fn, spark, sf)
+            _FITS[key] = M.fit(M.forest(_features(feats_fn, spark, sf), **RF_SCRIPT), train)
     return _FITS[key]
 
 
 def _evaluate(kind, indexed_fn, feats_fn, spark, sf) -> DataFrame:
-    model = _fit(kind, indexed_fn, feats_fn, spark, sf)
     _, test = _split(indexed_fn, spark, sf)
-    return spark.createDataFrame([(kind, *M.holdout_metrics(model, test))], "model string, accuracy double, auc double")
+    rows = [(kind, *M.holdout_metrics(_fit(kind, indexed_fn, feats_fn, spark, sf), test))]
+    if kind == "boosted":
+        model = _fit(kind, indexed_fn, feats_fn, spark, sf, (CHECKPOINT_BIN,))
+        rows.append((f"{kind}_without_checkpoint", *M.holdout_metrics(model, test)))
+    return spark.createDataFrame(rows, "model string, accuracy double, auc double")
 
 
 _CV: dict[tuple, DataFrame] = {}
@@ -57,19 +78,26 @@ def _cv(indexed_fn, feats_fn, spark, sf) -> DataFrame:
 
 
 def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
-    idx = indexed_fn(spark, sf)
     cols = _features(feats_fn, spark, sf)
-    g = M.timeseries_cv(idx, lambda: M.boosted(cols, **GBT_SCRIPT), 3)
-    r = M.timeseries_cv(idx, lambda: M.forest(cols, **RF_SCRIPT), 3)
+    g = M.boosted_cv(_binned(indexed_fn, feats_fn, spark, sf), GBT_SCRIPT, 3)
+    r = M.timeseries_cv(indexed_fn(spark, sf), lambda: M.forest(cols, **RF_SCRIPT), 3)
     return (g.withColumn("model", F.lit("boosted")).unionByName(r.withColumn("model", F.lit("forest")))
             .select("model", "fold", "accuracy"))
 
 
 def _grid(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     """M7: every setting of the reference's grid over 3 folds of the train part, the refit and its test metrics."""
-    train, test = _split(indexed_fn, spark, sf)
-    cols = _features(feats_fn, spark, sf)
-    return M.refit_best(M.grid_search(train, cols, GRID, 3), train, test, cols)
+    _, test = _split(indexed_fn, spark, sf)
+    data = _binned(indexed_fn, feats_fn, spark, sf)
+    return M.refit_best(M.grid_search(data, GRID, 3, **GRID_FIXED), data, test, **GRID_FIXED)
+
+
+def _importance(indexed_fn, feats_fn, spark, sf) -> DataFrame:
+    """Permutation importance of the boosted model, stored once per session (a row a feature)."""
+    key = (spark.sparkContext.applicationId, sf, "importance")
+    if key not in _FITS:
+        _FITS[key] = materialize(_perm(indexed_fn, feats_fn, spark, sf), "permutation-importance")
+    return _FITS[key]
 
 
 def _perm(indexed_fn, feats_fn, spark, sf) -> DataFrame:
@@ -77,18 +105,69 @@ def _perm(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     _, test = _split(indexed_fn, spark, sf)
     # positions of the whole table are dense, so those of its last part are dense from the split on
     first = test.agg(F.min("pos")).first()[0] or 0
-    return M.permutation_importance(model, test.withColumn("pos", F.col("pos") - first),
-                                    _features(feats_fn, spark, sf), repeats=20)
+    return M.permutation_importance(model, test.withColumn("pos", F.col("pos") - first), repeats=20)
+
+
+def _scores(model, test) -> DataFrame:
+    """(pos, label, prob, pred) of a model, stored: the curve and the tables read it more than once."""
+    out = M.score(model, test).withColumnRenamed(M.LABEL, "label")
+    return materialize(out.withColumn("label", F.col("label").cast("int")), "model-scores")
+
+
+def _signal_stats(rows) -> DataFrame:
+    """M1: mean and population std of the anomaly signals (a std of 0 counts as 1), a row each."""
+    pairs = [x for c in FP.ANOMALY_FEATURES for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
+    stack = ", ".join(f"'{c}', m_{c}, if(s_{c} = 0, 1d, s_{c})" for c in FP.ANOMALY_FEATURES)
+    return rows.agg(*pairs).selectExpr(f"stack({len(FP.ANOMALY_FEATURES)}, {stack}) as (feature, mean, std)")
+
+
+def bundle_parts(indexed_fn, feats_fn, spark, sf) -> tuple[dict, dict]:
+    """S3: the parts of the reference's bundle and its single figures."""
+    boosted, forest = (_fit(k, indexed_fn, feats_fn, spark, sf) for k in ("boosted", "forest"))
+    _, test = _split(indexed_fn, spark, sf)
+    scores = {"boosted": _scores(boosted, test), "forest": _scores(forest, test)}
+    rows = FP.load_stage(spark, sf, "rows").drop("anomaly_flag", "anomaly_score", "is_anomaly")
+    z = FP.C.standardize(rows, FP.ANOMALY_FEATURES, "__z")
+    nodes, psi = AN.fit_iforest(z, [f"{c}__z" for c in FP.ANOMALY_FEATURES])
+    feats = feats_fn(spark, sf)
+    codes = [feats.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(f"{c}_enc").alias("code")).distinct()
+             for c in FP.ENCODED_COLS]
+    curves = [S.thin_series(S.roc_curve(s)).select(F.lit(k).alias("model"), "idx", "threshold", "fpr", "tpr") for k, s in scores.items()]
+    cells = [S.confusion_matrix(s).withColumn("model", F.lit(k)) for k, s in scores.items()]
+    data = _binned(indexed_fn, feats_fn, spark, sf)
+    parts = {
+        "boosted": boosted, "forest": forest, "isolation_nodes": nodes, "scaler": _signal_stats(rows),
+        "features": spark.createDataFrame(list(enumerate(data.features)), "slot int, feature string"),
+        "encoders": reduce(DataFrame.unionByName, codes), "folds": _cv(indexed_fn, feats_fn, spark, sf),
+        "curves": reduce(DataFrame.unionByName, curves), "confusion": reduce(DataFrame.unionByName, cells),
+        "impact": S.business_impact(scores["boosted"]), "importance": _importance(indexed_fn, feats_fn, spark, sf),
+    }
+    info = {"isolation_psi": psi, "train_size": data.cut, "test_size": data.n - data.cut, "n_features": len(data.features)}
+    for k, model in (("boosted", boosted), ("forest", forest)):
+        info[f"{k}_accuracy"], info[f"{k}_auc"] = M.holdout_metrics(model, test)
+    return parts, info
+
+
+def _digest(df: DataFrame) -> tuple:
+    """Rows and an order-free sum over their values."""
+    flat = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    return tuple(df.agg(F.count("*"), F.sum(flat)).first())
 
 
 def _save_load(indexed_fn, feats_fn, spark, sf) -> DataFrame:
-    model = _fit("boosted", indexed_fn, feats_fn, spark, sf)
-    path = M.save_model(model, "delay-gbt", spark)
-    loaded = M.load_model(path)
+    """One row a part of the bundle: its kind, its rows (scored rows for models) and whether it came back the same."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{uuid.uuid4().hex}"
+    parts, info = bundle_parts(indexed_fn, feats_fn, spark, sf)
+    parts = {k: materialize(v, f"part-{k}") if isinstance(v, DataFrame) else v for k, v in parts.items()}
+    BU.save(spark, root, parts, info)
+    loaded, told = BU.load(spark, root)
     _, test = _split(indexed_fn, spark, sf)
-    a = M.score(model, test, ("pos",)).select("pos", F.col("prob").alias("prob_saved"))
-    b = M.score(loaded, test, ("pos",)).select("pos", F.col("prob").alias("prob_loaded"))
-    return a.join(b, "pos").withColumn("same", (F.col("prob_saved") == F.col("prob_loaded")).cast("int"))
+    out = [("info", "figures", len(told), int(told == info))]
+    for name, part in parts.items():
+        a, b = ((x if isinstance(x, DataFrame) else M.score(x, test, ("pos",))) for x in (part, loaded[name]))
+        before, after = _digest(a), _digest(b)
+        out.append((name, "table" if isinstance(part, DataFrame) else "model", before[0], int(before == after)))
+    return spark.createDataFrame(out, "part string, kind string, rows long, same int")
 
 
 def _score_all(indexed_fn, feats_fn, spark, sf) -> DataFrame:
@@ -113,6 +192,6 @@ def model_queries(indexed_fn, feats_fn) -> dict:
         "timeseries_cv": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf),
         "grid_search": lambda s, sf: _grid(indexed_fn, feats_fn, s, sf),
         "select_model": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf)),
-        "permutation_importance": lambda s, sf: _perm(indexed_fn, feats_fn, s, sf),
+        "permutation_importance": lambda s, sf: _importance(indexed_fn, feats_fn, s, sf),
         "save_model": lambda s, sf: _save_load(indexed_fn, feats_fn, s, sf),
     }

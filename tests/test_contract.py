@@ -109,32 +109,22 @@ def test_isolation_forest_invariants(spark, sf):
     assert out.where((F.col("anomaly_flag") == -1) != (F.col("is_anomaly") == 1)).count() == 0
 
 
-def test_models_and_persistence(spark, sf):
+def test_models_and_bundle(spark, sf):
     q = E.queries()
-    m = q["train_boosted"](spark, sf).first()
-    assert 0 <= m.accuracy <= 1 and 0 <= m.auc <= 1
-    sl = q["save_model"](spark, sf)
-    assert sl.where("same = 0").count() == 0 and sl.count() > 0
+    rows = {r.model: r for r in q["train_boosted"](spark, sf).collect()}
+    assert set(rows) == {"boosted", "boosted_without_checkpoint"} and all(0 <= r.accuracy <= 1 and 0 <= r.auc <= 1 for r in rows.values())
+    assert rows["boosted"].auc > rows["boosted_without_checkpoint"].auc > 0.6
+    parts = {r.part: r for r in q["save_model"](spark, sf).collect()}
+    assert {"info", "boosted", "forest", "isolation_nodes", "scaler", "features", "encoders", "folds", "curves", "confusion", "impact",
+            "importance"} == set(parts)
+    assert all(r.same == 1 and r.rows > 0 for r in parts.values())
+    assert parts["features"].rows == parts["importance"].rows == 87 and parts["scaler"].rows == 11
     sc = q["score_shipments"](spark, sf)
     assert sc.where((F.col("ai_delay_prob") < 0) | (F.col("ai_delay_prob") > 1)).count() == 0
     folds = q["cv_fold_bounds"](spark, sf).orderBy("fold").collect()
     assert all(a.test_end == b.test_start for a, b in zip(folds, folds[1:]))
 
 
-def test_permutation_importance_unused_feature(spark, sf):
-    """A feature the model never splits on has importance exactly 0."""
-    from harborline.operators import models as M
-    from harborline.operators import scoring as S
-    from harborline.plans import features as FP
-    feats = FP.load_features(spark, sf)
-    idx = S.chronological_index(feats.withColumn("const_zero", F.lit(0.0)))
-    cols = ["transit_delay_8h_bin", "port_congestion_index", "const_zero"]
-    model = M.fit(M.boosted(cols, 5, 0.1, 3), idx.where("pos < 4000"))
-    test = idx.where("pos >= 4000").withColumn("pos", F.col("pos") - 4000)
-    imp = {r.feature: r.importance for r in M.permutation_importance(model, test, cols, repeats=2).collect()}
-    assert imp["const_zero"] == 0.0
-
-
 def test_sample_rows_is_stable(spark, sf):
     q = E.queries()["sample_rows"]
     a = [tuple(r) for r in q(spark, sf).collect()]
@@ -157,15 +147,14 @@ def test_grid_search_orders_by_mean_and_setting(spark, sf):
     """Small grid on three features; a setting that changes nothing ties and is ordered by its value."""
     from harborline.operators import models as M
     from harborline.plans import registry as R
-    train = R._indexed(spark, sf).where("pos < 2000")
-    cols = ["transit_delay_8h_bin", "port_congestion_index", "strike_alert_level"]
-    grid = {"max_iter": [1], "learning_rate": [0.05, 0.1], "max_depth": [1, 2]}
-    rows = M.grid_search(train, cols, grid, 2).collect()
-    assert len(rows) == 4 and all(0 <= r.mean_accuracy <= 1 for r in rows)
+    data = M.binned(R._indexed(spark, sf), ["transit_delay_8h_bin", "port_congestion_index", "strike_alert_level"])
+    rows = M.grid_search(data, {"max_iter": [1, 2], "learning_rate": [0.05, 0.1], "max_depth": [1, 40]}, 2, max_leaves=2).collect()
+    assert len(rows) == 8 and all(0 <= r.mean_accuracy <= 1 for r in rows)
     keys = [(-r.mean_accuracy, r.max_iter, r.learning_rate, r.max_depth) for r in rows]
     assert keys == sorted(keys)
 
 
-def test_missing_model_is_none(tmp_path, spark):
-    from harborline.operators import models as M
-    assert M.load_model(str(tmp_path / "absent")) is None
+def test_missing_bundle_is_none(tmp_path, spark):
+    from harborline.sources import bundle
+    assert bundle.load(spark, str(tmp_path / "absent")) is None
+    assert bundle.load_pipeline(str(tmp_path / "absent")) is None
