@@ -20,6 +20,10 @@ from harborline.session import ensure_checkpoint_dir, ship_package
 #: A table is broadcast only when rows x bytes per row stays below this.
 BROADCAST_BYTES = 32 << 20
 
+#: Bits of a bitmap of keys: a power of two, of 16 a key or more, up to 32 MB.
+MAX_BITS = 1 << 28
+_BUCKET = 1 << 15
+
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
@@ -137,6 +141,74 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+class KeyFilter:
+    """Bitmap of two bits a key; never misses a key that is in it."""
+
+    def __init__(self, bits: int, buckets: list[tuple[int, bytes]]):
+        self.mask = np.uint64(bits - 1)
+        self.map = np.zeros(max(1, bits // _BUCKET) * (_BUCKET // 8), np.uint8)
+        for no, part in buckets:
+            self.map[(no - 1) * (_BUCKET // 8):][:len(part)] = np.frombuffer(part, np.uint8)
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        at = at & self.mask
+        return self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 != 0
+
+    def where(self, keys: np.ndarray) -> np.ndarray:
+        """Indices of the keys that may be in it."""
+        hit = np.nonzero(self._set(keys))[0]
+        return hit[self._set(keys[hit] >> np.uint64(32))]
+
+
+def filter_bits(keys: int, max_bits: int = MAX_BITS) -> int:
+    return min(max_bits, max(_BUCKET, 1 << (16 * keys - 1).bit_length() if keys else 0))
+
+
+def bitmap(bits: DataFrame) -> DataFrame:
+    """(no, map) of 4 kB parts of the bitmap of ``bit``; dealt by part first, since partial maps of every task would be
+    larger than the bits."""
+    at = bits.select((F.col("bit") + 1).alias("bit"))  # these functions count from 1
+    at = at.select(F.bitmap_bucket_number("bit").alias("no"), F.bitmap_bit_position("bit").alias("position"))
+    return at.repartition("no").groupBy("no").agg(F.bitmap_construct_agg("position").alias("map"))
+
+
+def key_filter(keys: DataFrame, total: int, max_bits: int = MAX_BITS) -> KeyFilter:
+    """Filter of the 64-bit ``key`` column; at most max_bits / 8 bytes reach the driver."""
+    bits = filter_bits(total, max_bits)
+    halves = keys.select(F.explode(F.array("key", F.shiftrightunsigned("key", 32))).alias("bit"))
+    maps = bitmap(halves.select(F.col("bit").bitwiseAND(F.lit(bits - 1)).alias("bit")))
+    return KeyFilter(bits, [tuple(r) for r in maps.collect()])
+
+
+def _marked(rows: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``__may``: whether its (file, row) may be among ``some``. The bitmap is broadcast; its size is bounded."""
+    bits = filter_bits(n)
+    key = F.xxhash64("file", "row").bitwiseAND(F.lit(bits - 1))
+    maps = bitmap(some.select(key.alias("bit"))).withColumnsRenamed({"no": "__no", "map": "__map"})
+    at = F.bitmap_bit_position(key + 1)
+    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int"), F.lit(2)) == 1, F.lit(False))
+    return (rows.withColumn("__no", F.bitmap_bucket_number(key + 1)).join(F.broadcast(maps), "__no", "left")
+            .withColumn("__may", held).drop("__no", "__map"))
+
+
+def at_rows(rows: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """``rows`` (file, row, ...) joined with the ``n`` rows of ``some``. Beyond the broadcast bound a bitmap of them is applied
+    in the scan first, so texts that aren't asked for stay where they are."""
+    if n * 256 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(some), ["file", "row"])
+    return _marked(rows, some, n).where("__may").drop("__may").join(some, ["file", "row"])
+
+
+def not_at_rows(rows: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """``rows`` (file, row, ...) without the ``n`` rows of ``some``; texts that surely stay are not shuffled."""
+    if n * 256 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(some), ["file", "row"], "left_anti")
+    marked = _marked(rows, some, n)
+    doubtful = marked.where("__may").drop("__may").join(some, ["file", "row"], "left_anti")
+    return marked.where(~F.col("__may")).drop("__may").unionByName(doubtful)
+
+
 def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -7,8 +7,9 @@ disks with its log in the shared checkpoint folder, has no watermark and never e
 digest seen in any earlier batch is found. Digests travel; texts don't.
 
 A digest met again is a hit. For all hits the full bytes behind the locators are read and
-compared: each task first folds its own copies of a digest to the least and the largest text,
-so a group of any size sends at most two texts a task. Where bytes differ under one digest,
+compared: a bitmap of the digests that were met again (bounded, broadcast) picks them in the scan,
+and each task first folds its own copies of a digest to the least and the largest text,
+so a group of any size sends at most two texts a task, and other texts stay where they are. Where bytes differ under one digest,
 those documents are grouped by their bytes instead.
 
 Equal means identical after lower-casing A-Z; null counts as empty. Of equal documents the one
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm import common as C
@@ -40,10 +43,6 @@ STATE_CONF = {
 }
 
 
-def normalised(text: Column) -> Column:
-    return C.ascii_lower(F.coalesce(text, F.lit("")))
-
-
 def on_files(docs: DataFrame) -> DataFrame:
     """``docs`` where its rows lie in files; a table that no file holds is written first."""
     try:
@@ -81,6 +80,23 @@ _DIGESTS_ARROW = pa.schema([("file", pa.string()), ("row", pa.int64()), ("doc_id
                             ("digest", pa.binary()), ("text_sha256", pa.string())])
 
 
+def _hit_texts(batches, digest, known, out):
+    """Rows whose digest may be among the known ones, with their normalised text."""
+    for b in C.empty_guard(batches):
+        norm = [(x or b"").translate(_LOWER) for x in C.binary_column(b, 3)]
+        keys = [digest(x) for x in norm]
+        hit = known.value.where(np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys))).tolist()
+        if hit:
+            at = pa.array(hit)
+            yield C.record_batch(out, [*(b.column(i).take(at) for i in range(3)), [keys[i] for i in hit],
+                                       pa.array([norm[i] for i in hit], pa.binary()).cast(pa.string())])
+
+
+_TEXTS = "file string, row long, doc_id long, digest binary, norm string"
+_TEXTS_ARROW = pa.schema([("file", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()),
+                          ("norm", pa.string())])
+
+
 def stream_state(spark, path: str, schema, work: str, bytes_per_trigger: int) -> DataFrame:
     """Run the stream over the digests at ``path`` until they are read; the last state of every digest.
 
@@ -122,12 +138,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
      .select("doc_id", "file", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
              kept.alias("kept"), "text_sha256", "digest").write.parquet(f"{work}/members"))
     members = spark.read.parquet(f"{work}/members")
-    hits = members.where("group_size > 1").select("file", "row", "digest")
+    hits = state.where("n > 1").select(F.xxhash64("digest").alias("key"))
     n_hits = hits.count()
     if not n_hits:
         return members.drop("digest")
-    # the located bytes of all hits, to be compared in full
-    texts = doc.join(C.broadcast_if_small(hits, n_hits, 256), ["file", "row"]).withColumn("norm", normalised(F.col("text")))
+    # the bytes of all hits, to be compared in full: a bitmap of their digests picks them in the scan (and a few others,
+    # whose group has one text)
+    known = spark.sparkContext.broadcast(C.key_filter(hits, n_hits))
+    texts = C.map_arrow(doc, _hit_texts, _TEXTS, digest=digest, known=known, out=_TEXTS_ARROW)
     (texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
      .where(F.col("a") != F.col("b")).select("digest").write.parquet(f"{work}/false-hits"))
     false_hits = spark.read.parquet(f"{work}/false-hits")
@@ -147,8 +165,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **para
     """The documents that stay, all columns as they were."""
     docs = on_files(docs)
     gone = C.stored(groups(docs, id_col, text_col, **params).where(~F.col("kept")).select("file", "row"), "copies")
-    rows = gone.count()
-    return (located(docs).join(C.broadcast_if_small(gone, rows, 256), ["file", "row"], "left_anti").select("doc.*"))
+    return C.not_at_rows(located(docs), gone, gone.count()).select("doc.*")
 
 
 ORACLE_SQL = r"""

@@ -8,7 +8,7 @@
 3. Every word's full one-edit neighbourhood of its reduced word (itself, deletions, replacements, insertions) is joined
    with the reduced vocabulary. A reduced word travels as a 64-bit polynomial hash, from which each neighbour's hash
    follows in constant time, so a word of n letters costs O(symbols n), however long it is. Neighbours that a bitmap of
-   the reduced vocabulary (at most ``MAX_BITS``, so its broadcast is bounded) can't hold are left out before the shuffle;
+   the reduced vocabulary (at most ``common.MAX_BITS``, so its broadcast is bounded) can't hold are left out before the shuffle;
    a fuller bitmap passes more of them, and the join decides.
 4. The candidates are verified on the original strings, by edit distance, where they meet. Words are numbered by falling
    frequency, then in code-point order, so of a word's near words the one with the least number is wanted, and only
@@ -45,9 +45,6 @@ MAX_ENTRIES = 100_000
 MAX_BYTES = 16 << 20
 #: Neighbours made at a time.
 CHUNK = 1 << 20
-#: Bits of the bitmap: a power of two, of 16 a word or more, up to 32 MB.
-MAX_BITS = 1 << 28
-_BUCKET = 1 << 15
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -149,36 +146,6 @@ def _word_keys(batches, symbols):
             yield C.record_batch(_KEYS_ARROW, [pa.array(wids), words, pa.array(word_keys(words, symbols).view(np.int64))])
 
 
-class KeyFilter:
-    """Bitmap of two bits a key; never misses a key that is in it."""
-
-    def __init__(self, bits: int, buckets: list[tuple[int, bytes]]):
-        self.mask = _U(bits - 1)
-        self.map = np.zeros(max(1, bits // _BUCKET) * (_BUCKET // 8), np.uint8)
-        for no, part in buckets:
-            self.map[(no - 1) * (_BUCKET // 8):][:len(part)] = np.frombuffer(part, np.uint8)
-
-    def _set(self, at: np.ndarray) -> np.ndarray:
-        at = at & self.mask
-        return self.map[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 != 0
-
-    def where(self, keys: np.ndarray) -> np.ndarray:
-        """Indices of the keys that may be in it."""
-        hit = np.nonzero(self._set(keys))[0]
-        return hit[self._set(keys[hit] >> _U(32))]
-
-
-def key_filter(reduced: DataFrame, total: int, max_bits: int = MAX_BITS) -> KeyFilter:
-    """Filter of the keys of ``reduced``; at most max_bits / 8 bytes reach the driver."""
-    bits = min(max_bits, max(_BUCKET, 1 << (16 * total - 1).bit_length() if total else 0))
-    halves = F.array("key", F.shiftrightunsigned("key", 32))
-    at = reduced.select(F.explode(halves).alias("bit"))
-    at = at.select((F.col("bit").bitwiseAND(F.lit(bits - 1)) + 1).alias("bit"))  # these functions count from 1
-    # dealt by bucket first: partial maps of every task would be larger than the bits
-    at = at.select(F.bitmap_bucket_number("bit").alias("no"), F.bitmap_bit_position("bit").alias("position")).repartition("no")
-    return KeyFilter(bits, [tuple(r) for r in at.groupBy("no").agg(F.bitmap_construct_agg("position").alias("map")).collect()])
-
-
 def _ball_keys(batches, symbols, known):
     for b in C.empty_guard(batches):
         for wids, words in _by_length(b, 2 * symbols + 1):
@@ -204,13 +171,13 @@ def symbols_for(words: int, shortest: int) -> int:
     return symbols
 
 
-def near_pairs(words: DataFrame, symbols: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+def near_pairs(words: DataFrame, symbols: int | None = None, max_bits: int = C.MAX_BITS) -> DataFrame:
     """(wid, o_wid) for every word and every word exactly one edit from it."""
     total, shortest = words.agg(F.count("*"), F.min(F.char_length("word"))).first()
     symbols = symbols or symbols_for(total, max(1, shortest or 1))
     text = words.select("wid", "word")
     reduced = C.stored(C.map_arrow(text, _word_keys, _KEYS, symbols=symbols), "reduced-words")
-    known = words.sparkSession.sparkContext.broadcast(key_filter(reduced, total, max_bits))
+    known = words.sparkSession.sparkContext.broadcast(C.key_filter(reduced, total, max_bits))
     balls = C.map_arrow(text, _ball_keys, _KEYS, symbols=symbols, known=known)
     reduced = reduced.select(F.col("wid").alias("o_wid"), F.col("word").alias("other"), "key")
     return (balls.join(reduced, "key").where((F.col("wid") != F.col("o_wid")) & (F.levenshtein("word", "other", 1) == 1))

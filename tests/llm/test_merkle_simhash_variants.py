@@ -265,7 +265,7 @@ def test_filter_holds_its_keys_and_few_others(spark):
     df = spark.createDataFrame([(k,) for k in keys[:10_000]], "key long")
     at = np.array(keys, np.int64).view(np.uint64)
     for bits in (1 << 28, 1 << 15):
-        hit = variants.key_filter(df, 10_000, bits).where(at).tolist()
+        hit = C.key_filter(df, 10_000, bits).where(at).tolist()
         assert hit[:10_000] == list(range(10_000))
         assert len(hit) < (10_400 if bits > 1 << 15 else 20_000)
-    assert variants.key_filter(df.where("false"), 0).where(at).tolist() == []
+    assert C.key_filter(df.where("false"), 0).where(at).tolist() == []
