@@ -403,7 +403,7 @@ def class_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = C.stored(classes.withColumn("h", little_long(F.col("cls"))).join(shared, "h")
                     .where(F.col("shared") >= F.floor(need / 10) + 1).select("cls", "at.file", "at.row"), "left")
     n_left = left.count()
-    wanted = doc.select("file", "row", "text").join(C.broadcast_if_small(left, n_left, 256), ["file", "row"])
+    wanted = C.at_rows(doc.select("file", "row", "text"), left, n_left)
     sets = C.stored(C.map_arrow(wanted.select("cls", "text"), _write_sets, _SETS, width=width, out=_SETS_ARROW), "sets")
     comp = C.stored(candidate_groups(sets, ranges, percent), "candidates")
     placed = sets.select("cls", "n", "tokens").join(comp, "cls")
@@ -411,6 +411,8 @@ def class_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .agg(F.greatest(F.ceil(F.count("*") / (GROUP_SETS // 2)), F.ceil(F.sum("n") / (GROUP_TOKENS // 2))).alias("half"),
                   F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("whole"))
              .select("comp", F.when(F.col("whole") <= 1, 1).otherwise(F.col("half")).cast("int").alias("blocks")))
+    # written before the join, so that AQE may split a group that holds much of the rows
+    sizes = C.stored(sizes, "group-sizes")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
@@ -457,4 +459,4 @@ def keep(docs: DataFrame, **params) -> DataFrame:
             .select("file", "row"))
     gone = C.stored(gone, "near-copies")
     n = gone.count()
-    return located(docs).join(C.broadcast_if_small(gone, n, 256), ["file", "row"], "left_anti").select("doc.*")
+    return C.not_at_rows(located(docs), gone, n).select("doc.*")
