@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from harborline.constants import REROUTE_THRESHOLD
-from harborline.session import ensure_checkpoint_dir
+from harborline.session import ensure_checkpoint_dir, ship_package
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -74,21 +76,79 @@ def stream_checkpoint_8h(spark: SparkSession, sf_dir: str, folder: str | None =
                       "avg_value", "events")
 
 
+LATEST_SCHEMA = T.StructType([
+    T.StructField("window_start", T.TimestampType()), T.StructField("user_id", T.LongType()),
+    T.StructField("last_ts", T.TimestampType()), T.StructField("last_event_id", T.LongType()),
+    T.StructField("last_type", T.StringType()), T.StructField("last_value", T.DoubleType()),
+])
+_WINDOW_MS = 8 * 3600 * 1000
+
+
+class LatestInWindow(StatefulProcessor):
+    """Latest event (ties: event id) of a user in each 8-hour window, emitted once, when the watermark passes its end.
+
+    A row is late, and dropped, exactly if its time is not after the watermark that its batch started with (the latest
+    time of all batches before, less the delay); the window of any other row is open. That watermark is in the checkpoint,
+    so a batch that is done again drops the same rows. State is one entry for each open window of a user, with a timer at
+    its end, and goes when the timer fires."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getMapState("last", "end long", "ts long, event_id long, event_type string, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        (user,) = key
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        best: dict[int, tuple] = {}
+        for part in rows:
+            for end, *event in zip(part["end_ms"], part["ts_us"], part["event_id"], part["event_type"], part["value"]):
+                event = tuple(None if v is None or v != v else v for v in event)
+                order = (event[0], event[1] is not None, event[1] or 0)
+                if event[0] > mark and (end not in best or order > best[end][0]):
+                    best[int(end)] = (order, event)
+        for end, (order, event) in best.items():
+            if self.last.containsKey((end,)):
+                ts, number, *_ = self.last.getValue((end,))
+                if (ts, number is not None, number or 0) >= order:
+                    continue
+            else:
+                self.handle.registerTimer(end)
+            self.last.updateValue((end,), (int(event[0]), None if event[1] is None else int(event[1]), event[2],
+                                           None if event[3] is None else float(event[3])))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        ts, number, kind, value = self.last.getValue((end,))
+        self.last.removeKey((end,))
+        row = (pd.Timestamp(end - _WINDOW_MS, unit="ms"), key[0], pd.Timestamp(ts, unit="us"), number, kind, value)
+        out = pd.DataFrame([row], columns=LATEST_SCHEMA.fieldNames())
+        yield out.astype({"user_id": "Int64", "last_event_id": "Int64", "last_value": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
 def latest_checkpoint(events: DataFrame) -> DataFrame:
-    """T2 (streaming plan): latest event per user per 8-hour window (ties: event id)."""
-    last = F.max(F.struct("ts", "event_id", "event_type", "value")).alias("last")
-    return (events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", WINDOW), "user_id").agg(last))
+    """T2 (streaming plan): keyed by user, so a user's windows share their state and their timers."""
+    at = F.unix_micros("ts")
+    end = (F.floor(at / (_WINDOW_MS * 1000)) + 1) * _WINDOW_MS
+    rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", WATERMARK).select(
+        "ts", "user_id", end.cast("long").alias("end_ms"), at.alias("ts_us"), "event_id", "event_type", "value")
+    ship_package(events.sparkSession)
+    return rows.groupBy("user_id").transformWithStateInPandas(LatestInWindow(), LATEST_SCHEMA, "append", "eventtime")
 
 
 def stream_latest_checkpoint(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """Latest event per user per closed 8-hour window. Rows within the watermark
-    delay are always aggregated; rows later than it may or may not be dropped (Spark's
-    one-directional guarantee)."""
-    out = _run_to_parquet(latest_checkpoint(read_events_stream(spark, sf_dir)), spark, "latest_checkpoint", folder=folder)
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id",
-                      F.col("last.ts").cast("timestamp_ntz").alias("last_ts"),
-                      F.col("last.event_id").alias("last_event_id"), F.col("last.event_type").alias("last_type"),
-                      F.col("last.value").alias("last_value"))
+    """Latest event per user per closed 8-hour window."""
+    session = spark.newSession()  # this operator needs the state store that keeps its data on disk
+    session.conf.set("spark.sql.streaming.stateStore.providerClass",
+                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    out = _run_to_parquet(latest_checkpoint(read_events_stream(session, sf_dir)), spark, "latest_checkpoint", folder=folder)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id",
+                      F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "last_event_id", "last_type", "last_value")
 
 
 def stream_score_alerts(spark: SparkSession, feature_dir: str, max_risk: float) -> DataFrame:

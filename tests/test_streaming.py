@@ -1,7 +1,5 @@
 """Streaming semantics of append mode with a watermark: closed windows are emitted once,
-windows still open at the final watermark are held back. (Spark only guarantees one
-direction for late rows: rows within the delay are always aggregated; later rows may or
-may not be dropped; Spark 4.1 was observed to keep them.)"""
+windows still open at the final watermark are held back, late rows are dropped by rule."""
 import datetime as dt
 import time
 
@@ -40,6 +38,27 @@ def test_append_mode_windows(spark, tmp_path):
     assert 4 not in ids                                      # open window held back
 
 
+def test_late_rows_one_second_either_side(spark, tmp_path):
+    """The second run starts with the watermark that the first one left: its latest time less 8 hours."""
+    from harborline.streaming.checkpoints import stream_latest_checkpoint
+    d, folder = tmp_path / "ev", str(tmp_path / "job")
+    d.mkdir()
+    base, second = dt.datetime(2024, 1, 2), dt.timedelta(seconds=1)
+    mark = base + dt.timedelta(hours=42)  # inside the window 40 to 48
+    _write(d / "events1.parquet", [(1, base, 7, 1.0), (2, base + dt.timedelta(hours=1), 7, 2.0), (3, mark + dt.timedelta(hours=8), 8, 3.0)])
+    run = lambda: sorted((r.window_start, r.user_id, r.last_event_id) for r in stream_latest_checkpoint(spark, str(d), folder).collect())
+    first = [(base, 7, 2)]
+    assert run() == first and run() == first
+    # before, at and after the watermark; of equal times the larger id; and the row that closes the windows
+    _write(d / "events2.parquet", [(10, mark - second, 7, 0.0), (11, mark, 8, 0.0), (12, mark + second, 9, 0.0), (13, mark + second, 9, 0.0),
+                                   (14, base + dt.timedelta(hours=2), 7, 0.0), (15, base + dt.timedelta(days=9), 7, 0.0)])
+    later = first + [(base + dt.timedelta(hours=40), 9, 13), (base + dt.timedelta(hours=48), 8, 3)]
+    assert run() == sorted(later) and run() == sorted(later)
+    # the window that event 15 opened is emitted when a later row closes it; what came late stays out
+    _write(d / "events3.parquet", [(20, mark + 2 * second, 9, 0.0), (21, base + dt.timedelta(days=30), 7, 0.0)])
+    assert run() == sorted([*later, (base + dt.timedelta(days=9), 7, 15)])
+
+
 def test_file_order_and_restart(spark, tmp_path):
     """Newest file first, then the same job again with one more file: every closed window once, no row lost."""
     from harborline.streaming.checkpoints import stream_checkpoint_8h
