@@ -232,13 +232,9 @@ def rolling_daily_rate(df: DataFrame, n: int = 30) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLS) -> DataFrame:
-    """Pearson matrix in long form (var1, var2, corr); one aggregate pass."""
+    """Pearson matrix in long form (var1, var2, corr); one scan."""
     from harborline.functions.stats import pearson
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    half = pearson(df, pairs)
-    mirror = half.where(F.col("var1") != F.col("var2")).select(F.col("var2").alias("var1"),
-                                                                F.col("var1").alias("var2"), "corr")
-    return half.unionByName(mirror)
+    return pearson(df, [(a, b) for a in cols for b in cols])
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -266,7 +262,7 @@ def score_histogram(df: DataFrame, value: str = "ai_delay_prob", klass: str = "r
     rng = df.groupBy(klass).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
                                 F.count(value).alias("n"))
     w = (F.col("hi") - F.col("lo")) / bins
-    j = df.select(klass, value).join(F.broadcast(rng), klass)
+    j = df.select(klass, value).join(rng, klass)  # Spark sees how many classes there are
     b = F.when(w > 0, F.least(F.floor((F.col(value) - F.col("lo")) / w), F.lit(bins - 1))).otherwise(F.lit(0))
     per = j.groupBy(klass, "lo", "hi", "n", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     w2 = (F.col("hi") - F.col("lo")) / bins
@@ -352,6 +348,18 @@ def quality_profile(raw: DataFrame) -> DataFrame:
         "transport_modes", "origin_ports", "carriers", "delay_rate")
 
 
+_KINDS = {"string": "text", "double": "double", "int": "integer", "timestamp_ntz": "timestamp"}
+
+
+def column_info(df: DataFrame) -> DataFrame:
+    """O8 (``info``): one row a column: its place, name, values that aren't null, and type."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    rows = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(f.name).alias("column_name"), F.col(f.name).alias("non_null"),
+                              F.lit(_KINDS.get(f.dataType.simpleString(), f.dataType.simpleString())).alias("kind"))
+                     for i, f in enumerate(df.schema.fields)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
 DESCRIBE_COLS = ["port_congestion_index", "weather_severity_score", "route_risk_score", "transit_delay_8h_bin"]
 
 
@@ -431,7 +439,10 @@ def importance_by_category(imp: DataFrame) -> DataFrame:
     tagged = imp.withColumn("__cats", F.filter(cats, lambda x: x.isNotNull()))
     tagged = tagged.withColumn("__cats", F.when(F.size("__cats") == 0, F.array(F.lit("Other")))
                                .otherwise(F.col("__cats")))
-    return (tagged.select(F.explode("__cats").alias("category"), "importance").groupBy("category")
+    found = tagged.select(F.explode("__cats").alias("category"), "importance")
+    names = [*(name for name, _ in IMPORTANCE_CATEGORIES), "Other"]  # one without a feature has 0
+    empty = imp.sparkSession.createDataFrame([(name, 0.0) for name in names], "category string, importance double")
+    return (found.unionByName(empty).groupBy("category")
             .agg(F.greatest(F.sum("importance"), F.lit(0.0)).alias("importance")))
 
 

@@ -48,44 +48,63 @@ def with_position(df: DataFrame, order_cols: Sequence, pos_col: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     rows = _sorted(df, order_cols, num_partitions)
     counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(_PID, F.coalesce(F.sum("__n").over(_offset_window()), F.lit(0)).alias("__off"))
+    # stored (a row a partition), so later readers of the positions read the rows once
+    offsets = materialize(counts.select(_PID, F.coalesce(F.sum("__n").over(_offset_window()), F.lit(0)).alias("__off")), "offsets")
     return (rows.join(F.broadcast(offsets), _PID)
             .select(*df.columns, (F.col("__off") + F.col(_LOCAL)).alias(pos_col)))
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), prefix: str = "q") -> DataFrame:
-    """Linear-interpolation quantiles (= DuckDB ``quantile_cont``) per group.
+#: Sketch size of ``exact_quantiles``, and (rows above which it is used, half width of the bracket as a share of the rows).
+SKETCH = 100_000
+BRACKETS = ((100_000, 4e-5), (10_000, 4e-4))
 
-    Rows are counted per distinct (group, value) first, so a value that most rows share is one row of
-    the sort. Running sums of the counts give each value its range of ranks, and the target ranks pick
-    their values in one aggregate. Output: group cols + ``{prefix}{i}`` per probability and ``n``.
-    """
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = (), prefix: str = "q",
+                    brackets: Sequence[tuple[int, float]] = BRACKETS) -> DataFrame:
+    """Linear-interpolation quantiles (= DuckDB ``quantile_cont``) per group, exact.
+
+    1. One pass gives every group its size and approximate quantiles on both sides of each wanted rank. The sketch errs by
+       at most 1 / SKETCH of the rows and the bracket is at least four ranks wider than that, so it holds the rank; small
+       groups take their whole range.
+    2. A second pass counts the rows below each bracket and the distinct values inside it.
+    3. Only those values are ordered, per group and quantile. Values outside the brackets are never sorted, and a value
+       that most rows share is one row.
+
+    Output: group cols + ``{prefix}{i}`` per probability and ``n``."""
     group_cols = list(group_cols)
-    counted = (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, F.col(value_col).alias("__v"))
-               .agg(F.count(F.lit(1)).alias("__c")))
-    order = [F.col(c).asc_nulls_first() for c in group_cols] + [F.col("__v")]
-    ranked = with_running_sums(counted, order, ["__c"]).select(
-        *group_cols, "__v", (F.col("cum___c") - F.col("__c")).alias("__from"), F.col("cum___c").alias("__to"))
-    grp = ranked.groupBy(*group_cols).agg(F.min("__from").alias("__start"), F.max("__to").alias("__end"))
+    rows = df.where(F.col(value_col).isNotNull()).select(*group_cols, F.col(value_col).alias("__v"))
+    marks = [min(1.0, max(0.0, q + side * half)) for _, half in brackets for q in probs for side in (-1, 1)]
+    head = materialize(rows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+                                                     F.percentile_approx("__v", marks, SKETCH).alias("__b")), "brackets")
+
+    def edge(i, side):
+        out = F.col("__max" if side else "__min")
+        for k, (above, _) in reversed(list(enumerate(brackets))):  # the largest bound that holds decides
+            out = F.when(F.col("__n") > above, F.element_at("__b", 2 * (k * len(probs) + i) + side + 1)).otherwise(out)
+        return out
+
+    head = head.select(*group_cols, "__n", *[edge(i, side).alias(f"__{name}{i}") for i in range(len(probs))
+                                             for side, name in enumerate(("lo", "hi"))])
     if group_cols:
-        g = grp.withColumnsRenamed({c: f"__g_{c}" for c in group_cols})
-        j = ranked.join(g, [ranked[c].eqNullSafe(g[f"__g_{c}"]) for c in group_cols]).drop(
-            *[f"__g_{c}" for c in group_cols])
+        g = head.withColumnsRenamed({c: f"__g_{c}" for c in group_cols})
+        j = rows.join(g, [rows[c].eqNullSafe(g[f"__g_{c}"]) for c in group_cols])
     else:
-        j = ranked.crossJoin(F.broadcast(grp))
-    n = F.col("__end") - F.col("__start")
-    picks = []
-    for i, q in enumerate(probs):
-        for name, edge in (("lo", F.floor), ("hi", F.ceil)):
-            at = F.col("__start") + edge((n - 1) * F.lit(float(q)))
-            picks.append(F.max(F.when((at >= F.col("__from")) & (at < F.col("__to")), F.col("__v"))).alias(f"__{name}{i}"))
-    out = j.groupBy(*group_cols).agg(F.max(n).alias("n"), *picks)
-    for i, q in enumerate(probs):
-        rank = (F.col("n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out = out.withColumn(f"{prefix}{i}", lo + (hi - lo) * (rank - F.floor(rank)))
-    return out.select(*group_cols, *[f"{prefix}{i}" for i in range(len(probs))], "n")
+        j = rows.crossJoin(F.broadcast(head))
+    v = F.col("__v")
+    place = F.array(*[F.struct(F.lit(i).alias("i"), F.when(v < F.col(f"__lo{i}"), 0).when(v <= F.col(f"__hi{i}"), 1).otherwise(2).alias("at"))
+                      for i in range(len(probs))])
+    placed = j.select(*group_cols, "__n", "__v", F.explode(place).alias("p")).where("p.at < 2")
+    counted = (placed.groupBy(*group_cols, "__n", F.col("p.i").alias("__i"), F.col("p.at").alias("__at"),
+                              F.when(F.col("p.at") == 1, v).alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
+    inside = Window.partitionBy(*group_cols, "__i").orderBy("__at", "__x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("__to", F.sum("__c").over(inside)).withColumn("__from", F.col("__to") - F.col("__c"))
+    rank = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("__i") + 1)
+    at = lambda r: F.max(F.when((F.col("__at") == 1) & (r >= F.col("__from")) & (r < F.col("__to")), F.col("__x")))
+    found = (upto.withColumn("__r", rank).groupBy(*group_cols, "__n", "__i", "__r")
+             .agg(at(F.floor("__r")).alias("__a"), at(F.ceil("__r")).alias("__z")))
+    value = F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__r") - F.floor("__r"))
+    return (found.groupBy(*group_cols, "__n").agg(*[F.max(F.when(F.col("__i") == i, value)).alias(f"{prefix}{i}") for i in range(len(probs))])
+            .select(*group_cols, *[f"{prefix}{i}" for i in range(len(probs))], F.col("__n").alias("n")))
 
 
 def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], pos_col: str = "pos",

@@ -83,10 +83,15 @@ def features(raw: DataFrame, anomaly: str = "zscore") -> DataFrame:
     return C.label_encode(C.drop_incomplete(engineered(raw, anomaly)), ENCODED_COLS)
 
 
-def heuristic_score(df: DataFrame) -> DataFrame:
-    """P20 (model-free scorer) + P18/P19: prob = clip(risk / (max risk + 1e-9), 0, 1)."""
-    mx = df.agg(F.max("route_risk_score").alias("__mx_rrs"))
-    out = df.crossJoin(F.broadcast(mx))
+def score_scalars(df: DataFrame) -> DataFrame:
+    """One row: the whole-table maximum that P20 divides by."""
+    return df.agg(F.max("route_risk_score").alias("__mx_rrs"))
+
+
+def heuristic_score(df: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+    """P20 (model-free scorer) + P18/P19: prob = clip(risk / (max risk + 1e-9), 0, 1). ``scalars`` is the stored row of
+    ``score_scalars``; without it the table is scanned for it."""
+    out = df.crossJoin(F.broadcast(scalars if scalars is not None else score_scalars(df)))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("route_risk_score") / (F.col("__mx_rrs") + 1e-9)))
     return add_score_columns(out.withColumn("ai_delay_prob", p).drop("__mx_rrs"))
 
@@ -118,8 +123,10 @@ def build_features(raw: DataFrame, anomaly: str = "zscore") -> dict[str, DataFra
     dicts = {c: materialize(C.encoding_dictionary(complete, c), f"dict-{c}") for c in ENCODED_COLS}
     sizes = {c: d.count() for c, d in dicts.items()}
     feats = C.encode_with(complete, dicts, sizes)
-    return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats,
-            "engineered_files": eng}
+    # the scorer's scalar, stored beside the table: scored queries read the rows once
+    scalars = materialize(score_scalars(complete), "score-scalars")
+    return {"rows": rows, "engineered": eng.drop(C.COMPLETE), "features": feats, "plain": complete,
+            "engineered_files": eng, "scalars": scalars}
 
 
 def load_stage(spark: SparkSession, sf_dir: str, stage: str = "features", anomaly: str = "zscore") -> DataFrame:
@@ -134,5 +141,6 @@ def load_features(spark: SparkSession, sf_dir: str, anomaly: str = "zscore") ->
     return load_stage(spark, sf_dir, "features", anomaly)
 
 
-def load_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristic_score(load_features(spark, sf_dir))
+def load_scored(spark: SparkSession, sf_dir: str, codes: bool = False) -> DataFrame:
+    """Scored feature table; with ``codes`` the encoded columns too, whose dictionaries are joined on read."""
+    return heuristic_score(load_stage(spark, sf_dir, "features" if codes else "plain"), load_stage(spark, sf_dir, "scalars"))

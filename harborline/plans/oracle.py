@@ -442,6 +442,8 @@ def oracle_sql() -> dict[str, str]:
         cat_arms.append(f"SELECT '{_q(name)}' AS category, feature, importance FROM imp WHERE {cond}")
     anyc = " OR ".join(f"contains(feature, '{f}')" for _, frags in IMPORTANCE_CATEGORIES for f in frags)
     cat_arms.append(f"SELECT 'Other', feature, importance FROM imp WHERE NOT ({anyc})")
+    # a category without a feature has 0
+    cat_arms += [f"SELECT '{_q(name)}', NULL, 0e0" for name in (*(n for n, _ in IMPORTANCE_CATEGORIES), "Other")]
     o["importance_by_category"] = final(
         f"SELECT category, greatest(sum(importance), 0e0) AS importance FROM ({' UNION ALL '.join(cat_arms)}) "
         f"GROUP BY category", ["importance"], _importance_cte())
@@ -503,6 +505,13 @@ def oracle_sql() -> dict[str, str]:
     o["top_risk_shipments"] = final(
         "SELECT shipment_id, ai_delay_prob, risk_status FROM scored ORDER BY ai_delay_prob DESC, shipment_id LIMIT 100",
         ["ai_delay_prob"])
+    o["sample_rows"] = final(
+        "SELECT shipment_id, anomaly_score, ai_delay_prob, risk_status FROM scored "
+        "ORDER BY md5('sample:' || shipment_id), shipment_id LIMIT 2000", ["anomaly_score", "ai_delay_prob"])
+    kinds = "CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'text' WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'integer' ELSE 'timestamp' END"
+    o["column_info"] = final(" UNION ALL ".join(
+        f"SELECT {i} AS slot, '{f.name}' AS column_name, count({f.name}) AS non_null, {kinds.format(c=f.name)} AS kind FROM shipments"
+        for i, f in enumerate(RAW_SCHEMA.fields)))
     o["top_features"] = final("SELECT * FROM imp ORDER BY importance DESC, feature LIMIT 15", ["importance", "std"],
                               _importance_cte())
     o["thin_series"] = final(

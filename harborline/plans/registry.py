@@ -28,7 +28,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _scored(spark, sf):
-    return FP.heuristic_score(FP.load_features(spark, sf))
+    return FP.load_scored(spark, sf)
+
+
+def _coded(spark, sf):
+    """Scored rows with the encoded columns."""
+    return FP.load_scored(spark, sf, codes=True)
+
+
+def _plain(spark, sf):
+    """Complete rows without the encoded columns."""
+    return FP.load_stage(spark, sf, "plain")
 
 
 def _feats(spark, sf):
@@ -57,7 +67,7 @@ def _positions(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POSITIONS:
         from harborline.session import materialize
-        narrow = _feats(spark, sf).select("shipment_id", "timestamp")
+        narrow = _plain(spark, sf).select("shipment_id", "timestamp")
         _POSITIONS[key] = materialize(S.chronological_index(narrow), "positions")
     return _POSITIONS[key]
 
@@ -72,7 +82,7 @@ def _indexed(spark, sf):
     if key not in _INDEXED:
         from harborline.session import materialize
         _INDEXED[key] = materialize(S.chronological_index(_feats(spark, sf)), "indexed")
-    return FP.heuristic_score(_INDEXED[key])
+    return FP.heuristic_score(_INDEXED[key], FP.load_stage(spark, sf, "scalars"))
 
 
 def _test_scores(spark, sf):
@@ -130,7 +140,7 @@ def _q() -> dict[str, Query]:
         "shipment_id", "transit_delay_days_raw", "transit_delay_8h_bin")
     q["calendar_features"] = lambda s, sf: _rows(s, sf).select(
         "shipment_id", "hour", "day_of_week", "month", "quarter", "is_weekend", "is_peak_season", "is_monsoon")
-    q["drop_incomplete"] = lambda s, sf: _feats(s, sf).select("shipment_id", "origin_port", "destination_port")
+    q["drop_incomplete"] = lambda s, sf: _plain(s, sf).select("shipment_id", "origin_port", "destination_port")
     q["label_encode"] = lambda s, sf: _feats(s, sf).select(
         "origin_port", "origin_port_enc", "destination_port", "destination_port_enc", "transport_mode",
         "transport_mode_enc", "carrier_id", "carrier_id_enc").distinct()
@@ -172,8 +182,8 @@ def _q() -> dict[str, Query]:
     q["kpi_overview"] = lambda s, sf: A.kpi_overview(_scored(s, sf))
     q["kpi_disruption"] = lambda s, sf: A.kpi_disruption(_scored(s, sf))
     q["kpi_rerouting"] = lambda s, sf: A.kpi_rerouting(_scored(s, sf))
-    q["anomaly_lift"] = lambda s, sf: A.anomaly_lift(_feats(s, sf))
-    q["anomaly_driver_diff"] = lambda s, sf: A.anomaly_driver_diff(_feats(s, sf))
+    q["anomaly_lift"] = lambda s, sf: A.anomaly_lift(_plain(s, sf))
+    q["anomaly_driver_diff"] = lambda s, sf: A.anomaly_driver_diff(_plain(s, sf))
     q["port_delay_profile"] = lambda s, sf: A.port_delay_profile(_cleaned(s, sf))
     q["waiting_time_box"] = lambda s, sf: A.waiting_time_box(_cleaned(s, sf))
     q["strike_impact"] = lambda s, sf: A.strike_impact(_cleaned(s, sf))
@@ -182,11 +192,11 @@ def _q() -> dict[str, Query]:
     q["corr_matrix"] = lambda s, sf: A.corr_matrix(_cleaned(s, sf))
     q["top_correlations"] = lambda s, sf: A.top_correlations(_scored(s, sf))
     q["score_histogram"] = lambda s, sf: A.score_histogram(_scored(s, sf))
-    q["anomaly_histogram"] = lambda s, sf: A.score_histogram(_feats(s, sf), "anomaly_score", "is_anomaly", 60)
+    q["anomaly_histogram"] = lambda s, sf: A.score_histogram(_plain(s, sf), "anomaly_score", "is_anomaly", 60)
     q["status_counts"] = lambda s, sf: A.status_counts(_scored(s, sf))
     q["route_heatmap"] = lambda s, sf: A.route_heatmap(_scored(s, sf))
-    q["port_risk_context"] = lambda s, sf: A.port_risk_context(_feats(s, sf))
-    q["route_history_context"] = lambda s, sf: A.route_history_context(_feats(s, sf))
+    q["port_risk_context"] = lambda s, sf: A.port_risk_context(_plain(s, sf))
+    q["route_history_context"] = lambda s, sf: A.route_history_context(_plain(s, sf))
     q["route_metrics"] = lambda s, sf: A.route_metrics(_scored(s, sf))
     q["quality_profile"] = lambda s, sf: A.quality_profile(SRC.shipments(s, sf))
     q["describe_features"] = lambda s, sf: A.describe_features(_rows(s, sf))
@@ -223,10 +233,11 @@ def _q() -> dict[str, Query]:
         100).select("shipment_id", "ai_delay_prob", "risk_status")
     q["top_ports"] = lambda s, sf: A.port_stats(_scored(s, sf)).limit(10)
     q["top_features"] = lambda s, sf: A.top_features(_importance(s, sf))
-    q["sample_rows"] = lambda s, sf: _scored(s, sf).orderBy(F.xxhash64("shipment_id", F.lit(42)), "shipment_id").limit(
+    q["sample_rows"] = lambda s, sf: _scored(s, sf).orderBy(F.md5(F.concat(F.lit("sample:"), "shipment_id")), "shipment_id").limit(
         2000).select("shipment_id", "anomaly_score", "ai_delay_prob", "risk_status")
     q["thin_series"] = lambda s, sf: S.thin_series(S.roc_curve(_test_scores(s, sf)))
     q["preview_rows"] = lambda s, sf: SRC.shipments(s, sf).orderBy("timestamp", "shipment_id").limit(5)
+    q["column_info"] = lambda s, sf: A.column_info(SRC.shipments(s, sf))
     q["example_shipments"] = _example_shipments
 
     # set operations
@@ -250,12 +261,12 @@ def _q() -> dict[str, Query]:
     q["reroute_advice"] = lambda s, sf: X.reroute_advice(X.with_top_factor(_scored(s, sf), _importance(s, sf)))
     # the notebook's form: every model feature, importance 0 where it has none (the 12-feature keys above are the dashboard's)
     q["explain_contributions_all"] = lambda s, sf: X.explain_contributions(
-        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0)
+        _coded(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0)
     q["reroute_advice_all"] = lambda s, sf: X.reroute_advice(X.with_top_factor(
-        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
+        _coded(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
     q["risk_narrative"] = lambda s, sf: X.risk_narrative(_scored(s, sf))
-    q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_feats(s, sf)),
-                                                       A.route_history_context(_feats(s, sf)))
+    q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_plain(s, sf)),
+                                                       A.route_history_context(_plain(s, sf)))
     q["parse_analysis"] = _parse_analysis
 
     # streaming
@@ -269,7 +280,7 @@ def _q() -> dict[str, Query]:
 def _export_predictions(spark, sf):
     import uuid
     from harborline.session import ensure_checkpoint_dir
-    scored = _scored(spark, sf)
+    scored = _coded(spark, sf)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/predictions-{uuid.uuid4().hex}"
     SRC.export_predictions(scored, path, "csv")
     return SRC.read_exported(spark, path, scored.schema, "csv")
@@ -303,7 +314,7 @@ def _importance_align(spark, sf):
 
 
 def _example_shipments(spark, sf):
-    f = _feats(spark, sf)
+    f = _plain(spark, sf)
     late = f.where(F.col("is_delayed") == 1).orderBy("timestamp", "shipment_id").limit(3)
     ontime = f.where(F.col("is_delayed") == 0).orderBy("timestamp", "shipment_id").limit(1)
     cols = ["shipment_id", "origin_port", "destination_port", "carrier_id", "transport_mode",
@@ -315,7 +326,7 @@ def _parse_analysis(spark, sf):
     conv = SRC.read_table(spark, sf, "conversations").select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
         .alias("source_id"), F.col("text").alias("analysis"))
-    prompts = X.route_prompts(A.port_risk_context(_feats(spark, sf)), A.route_history_context(_feats(spark, sf)))
+    prompts = X.route_prompts(A.port_risk_context(_plain(spark, sf)), A.route_history_context(_plain(spark, sf)))
     pr = prompts.select(F.concat(F.lit("route-"), F.col("origin_port"), F.lit("-"), F.col("destination_port"))
                         .alias("source_id"), F.col("prompt").alias("analysis"))
     return X.parse_analysis(conv.unionByName(pr))
@@ -323,9 +334,8 @@ def _parse_analysis(spark, sf):
 
 def _stream_alerts(spark, sf):
     from harborline.streaming import checkpoints as T
-    feats = _feats(spark, sf)
     path = FP.load_stage(spark, sf, "engineered_files").harborline_path
-    mx = feats.agg(F.max("route_risk_score")).first()[0]  # stored scalar for the stream
+    mx = FP.load_stage(spark, sf, "scalars").first()["__mx_rrs"]
     return T.stream_score_alerts(spark, path, float(mx))
 
 
