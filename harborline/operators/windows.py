@@ -13,11 +13,16 @@ consecutive positions, so no (key, chunk) group exceeds it, however large the ke
   copied into it as halo rows, the frames run inside (key, chunk), and the halo rows are dropped.
 
 The work runs on a narrow projection; its columns are joined back to the wide rows by position.
+
+Rows that arrive later don't rebuild this. ``carry_of`` keeps, per key, the label sums (W1) and the last ``HALO`` rows
+(W2-W5); ``append_history`` starts a new part from them and gives the carry after it, reading no older row. In the new part
+the carried rows are one more chunk, before its first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,11 +107,11 @@ def _chunk_table(narrow: DataFrame, keys: Sequence[str]) -> DataFrame:
                                 F.coalesce(F.sum("__cc").over(before), F.lit(0)).alias("__cb")), "chunks")
 
 
-def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys, null equal to null; the left's keys stay."""
+def _join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null; the left's keys stay."""
     r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
-    return left.join(r, on).drop(*[f"__r_{k}" for k in keys])
+    return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _with_halo(df: DataFrame, chunks: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
@@ -127,8 +132,20 @@ def _with_halo(df: DataFrame, chunks: DataFrame, key: str, payload: Sequence[str
     return df.withColumn("__halo", F.lit(0)).unionByName(halo, allowMissingColumns=True)
 
 
-def history_columns(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``__pos`` and the W1-W5 columns of rows that carry their position."""
+#: Carried tails: name, key, columns.
+TAILS = (("origin_tail", "origin_port", [LABEL, *LAG_COLS]), ("carrier_tail", "carrier_id", [LABEL]))
+
+
+def _continued(rows: DataFrame, carry: dict[str, DataFrame] | None, tail: str, key: str, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the carried ones of their key before them, as chunk -1 at negative positions, and their chunk table."""
+    if carry is None:
+        return rows, chunks
+    plus = rows.unionByName(carry[tail].withColumn(CHUNK, F.lit(-1).cast("long")), allowMissingColumns=True)
+    return plus, _chunk_table(plus, [key])
+
+
+def history_columns(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``__pos`` and the W1-W5 columns of rows that carry their position; ``carry`` stands for the rows before them."""
     narrow = ordered.select(POS, "origin_port", "destination_port", "carrier_id", LABEL, *LAG_COLS,
                             F.floor(F.col(POS) / chunk_rows).alias(CHUNK))
     tables = {name: _chunk_table(narrow, keys) for name, keys in HIST_SPECS}
@@ -140,19 +157,25 @@ def history_columns(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFra
         w = _w(keys).rowsBetween(Window.unboundedPreceding, -1)
         num = F.col(f"__sb{i}") + F.coalesce(F.sum(LABEL).over(w), F.lit(0))
         den = F.col(f"__cb{i}") + F.coalesce(F.count(LABEL).over(w), F.lit(0))
+        if carry is not None:
+            j = _join_same(j, carry[name].withColumnsRenamed({"s": f"__s{i}", "c": f"__c{i}"}), keys, "left")
+            num, den = num + F.coalesce(f"__s{i}", F.lit(0)), den + F.coalesce(f"__c{i}", F.lit(0))
         w1[name] = F.when(den > 0, num / den)
     j = j.select(*narrow.columns, *[e.alias(n) for n, e in w1.items()])
 
     # W2 (origin), W3-W5: frames inside (origin, chunk) with halo rows
-    ho = _with_halo(j, tables["orig_delay_hist"], "origin_port", [LABEL, *LAG_COLS])
+    plus, chunks = _continued(j, carry, "origin_tail", "origin_port", tables["orig_delay_hist"])
+    ho = _with_halo(plus, chunks, "origin_port", [LABEL, *LAG_COLS])
     wo = (ho.select(POS, "carrier_id", CHUNK, LABEL, *w1, "__halo",
                     *[e.alias(n) for n, e in _origin_exprs(_w(["origin_port"])).items()])
-          .where(F.col("__halo") == 0).drop("__halo"))
+          .where((F.col("__halo") == 0) & (F.col(POS) >= 0)).drop("__halo"))
 
     # W2 (carrier): its halo rows come from the narrow rows, not from the windows above
-    rate = _with_halo(narrow.select(POS, CHUNK, "carrier_id", LABEL), tables["carrier_delay_hist"], "carrier_id", [LABEL])
+    plus, chunks = _continued(narrow.select(POS, CHUNK, "carrier_id", LABEL), carry, "carrier_tail", "carrier_id",
+                              tables["carrier_delay_hist"])
+    rate = _with_halo(plus, chunks, "carrier_id", [LABEL])
     rate = (rate.select(POS, "__halo", _rolling_rate(_w(["carrier_id"]), 30, 5).alias("carrier_delay_30d"))
-            .where(F.col("__halo") == 0).drop("__halo"))
+            .where((F.col("__halo") == 0) & (F.col(POS) >= 0)).drop("__halo"))
     return wo.join(rate, POS).select(POS, *HISTORY_COLUMNS)
 
 
@@ -160,3 +183,71 @@ def history_features(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with the W1-W5 columns, one row per input row (repeated ids and null times included)."""
     ordered = with_position(df, chronological(), POS)
     return ordered.join(history_columns(ordered, chunk_rows), POS).select(*df.columns, *HISTORY_COLUMNS)
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """The last ``HALO`` rows of every key: of each chunk first, so no window holds more than those of its chunks."""
+    order = F.desc(POS)
+    some = rows.withColumn("__rd", F.row_number().over(Window.partitionBy(key, CHUNK).orderBy(order))).where(F.col("__rd") <= HALO)
+    return some.withColumn("__rd", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__rd") <= HALO)
+
+
+def carry_of(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """What later rows need of these and of those before them: label sums and last rows per key, and the last place."""
+    out = {}
+    for name, keys in HIST_SPECS:
+        sums = ordered.groupBy(*keys).agg(F.coalesce(F.sum(LABEL), F.lit(0)).alias("s"), F.count(LABEL).alias("c"))
+        if carry is not None:
+            sums = sums.unionByName(carry[name]).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        out[name] = materialize(sums, f"carry-{name}")
+    for name, key, payload in TAILS:
+        rows = ordered.select(key, POS, *payload, F.floor(F.col(POS) / chunk_rows).alias(CHUNK))
+        if carry is not None:
+            rows = rows.unionByName(carry[name].withColumn(CHUNK, F.lit(-1).cast("long")))
+        # the next part starts at 0, so the last row before it is at -1
+        out[name] = materialize(_last(rows, key).select(key, (-F.col("__rd")).cast("long").alias(POS), *payload), f"carry-{name}")
+    place = F.struct(F.col("timestamp").isNull().alias("none"), "timestamp", F.col("shipment_id").isNull().alias("nameless"), "shipment_id")
+    last = ordered.agg(F.max(place).alias("place")).where("place is not null")
+    if carry is not None:
+        last = last.unionByName(carry["place"]).agg(F.max("place").alias("place")).where("place is not null")
+    out["place"] = materialize(last, "carry-place")
+    return out
+
+
+def _time(rows: DataFrame, value) -> Column:
+    """A time as a literal of the column's own type, whatever the session's time zone."""
+    return F.lit(None if value is None else value.isoformat(sep=" ")).cast(rows.schema["timestamp"].dataType)
+
+
+def append_history(rows: DataFrame, carry: dict[str, DataFrame] | None = None,
+                   chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``rows`` with the W1-W5 columns, and the carry after them. All of them must stand after the carried place in
+    chronological order; a part with an older row is refused, since rows already built would change."""
+    ordered = with_position(rows, chronological(), POS)
+    if carry is not None:
+        last = carry["place"].first()
+        if last is not None:
+            p = last["place"]
+            at = _time(rows, p["timestamp"])
+            earlier = F.col("timestamp").isNotNull() if p["timestamp"] is None else F.col("timestamp") < at
+            same = F.col("timestamp").eqNullSafe(at)
+            if p["shipment_id"] is None:
+                before = F.col("shipment_id").isNotNull()
+            else:
+                before = F.col("shipment_id") < F.lit(p["shipment_id"])
+            if ordered.where(earlier | (same & before)).limit(1).count():
+                raise ValueError("rows from before the carried place: build the history anew")
+    built = ordered.join(history_columns(ordered, chunk_rows, carry), POS).select(*rows.columns, *HISTORY_COLUMNS)
+    return built, carry_of(ordered, chunk_rows, carry)
+
+
+def history_by_parts(rows: DataFrame, cuts: Sequence, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``history_features`` of rows that arrive in parts: those before the first of the times ``cuts``, and so on."""
+    edges = [None, *cuts, None]
+    parts, carry = [], None
+    for a, b in zip(edges, edges[1:]):
+        some = rows if a is None else rows.where(F.col("timestamp").isNull() | (F.col("timestamp") >= _time(rows, a)))
+        some = some if b is None else some.where(F.col("timestamp") < _time(rows, b))
+        built, carry = append_history(some, carry, chunk_rows)
+        parts.append(built)
+    return reduce(DataFrame.unionByName, parts)

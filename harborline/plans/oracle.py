@@ -472,6 +472,8 @@ def oracle_sql() -> dict[str, str]:
                              [c for c in lag_cols if c in HIST_DOUBLES])
     roll_cols = [f"{c}_{s}" for c in LAG_COLS for s in ("roll7", "roll14")]
     o["signal_rolls"] = final(f"SELECT shipment_id, {', '.join(roll_cols)} FROM eng", roll_cols)
+    shown = [*h1, *h2, "delay_lag1", "delay_lag7", "route_risk_score_lag3", "route_risk_score_roll14"]
+    o["history_appends"] = final(f"SELECT shipment_id, {', '.join(shown)} FROM eng", [c for c in shown if c in HIST_DOUBLES])
     o["rolling_daily_rate"] = final(
         "SELECT day, delay_rate, CASE WHEN count(delay_rate) OVER w >= 30 THEN avg(delay_rate) OVER w END "
         "AS rolling_rate FROM (SELECT c.day, d.delay_rate FROM (SELECT CAST(range AS DATE) AS day FROM "

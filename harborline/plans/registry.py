@@ -217,6 +217,7 @@ def _q() -> dict[str, Query]:
         "shipment_id", *[c for c in _eng(s, sf).columns if c.endswith(("_lag1", "_lag3")) and not c.startswith("delay_")])
     q["signal_rolls"] = lambda s, sf: _eng(s, sf).select(
         "shipment_id", *[c for c in _eng(s, sf).columns if c.endswith(("_roll7", "_roll14"))])
+    q["history_appends"] = _history_appends
     q["rolling_daily_rate"] = lambda s, sf: A.rolling_daily_rate(_cleaned(s, sf))
     q["chronological_index"] = lambda s, sf: _positions(s, sf)
     q["chronological_split"] = lambda s, sf: S.chronological_split(_positions(s, sf))
@@ -286,6 +287,20 @@ def _export_predictions(spark, sf):
     return SRC.read_exported(spark, path, scored.schema, "csv")
 
 
+HISTORY_SHOWN = ["orig_delay_hist", "dest_delay_hist", "carrier_delay_hist", "route_delay_hist", "carrier_route_hist", "port_delay_30d",
+                 "port_delay_7d", "carrier_delay_30d", "delay_lag1", "delay_lag7", "route_risk_score_lag3", "route_risk_score_roll14"]
+
+
+def _history_appends(spark, sf):
+    """W1-W5 of rows that arrive in three parts (a third of the time each), every part built from the carry alone."""
+    from harborline.constants import LAG_COLS
+    from harborline.operators.windows import LABEL, history_by_parts
+    rows = _rows(spark, sf).select("shipment_id", "timestamp", "origin_port", "destination_port", "carrier_id", LABEL, *LAG_COLS)
+    lo, hi = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    cuts = [lo + (hi - lo) * k / 3 for k in (1, 2)] if lo is not None else []
+    return history_by_parts(rows, cuts).select("shipment_id", *HISTORY_SHOWN)
+
+
 def _feature_select(spark, sf):
     return _feature_slots(spark, sf, FP.C.feature_list(_feats(spark, sf).columns))
 
