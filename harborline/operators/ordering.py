@@ -126,6 +126,43 @@ def with_running_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str], p
     return out.select(*df.columns, *cols)
 
 
+def with_neighbours(df: DataFrame, order: Sequence, sum_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """``cum_{c}`` running sums in a total order, and ``prev_cum_{c}`` / ``next_cum_{c}`` of the rows beside each (null at the
+    ends), from one distributed sort; ``__pid`` and ``__local`` keep the order.
+
+    Neighbours stand in the same range partition, or at the edge of the one beside it: the first and last row of every
+    partition that has rows are a small table, broadcast."""
+    rows = _sorted(df, order, num_partitions)
+    tot = rows.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols],
+                                 *[F.min_by(c, _LOCAL).alias(f"__f_{c}") for c in sum_cols],
+                                 *[F.max_by(c, _LOCAL).alias(f"__l_{c}") for c in sum_cols])
+    line, before = Window.orderBy(_PID), _offset_window()
+    off = lambda c: F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0))
+    # the sum at the last row before a partition is its offset; at the first row after it, that partition's end and one row
+    edges = materialize(tot.select(
+        _PID, *[off(c).alias(f"__o_{c}") for c in sum_cols], F.lag(_PID).over(line).isNotNull().alias("__has_prev"),
+        *[(off(c) + F.col(f"__t_{c}") + F.lead(f"__f_{c}").over(line)).alias(f"__n_{c}") for c in sum_cols]), "edges")
+    w = Window.partitionBy(_PID).orderBy(_LOCAL)
+    inside = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(edges), _PID)
+    cums = {c: F.col(f"__o_{c}") + F.sum(c).over(inside) for c in sum_cols}
+    out = out.select(*df.columns, _PID, _LOCAL, "__has_prev", *[f"__o_{c}" for c in sum_cols], *[f"__n_{c}" for c in sum_cols],
+                     *[e.alias(f"cum_{c}") for c, e in cums.items()])
+    prev = [F.coalesce(F.lag(f"cum_{c}").over(w), F.when(F.col("__has_prev"), F.col(f"__o_{c}"))).alias(f"prev_cum_{c}") for c in sum_cols]
+    nxt = [F.coalesce(F.lead(f"cum_{c}").over(w), F.col(f"__n_{c}")).alias(f"next_cum_{c}") for c in sum_cols]
+    return out.select(*df.columns, _PID, _LOCAL, *[f"cum_{c}" for c in sum_cols], *prev, *nxt)
+
+
+def numbered(df: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """Dense positions of what is left of sorted rows (``__pid``, ``__local``), without sorting across partitions again."""
+    rows = materialize(df, "numbered")
+    counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(_PID, F.coalesce(F.sum("__n").over(_offset_window()), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy(_PID).orderBy(_LOCAL))
+    return (rows.join(F.broadcast(offsets), _PID).withColumn(pos_col, (F.col("__off") + inside - 1).cast("long"))
+            .drop(_PID, _LOCAL, "__off"))
+
+
 def exact_quantile(df: DataFrame, value_col: str, q: float, accuracy: int = 100_000) -> float | None:
     """One global linear-interpolation quantile, exact, without sorting every row.
 

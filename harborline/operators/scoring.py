@@ -151,28 +151,21 @@ def roc_curve(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """(idx, threshold, fpr, tpr) with the (0, 0) start point; collinear
     intermediate points dropped like the common library default.
 
-    Distributed: counts per distinct score, then running sums in descending score
-    order (``with_running_sums``), neighbours by equi-joins on position, and the
-    final index by ``with_position``; no single-partition window."""
-    from harborline.operators.ordering import with_running_sums
+    Distributed, with one sort: counts per distinct score, running sums in descending score order with the sums of
+    both neighbours (``with_neighbours``), and the index of what is kept by counts per range partition."""
+    from harborline.operators.ordering import numbered, with_neighbours
     per = scores.groupBy(F.col("prob").alias("threshold")).agg(
         F.sum("label").cast("long").alias("p_"), F.sum(1 - F.col("label")).cast("long").alias("n_"))
-    cum = with_running_sums(per, [F.col("threshold").desc()], ["p_", "n_"]).select(
-        "threshold", "pos", F.col("cum_p_").alias("tps"), F.col("cum_n_").alias("fps"))
+    cum = with_neighbours(per, [F.col("threshold").desc()], ["p_", "n_"])
     if drop_intermediate:
-        prev = cum.select((F.col("pos") + 1).alias("pos"), F.col("tps").alias("ptps"), F.col("fps").alias("pfps"))
-        nxt = cum.select((F.col("pos") - 1).alias("pos"), F.col("tps").alias("ntps"), F.col("fps").alias("nfps"))
-        j = cum.join(prev, "pos", "left").join(nxt, "pos", "left")
-        keep = (F.col("ptps").isNull() | F.col("ntps").isNull()
-                | ((F.col("pfps") - 2 * F.col("fps") + F.col("nfps")) != 0)
-                | ((F.col("ptps") - 2 * F.col("tps") + F.col("ntps")) != 0))
-        cum = j.where(keep).select("threshold", "tps", "fps")
-    tot = per.agg(F.sum("p_").alias("P"), F.sum("n_").alias("N"))
-    kept = with_position(cum.select("threshold", "tps", "fps"), [F.col("threshold").desc()], "__k")
+        bend = lambda c: (F.col(f"prev_{c}") - 2 * F.col(c) + F.col(f"next_{c}")) != 0
+        cum = cum.where(F.col("prev_cum_p_").isNull() | F.col("next_cum_p_").isNull() | bend("cum_n_") | bend("cum_p_"))
+    kept = numbered(cum.select("threshold", F.col("cum_p_").alias("tps"), F.col("cum_n_").alias("fps"), "__pid", "__local"), "__k")
+    tot = kept.agg(F.max("tps").alias("P"), F.max("fps").alias("N"))  # the last point is always kept
     start = scores.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                                 F.lit(0).cast("long").alias("tps"),
                                                 F.lit(0).cast("long").alias("fps"), F.lit(-1).cast("long").alias("__k"))
-    pts = start.unionByName(kept).crossJoin(F.broadcast(tot))
+    pts = start.unionByName(kept.select("threshold", "tps", "fps", "__k")).crossJoin(F.broadcast(tot))
     return pts.select((F.col("__k") + 1).cast("int").alias("idx"), "threshold",
                       (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"))
 
@@ -186,7 +179,9 @@ def roc_auc(curve: DataFrame) -> DataFrame:
 
 
 def thin_series(curve: DataFrame, target: int = 100) -> DataFrame:
-    """Every k-th point, k = max(1, n // target)."""
+    """Every k-th point, k = max(1, n // target). The curve is stored first: it is counted and then read."""
+    from harborline.session import materialize
+    curve = materialize(curve, "curve")
     n = curve.agg(F.count(F.lit(1)).alias("__n"))
     k = F.greatest(F.lit(1), F.floor(F.col("__n") / target))
     return curve.crossJoin(F.broadcast(n)).where(F.col("idx") % k == 0).drop("__n")

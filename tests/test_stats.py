@@ -103,3 +103,19 @@ def test_column_info_counts_values(spark):
     df = spark.createDataFrame([("a", None, 1), (None, None, 2)], "s string, d double, i int")
     assert [tuple(r) for r in A.column_info(df).collect()] == [(0, "s", 1, "text"), (1, "d", 0, "double"), (2, "i", 2, "integer")]
     assert [r.non_null for r in A.column_info(df.where(F.lit(False))).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_neighbours_across_partitions(spark, partitions):
+    from harborline.operators.ordering import numbered, with_neighbours
+    df = spark.range(25).select((F.col("id") * 7 % 25).alias("k"), (F.col("id") * 7 % 25 * 2 + 1).alias("v"))
+    rows = with_neighbours(df, [F.col("k").desc()], ["v"], partitions)
+    want, total, cums = {}, 0, []
+    for k in range(24, -1, -1):
+        total += 2 * k + 1
+        cums.append((k, total))
+    for i, (k, c) in enumerate(cums):
+        want[k] = (c, cums[i - 1][1] if i else None, cums[i + 1][1] if i + 1 < len(cums) else None)
+    assert {r.k: (r.cum_v, r.prev_cum_v, r.next_cum_v) for r in rows.collect()} == want
+    left = numbered(rows.where("k % 3 = 0").select("k", "__pid", "__local"))
+    assert sorted((r.pos, r.k) for r in left.collect()) == list(enumerate(range(24, -1, -3)))
