@@ -212,6 +212,9 @@ def oracle_sql() -> dict[str, str]:
 
     # per-row
     o["clean_timestamp"] = final("SELECT shipment_id, timestamp FROM cleaned")
+    o["clean_timestamp_text"] = final(
+        "SELECT shipment_id, CASE length(shipment_id) % 4 WHEN 0 THEN date_trunc('second', timestamp) "
+        "WHEN 1 THEN date_trunc('second', timestamp) WHEN 2 THEN CAST(date_trunc('day', timestamp) AS TIMESTAMP) END AS timestamp FROM cleaned")
     o["clean_is_delayed"] = final("SELECT shipment_id, is_delayed FROM cleaned")
     norms = ["strike_alert_level_norm", "geopolitical_risk_index_norm", "regional_fuel_price_index_norm"]
     o["minmax_norm"] = final(f"SELECT shipment_id, {', '.join(norms)} FROM cal", norms)
@@ -490,6 +493,10 @@ def oracle_sql() -> dict[str, str]:
     alloc_doubles = ["risk", "cap", "cost", "wcost", "alloc", "opt_cost"]
     o["route_allocation"] = final(_alloc_sql(
         "SELECT origin_port, destination_port, avg(ai_delay_prob) AS prob FROM scored GROUP BY ALL"), alloc_doubles)
+    o["route_allocation_caps"] = final(_alloc_sql(
+        "SELECT origin_port, destination_port, avg(ai_delay_prob) AS prob FROM scored GROUP BY ALL",
+        "[[9e-1, 8e-1, 7e-1], [6e-1, 6e-1, 6e-1], [1e0, 25e-2, 25e-2], [3e-1, 3e-1, 3e-1]]"
+        "[(length(origin_port) + length(destination_port)) % 4 + 1][o.k + 1]"), alloc_doubles)
     o["lp_scenarios"] = final(_alloc_sql(
         "SELECT origin_port, destination_port, avg(ai_delay_prob) AS prob FROM scored GROUP BY ALL "
         "ORDER BY prob DESC, origin_port, destination_port LIMIT 3"), alloc_doubles)
@@ -569,6 +576,13 @@ def oracle_sql() -> dict[str, str]:
         "VARCHAR) AS source_id, text AS analysis FROM conversations UNION ALL SELECT 'route-' || origin_port || '-' || "
         "destination_port, prompt FROM prompts)")
 
+    o["parse_replies"] = final(
+        _parse_sql("src"),
+        extra_ctes="src AS (SELECT 'reply-' || conv_id || '-' || turn AS source_id, coalesce(text, '') || chr(10) || 'RISK: ' || "
+        "coalesce(text, '') || chr(10) || '  RECOMMENDATION: act on turn ' || turn || chr(10) || coalesce(role, '') || chr(10) || chr(10) "
+        "|| 'CONFIDENCE:' || (conv_id % 100) || '%' || CASE WHEN turn % 3 = 0 THEN chr(10) || 'RISK: turn ' || turn ELSE '' END "
+        "AS analysis FROM conversations)")
+
     # streaming (batch twins)
     o["stream_checkpoint_8h"] = (
         "WITH ev AS (SELECT * FROM events), b AS (SELECT time_bucket(INTERVAL '8 hours', ts) AS window_start, "
@@ -598,7 +612,7 @@ def _hist_sql(src: str, value: str, klass: str, bins: int) -> str:
         f"max({value}) AS hi, count({value}) AS n FROM {src} GROUP BY ALL) r ON h.{klass} = r.{klass} GROUP BY ALL)")
 
 
-def _alloc_sql(routes: str) -> str:
+def _alloc_sql(routes: str, cap: str = "o.cap") -> str:
     opts = ", ".join(f"({k}, {LP_RISK_MULTIPLIERS[k]!r}e0, {LP_CAPS[k]!r}e0, {LP_COSTS[k]!r}e0)".replace(".0e0", "e0")
                      for k in range(len(LP_CAPS)))
     return f"""
@@ -616,8 +630,8 @@ FROM (
            sum(cap1) OVER (PARTITION BY origin_port, destination_port) >= 1 - 1e-9 AS feasible,
            min(k) OVER (PARTITION BY origin_port, destination_port) AS first_k
     FROM (
-      SELECT r.origin_port, r.destination_port, CAST(o.k AS INTEGER) AS k, r.prob * o.m AS risk, o.cap, o.cost,
-             o.cost * (1 + r.prob * o.m) AS wcost, least(o.cap, 1e0) AS cap1
+      SELECT r.origin_port, r.destination_port, CAST(o.k AS INTEGER) AS k, r.prob * o.m AS risk, {cap} AS cap, o.cost,
+             o.cost * (1 + r.prob * o.m) AS wcost, least({cap}, 1e0) AS cap1
       FROM ({routes}) r CROSS JOIN (VALUES {opts}) AS o(k, m, cap, cost))))"""
 
 

@@ -119,6 +119,7 @@ def _q() -> dict[str, Query]:
 
     # per-row operators
     q["clean_timestamp"] = lambda s, sf: _cleaned(s, sf).select("shipment_id", "timestamp")
+    q["clean_timestamp_text"] = _clean_timestamp_text
     q["clean_is_delayed"] = lambda s, sf: _cleaned(s, sf).select("shipment_id", "is_delayed")
     q["minmax_norm"] = lambda s, sf: _rows(s, sf).select(
         "shipment_id", "strike_alert_level_norm", "geopolitical_risk_index_norm", "regional_fuel_price_index_norm")
@@ -223,6 +224,7 @@ def _q() -> dict[str, Query]:
     q["chronological_split"] = lambda s, sf: S.chronological_split(_positions(s, sf))
     q["route_allocation"] = lambda s, sf: R.route_allocation(R.scenario_options(
         A.route_stats(_scored(s, sf)).select("origin_port", "destination_port", "prob")))
+    q["route_allocation_caps"] = _route_allocation_caps
     q["lp_scenarios"] = lambda s, sf: R.lp_scenarios(_scored(s, sf))
 
     # sorts, limits
@@ -269,6 +271,7 @@ def _q() -> dict[str, Query]:
     q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_plain(s, sf)),
                                                        A.route_history_context(_plain(s, sf)))
     q["parse_analysis"] = _parse_analysis
+    q["parse_replies"] = _parse_replies
 
     # streaming
     from harborline.streaming import checkpoints as T
@@ -347,6 +350,40 @@ def _parse_analysis(spark, sf):
     return X.parse_analysis(conv.unionByName(pr))
 
 
+def _clean_timestamp_text(spark, sf):
+    """P1 on text: ISO and blank-separated times, dates alone, and values that are no time, by the id's length."""
+    t, kind = F.col("timestamp"), F.length("shipment_id") % 4
+    text = (F.when(kind == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 1, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+            .when(kind == 2, F.date_format(t, "yyyy-MM-dd")).otherwise(F.concat(F.lit("at "), F.col("shipment_id"))))
+    return C.clean_timestamp(_rows(spark, sf).select("shipment_id", text.alias("timestamp")))
+
+
+def _parse_replies(spark, sf):
+    """X6 on replies that have headers: every conversation turn as the preamble and the text of the three sections, with
+    further lines, indented headers, and a section that starts again every third turn."""
+    conv = SRC.read_table(spark, sf, "conversations")
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    reply = F.concat(text, F.lit("\nRISK: "), text, F.lit("\n  RECOMMENDATION: act on turn "), turn, F.lit("\n"), F.coalesce("role", F.lit("")),
+                     F.lit("\n\nCONFIDENCE:"), (F.col("conv_id") % 100).cast("string"), F.lit("%"),
+                     F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\nRISK: turn "), turn)).otherwise(F.lit("")))
+    source = F.concat(F.lit("reply-"), F.col("conv_id").cast("string"), F.lit("-"), turn)
+    return X.parse_analysis(conv.select(source.alias("source_id"), reply.alias("analysis")))
+
+
+#: Shares that the options of a route may take: room to choose, by rising room, and too little of it.
+CAP_SETS = ([0.9, 0.8, 0.7], [0.6, 0.6, 0.6], [1.0, 0.25, 0.25], [0.3, 0.3, 0.3])
+
+
+def _route_allocation_caps(spark, sf):
+    """W8 where the caps leave a choice (and where they leave none), by the length of the route's names."""
+    routes = A.route_stats(_scored(spark, sf)).select("origin_port", "destination_port", "prob")
+    kind = (F.length("origin_port") + F.length("destination_port")) % len(CAP_SETS)
+    caps = F.array(*[F.array(*map(F.lit, c)) for c in CAP_SETS])
+    options = R.scenario_options(routes)
+    cap = F.element_at(F.element_at(caps, (kind + 1).cast("int")), (F.col("k") + 1).cast("int"))
+    return R.route_allocation(options.withColumn("cap", cap))
+
+
 def _stream_alerts(spark, sf):
     from harborline.streaming import checkpoints as T
     path = FP.load_stage(spark, sf, "engineered_files").harborline_path
