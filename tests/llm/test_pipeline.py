@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as E
 import corpus_pipeline
 from harborline.llm import fertility
+from test_merkle_simhash_variants import components_of, print_of
 from test_operators import LOWER, WORD, jaccard_wanted
 
 
@@ -110,7 +111,7 @@ def test_queries_without_sql(spark, corpus):
     at, rows = corpus
     q, sql = E.queries(), E.oracle_sql()
     names = [n for n in q if n.startswith("op") and n not in sql]
-    assert len(names) == 7
+    assert len(names) == 8
     found = {n: q[n](spark, at).collect() for n in names}
     ids = Counter(r[0] for r in rows)
     for n in names:
@@ -122,3 +123,8 @@ def test_queries_without_sql(spark, corpus):
     assert sum(r["length"] for r in found["op6_first_fit_packing"]) == tokens
     groups = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found["op10_prefix_tree_jaccard"])
     assert groups == jaccard_wanted([r[:2] for r in rows])
+    prints = [print_of(r[1]) for r in rows]
+    comp, low = components_of(prints), {}
+    for r, c in zip(rows, comp):
+        low[c] = min(low.get(c, r[0]), r[0])
+    assert Counter(map(tuple, found["op12_simhash_tiles"])) == Counter((r[0], f"{p:016x}", low[c]) for r, p, c in zip(rows, prints, comp))
