@@ -27,11 +27,12 @@ from harborline.sources import shipments as SRC
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _scored(spark, sf):
+def _lean(spark, sf):
+    """Scored rows without the encoded columns, which most queries don't read."""
     return FP.load_scored(spark, sf)
 
 
-def _coded(spark, sf):
+def _scored(spark, sf):
     """Scored rows with the encoded columns."""
     return FP.load_scored(spark, sf, codes=True)
 
@@ -147,65 +148,65 @@ def _q() -> dict[str, Query]:
         "transport_mode_enc", "carrier_id", "carrier_id_enc").distinct()
     q["feature_select"] = _feature_select
     q["filter_shipments"] = lambda s, sf: S.filter_shipments(
-        _scored(s, sf), search="-7-", ports=["Shanghai", "Dubai", "Rotterdam", "Mumbai"], modes=["Sea", "Air"],
+        _lean(s, sf), search="-7-", ports=["Shanghai", "Dubai", "Rotterdam", "Mumbai"], modes=["Sea", "Air"],
         date_from="1995-06-01", date_to="1998-12-31", min_prob=0.3).select(
         "shipment_id", "origin_port", "transport_mode", "ai_delay_prob", "risk_status")
-    q["risk_band"] = lambda s, sf: _scored(s, sf).select("shipment_id", "ai_delay_prob", "risk_status")
-    q["reroute_flag"] = lambda s, sf: _scored(s, sf).select("shipment_id", "ai_risk_score", "ai_rerouted")
-    q["heuristic_score"] = lambda s, sf: _scored(s, sf).select(
+    q["risk_band"] = lambda s, sf: _lean(s, sf).select("shipment_id", "ai_delay_prob", "risk_status")
+    q["reroute_flag"] = lambda s, sf: _lean(s, sf).select("shipment_id", "ai_risk_score", "ai_rerouted")
+    q["heuristic_score"] = lambda s, sf: _lean(s, sf).select(
         "shipment_id", "ai_delay_prob", "ai_risk_score", "ai_rerouted", "risk_status")
-    q["severity_band"] = lambda s, sf: _scored(s, sf).select(
+    q["severity_band"] = lambda s, sf: _lean(s, sf).select(
         "shipment_id", severity_band(F.col("ai_delay_prob")).alias("severity"))
-    q["polyline_points"] = lambda s, sf: R.polyline_points(A.top_routes(_scored(s, sf), 12, "prob"))
-    q["route_arcs"] = lambda s, sf: R.polyline_points(_scored(s, sf).select(*R.ROUTE).distinct(), 40, 5.0, signed=False)
-    q["three_point_arcs"] = lambda s, sf: R.three_point_arc(A.top_routes(_scored(s, sf), 20, "cnt"))
-    q["detour_points"] = lambda s, sf: R.detour_points(A.rerouted_routes(_scored(s, sf)))
+    q["polyline_points"] = lambda s, sf: R.polyline_points(A.top_routes(_lean(s, sf), 12, "prob"))
+    q["route_arcs"] = lambda s, sf: R.polyline_points(_lean(s, sf).select(*R.ROUTE).distinct(), 40, 5.0, signed=False)
+    q["three_point_arcs"] = lambda s, sf: R.three_point_arc(A.top_routes(_lean(s, sf), 20, "cnt"))
+    q["detour_points"] = lambda s, sf: R.detour_points(A.rerouted_routes(_lean(s, sf)))
     q["shipment_lookup"] = _shipment_lookup
 
     # joins
     q["join_port_coords"] = lambda s, sf: _rows(s, sf).select(
         "shipment_id", "origin_lat", "origin_lon", "dest_lat", "dest_lon")
-    q["port_map_points"] = lambda s, sf: A.port_map_points(A.port_stats(_scored(s, sf)))
+    q["port_map_points"] = lambda s, sf: A.port_map_points(A.port_stats(_lean(s, sf)))
     q["top_ports_semi"] = lambda s, sf: A.top_ports_semi(_cleaned(s, sf)).select(
         "shipment_id", "origin_port", "median_waiting_time_hours")
     q["feature_group_lookup"] = lambda s, sf: A.feature_group_lookup(_importance(s, sf))
     q["importance_align"] = _importance_align
-    q["broadcast_scalars"] = lambda s, sf: _scored(s, sf).select(
+    q["broadcast_scalars"] = lambda s, sf: _lean(s, sf).select(
         "shipment_id", "strike_alert_level_norm", "geopolitical_risk_index_norm",
         "regional_fuel_price_index_norm", "weather_severity_score", "ai_delay_prob")
 
     # aggregations
-    q["port_stats"] = lambda s, sf: A.port_stats(_scored(s, sf))
-    q["monthly_trend"] = lambda s, sf: A.monthly_trend(_scored(s, sf))
-    q["route_stats"] = lambda s, sf: A.route_stats(_scored(s, sf))
-    q["rerouted_routes"] = lambda s, sf: A.rerouted_routes(_scored(s, sf))
-    q["mode_breakdown"] = lambda s, sf: A.mode_breakdown(_scored(s, sf))
-    q["kpi_overview"] = lambda s, sf: A.kpi_overview(_scored(s, sf))
-    q["kpi_disruption"] = lambda s, sf: A.kpi_disruption(_scored(s, sf))
-    q["kpi_rerouting"] = lambda s, sf: A.kpi_rerouting(_scored(s, sf))
+    q["port_stats"] = lambda s, sf: A.port_stats(_lean(s, sf))
+    q["monthly_trend"] = lambda s, sf: A.monthly_trend(_lean(s, sf))
+    q["route_stats"] = lambda s, sf: A.route_stats(_lean(s, sf))
+    q["rerouted_routes"] = lambda s, sf: A.rerouted_routes(_lean(s, sf))
+    q["mode_breakdown"] = lambda s, sf: A.mode_breakdown(_lean(s, sf))
+    q["kpi_overview"] = lambda s, sf: A.kpi_overview(_lean(s, sf))
+    q["kpi_disruption"] = lambda s, sf: A.kpi_disruption(_lean(s, sf))
+    q["kpi_rerouting"] = lambda s, sf: A.kpi_rerouting(_lean(s, sf))
     q["anomaly_lift"] = lambda s, sf: A.anomaly_lift(_plain(s, sf))
     q["anomaly_driver_diff"] = lambda s, sf: A.anomaly_driver_diff(_plain(s, sf))
     q["port_delay_profile"] = lambda s, sf: A.port_delay_profile(_cleaned(s, sf))
     q["waiting_time_box"] = lambda s, sf: A.waiting_time_box(_cleaned(s, sf))
     q["strike_impact"] = lambda s, sf: A.strike_impact(_cleaned(s, sf))
     q["daily_series"] = lambda s, sf: A.daily_series(_cleaned(s, sf))
-    q["weekly_series"] = lambda s, sf: A.weekly_series(_scored(s, sf))
+    q["weekly_series"] = lambda s, sf: A.weekly_series(_lean(s, sf))
     q["corr_matrix"] = lambda s, sf: A.corr_matrix(_cleaned(s, sf))
-    q["top_correlations"] = lambda s, sf: A.top_correlations(_scored(s, sf))
-    q["score_histogram"] = lambda s, sf: A.score_histogram(_scored(s, sf))
+    q["top_correlations"] = lambda s, sf: A.top_correlations(_lean(s, sf))
+    q["score_histogram"] = lambda s, sf: A.score_histogram(_lean(s, sf))
     q["anomaly_histogram"] = lambda s, sf: A.score_histogram(_plain(s, sf), "anomaly_score", "is_anomaly", 60)
-    q["status_counts"] = lambda s, sf: A.status_counts(_scored(s, sf))
-    q["route_heatmap"] = lambda s, sf: A.route_heatmap(_scored(s, sf))
+    q["status_counts"] = lambda s, sf: A.status_counts(_lean(s, sf))
+    q["route_heatmap"] = lambda s, sf: A.route_heatmap(_lean(s, sf))
     q["port_risk_context"] = lambda s, sf: A.port_risk_context(_plain(s, sf))
     q["route_history_context"] = lambda s, sf: A.route_history_context(_plain(s, sf))
-    q["route_metrics"] = lambda s, sf: A.route_metrics(_scored(s, sf))
+    q["route_metrics"] = lambda s, sf: A.route_metrics(_lean(s, sf))
     q["quality_profile"] = lambda s, sf: A.quality_profile(SRC.shipments(s, sf))
     q["describe_features"] = lambda s, sf: A.describe_features(_rows(s, sf))
     q["importance_by_group"] = lambda s, sf: A.importance_by_group(_importance(s, sf))
     q["importance_by_category"] = lambda s, sf: A.importance_by_category(_importance(s, sf))
     q["business_impact"] = lambda s, sf: S.business_impact(_test_scores(s, sf))
-    q["distinct_values"] = lambda s, sf: A.distinct_values(_scored(s, sf))
-    q["date_bounds"] = lambda s, sf: A.date_bounds(_scored(s, sf))
+    q["distinct_values"] = lambda s, sf: A.distinct_values(_lean(s, sf))
+    q["date_bounds"] = lambda s, sf: A.date_bounds(_lean(s, sf))
 
     # windows
     q["hist_delay_rates"] = lambda s, sf: _eng(s, sf).select(
@@ -223,20 +224,20 @@ def _q() -> dict[str, Query]:
     q["chronological_index"] = lambda s, sf: _positions(s, sf)
     q["chronological_split"] = lambda s, sf: S.chronological_split(_positions(s, sf))
     q["route_allocation"] = lambda s, sf: R.route_allocation(R.scenario_options(
-        A.route_stats(_scored(s, sf)).select("origin_port", "destination_port", "prob")))
+        A.route_stats(_lean(s, sf)).select("origin_port", "destination_port", "prob")))
     q["route_allocation_caps"] = _route_allocation_caps
-    q["lp_scenarios"] = lambda s, sf: R.lp_scenarios(_scored(s, sf))
+    q["lp_scenarios"] = lambda s, sf: R.lp_scenarios(_lean(s, sf))
 
     # sorts, limits
     q["sort_chronological"] = lambda s, sf: _positions(s, sf).orderBy("pos")
-    q["top_shipments"] = lambda s, sf: S.top_shipments(_scored(s, sf))
-    q["top_shipments_rerouted"] = lambda s, sf: S.top_shipments(_scored(s, sf), 50, "delay_minutes", rerouted_only=True)
-    q["top_shipments_by_prob"] = lambda s, sf: S.top_shipments(_scored(s, sf), 50, "ai_delay_prob")
-    q["top_risk_shipments"] = lambda s, sf: _scored(s, sf).orderBy(F.desc("ai_delay_prob"), "shipment_id").limit(
+    q["top_shipments"] = lambda s, sf: S.top_shipments(_lean(s, sf))
+    q["top_shipments_rerouted"] = lambda s, sf: S.top_shipments(_lean(s, sf), 50, "delay_minutes", rerouted_only=True)
+    q["top_shipments_by_prob"] = lambda s, sf: S.top_shipments(_lean(s, sf), 50, "ai_delay_prob")
+    q["top_risk_shipments"] = lambda s, sf: _lean(s, sf).orderBy(F.desc("ai_delay_prob"), "shipment_id").limit(
         100).select("shipment_id", "ai_delay_prob", "risk_status")
-    q["top_ports"] = lambda s, sf: A.port_stats(_scored(s, sf)).limit(10)
+    q["top_ports"] = lambda s, sf: A.port_stats(_lean(s, sf)).limit(10)
     q["top_features"] = lambda s, sf: A.top_features(_importance(s, sf))
-    q["sample_rows"] = lambda s, sf: _scored(s, sf).orderBy(F.md5(F.concat(F.lit("sample:"), "shipment_id")), "shipment_id").limit(
+    q["sample_rows"] = lambda s, sf: _lean(s, sf).orderBy(F.md5(F.concat(F.lit("sample:"), "shipment_id")), "shipment_id").limit(
         2000).select("shipment_id", "anomaly_score", "ai_delay_prob", "risk_status")
     q["thin_series"] = lambda s, sf: S.thin_series(S.roc_curve(_test_scores(s, sf)))
     q["preview_rows"] = lambda s, sf: SRC.shipments(s, sf).orderBy("timestamp", "shipment_id").limit(5)
@@ -244,7 +245,7 @@ def _q() -> dict[str, Query]:
     q["example_shipments"] = _example_shipments
 
     # set operations
-    q["all_ports"] = lambda s, sf: A.all_ports(_scored(s, sf))
+    q["all_ports"] = lambda s, sf: A.all_ports(_lean(s, sf))
 
     # statistics and models
     q["standardize"] = lambda s, sf: C.standardize(_rows(s, sf).select("shipment_id", *FP.ANOMALY_FEATURES)).drop(
@@ -258,16 +259,16 @@ def _q() -> dict[str, Query]:
     q.update(MQ.model_queries(_indexed, _feats))
 
     # explanations and text
-    q["explain_contributions"] = lambda s, sf: X.explain_contributions(_scored(s, sf), _importance(s, sf))
-    q["feature_bar_pct"] = lambda s, sf: X.explain_contributions(_scored(s, sf), _importance(s, sf), top_n=8,
+    q["explain_contributions"] = lambda s, sf: X.explain_contributions(_lean(s, sf), _importance(s, sf))
+    q["feature_bar_pct"] = lambda s, sf: X.explain_contributions(_lean(s, sf), _importance(s, sf), top_n=8,
                                                                  with_pct=True)
-    q["reroute_advice"] = lambda s, sf: X.reroute_advice(X.with_top_factor(_scored(s, sf), _importance(s, sf)))
+    q["reroute_advice"] = lambda s, sf: X.reroute_advice(X.with_top_factor(_lean(s, sf), _importance(s, sf)))
     # the notebook's form: every model feature, importance 0 where it has none (the 12-feature keys above are the dashboard's)
     q["explain_contributions_all"] = lambda s, sf: X.explain_contributions(
-        _coded(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0)
+        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0)
     q["reroute_advice_all"] = lambda s, sf: X.reroute_advice(X.with_top_factor(
-        _coded(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
-    q["risk_narrative"] = lambda s, sf: X.risk_narrative(_scored(s, sf))
+        _scored(s, sf), _importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
+    q["risk_narrative"] = lambda s, sf: X.risk_narrative(_lean(s, sf))
     q["route_prompts"] = lambda s, sf: X.route_prompts(A.port_risk_context(_plain(s, sf)),
                                                        A.route_history_context(_plain(s, sf)))
     q["parse_analysis"] = _parse_analysis
@@ -284,7 +285,7 @@ def _q() -> dict[str, Query]:
 def _export_predictions(spark, sf):
     import uuid
     from harborline.session import ensure_checkpoint_dir
-    scored = _coded(spark, sf)
+    scored = _scored(spark, sf)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/predictions-{uuid.uuid4().hex}"
     SRC.export_predictions(scored, path, "csv")
     return SRC.read_exported(spark, path, scored.schema, "csv")
@@ -318,7 +319,7 @@ def _feature_slots(spark, sf, cols):
 
 
 def _shipment_lookup(spark, sf):
-    sc = _scored(spark, sf)
+    sc = _lean(spark, sf)
     first = sc.orderBy("timestamp", "shipment_id").limit(1).select("shipment_id")
     return S.shipment_lookup(sc, first).select("shipment_id", "origin_port", "destination_port", "ai_delay_prob",
                                                "risk_status")
@@ -376,7 +377,7 @@ CAP_SETS = ([0.9, 0.8, 0.7], [0.6, 0.6, 0.6], [1.0, 0.25, 0.25], [0.3, 0.3, 0.3]
 
 def _route_allocation_caps(spark, sf):
     """W8 where the caps leave a choice (and where they leave none), by the length of the route's names."""
-    routes = A.route_stats(_scored(spark, sf)).select("origin_port", "destination_port", "prob")
+    routes = A.route_stats(_lean(spark, sf)).select("origin_port", "destination_port", "prob")
     kind = (F.length("origin_port") + F.length("destination_port")) % len(CAP_SETS)
     caps = F.array(*[F.array(*map(F.lit, c)) for c in CAP_SETS])
     options = R.scenario_options(routes)
