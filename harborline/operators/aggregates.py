@@ -328,23 +328,47 @@ def route_metrics(scored: DataFrame) -> DataFrame:
     return r.join(o, "origin_port")
 
 
+def repeated_rows(raw: DataFrame, digest: Sequence[Column], counted: DataFrame) -> DataFrame:
+    """One row, ``duplicate_rows``: rows beyond the first of each set of equal rows (nulls are equal).
+
+    ``counted`` holds (d1, d2, n) of the digests met more than once. Where there are none, no row repeats and ``raw``
+    isn't read; else only rows with such a digest are compared in full, so a chance collision counts no duplicate."""
+    spark = raw.sparkSession
+    met = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not met[0]:
+        return spark.createDataFrame([(0,)], "duplicate_rows long")
+    d1, d2 = digest
+    again = raw.withColumns({"__d1": d1, "__d2": d2}).join(
+        counted.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2")), ["__d1", "__d2"], "left_semi")
+    return again.distinct().agg((F.lit(met[1]) - F.count(F.lit(1))).alias("duplicate_rows"))
+
+
+def row_digest(cols: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits of a row in two numbers; where a value is missing is part of it."""
+    gaps = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    return F.xxhash64(gaps, *cols), F.xxhash64(F.lit(1), *cols, gaps)
+
+
 def quality_profile(raw: DataFrame) -> DataFrame:
     """Rows, columns, nulls, duplicate rows, distinct counts and delay rate.
 
-    Duplicates = rows - distinct rows; the distinct count is a hash aggregate
-    over all columns (shuffled by the row hash, not collected)."""
+    One scan writes a narrow row (128-bit digest, nulls in the row, the three counted columns, the label); figures and
+    digests met again come from that table. See ``repeated_rows`` for the duplicates."""
     from harborline.functions.columns import label_to_int
+    from harborline.session import materialize
     cols = raw.columns
-    nulls = sum(F.sum(F.col(c).isNull().cast("long")) for c in cols)
-    distinct_rows = raw.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    lab = label_to_int(F.col("is_delayed"))
-    agg = raw.agg(F.count(F.lit(1)).alias("rows"), nulls.alias("missing_values"),
-                  F.count_distinct("transport_mode").alias("transport_modes"),
-                  F.count_distinct("origin_port").alias("origin_ports"),
-                  F.count_distinct("carrier_id").alias("carriers"), F.avg(lab).alias("delay_rate"))
-    return agg.crossJoin(F.broadcast(distinct_rows)).select(
-        "rows", F.lit(len(cols)).alias("columns"), "missing_values",
-        (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
+    digest = row_digest(cols)
+    counted = ["transport_mode", "origin_port", "carrier_id"]
+    narrow = materialize(raw.select(digest[0].alias("d1"), digest[1].alias("d2"), *counted,
+                                    sum(F.col(c).isNull().cast("int") for c in cols).alias("nulls"),
+                                    label_to_int(F.col("is_delayed")).alias("label")), "row-digests")
+    again = materialize(narrow.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digests-again")
+    agg = narrow.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("missing_values"),
+                     F.count_distinct("transport_mode").alias("transport_modes"),
+                     F.count_distinct("origin_port").alias("origin_ports"),
+                     F.count_distinct("carrier_id").alias("carriers"), F.avg("label").alias("delay_rate"))
+    return agg.crossJoin(F.broadcast(repeated_rows(raw, digest, again))).select(
+        "rows", F.lit(len(cols)).alias("columns"), "missing_values", "duplicate_rows",
         "transport_modes", "origin_ports", "carriers", "delay_rate")
 
 

@@ -423,12 +423,19 @@ def oracle_sql() -> dict[str, str]:
         "origin_delay_rate, avg(ai_risk_score) AS origin_avg_risk_score FROM scored GROUP BY ALL) o "
         "ON r.origin_port = o.origin_port", ["route_delay_rate", "origin_delay_rate", "origin_avg_risk_score"])
     nulls = " + ".join(f"count_if({c} IS NULL)" for c in [f.name for f in RAW_SCHEMA.fields])
-    o["quality_profile"] = final(
+    profile = (
         f"SELECT count(*) AS rows, 26 AS columns, CAST({nulls} AS BIGINT) AS missing_values, "
         f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM shipments)) AS duplicate_rows, "
         f"count(DISTINCT transport_mode) AS transport_modes, count(DISTINCT origin_port) AS origin_ports, "
         f"count(DISTINCT carrier_id) AS carriers, avg(CASE WHEN lower(is_delayed) IN ('true','1') THEN 1 "
-        f"WHEN lower(is_delayed) IN ('false','0') THEN 0 END) AS delay_rate FROM shipments", ["delay_rate"])
+        f"WHEN lower(is_delayed) IN ('false','0') THEN 0 END) AS delay_rate FROM shipments")
+    o["quality_profile"] = final(profile, ["delay_rate"])
+    o["quality_profile_gaps"] = final(
+        profile.replace("FROM shipments", "FROM gaps"), ["delay_rate"],
+        "gaps AS (SELECT * EXCLUDE (copy) REPLACE (CASE WHEN fog_density_index >= 2e-1 THEN transport_mode END AS transport_mode, "
+        "CASE WHEN precipitation_mm >= 3 THEN carrier_id END AS carrier_id, "
+        "CASE WHEN copy <> 2 THEN wind_speed_knots END AS wind_speed_knots) "
+        "FROM shipments, unnest(range(0, strike_alert_level + 1)) AS t(copy))")
     dcols = ["port_congestion_index", "weather_severity_score", "route_risk_score", "transit_delay_8h_bin"]
     dsel = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count({c}) AS count, {r3(f'avg({c})')} AS mean, {r3(f'stddev_samp({c})')} AS std, "

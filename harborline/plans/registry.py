@@ -201,6 +201,7 @@ def _q() -> dict[str, Query]:
     q["route_history_context"] = lambda s, sf: A.route_history_context(_plain(s, sf))
     q["route_metrics"] = lambda s, sf: A.route_metrics(_lean(s, sf))
     q["quality_profile"] = lambda s, sf: A.quality_profile(SRC.shipments(s, sf))
+    q["quality_profile_gaps"] = lambda s, sf: A.quality_profile(_with_gaps(SRC.shipments(s, sf)))
     q["describe_features"] = lambda s, sf: A.describe_features(_rows(s, sf))
     q["importance_by_group"] = lambda s, sf: A.importance_by_group(_importance(s, sf))
     q["importance_by_category"] = lambda s, sf: A.importance_by_category(_importance(s, sf))
@@ -359,6 +360,15 @@ def _clean_timestamp_text(spark, sf):
     return C.clean_timestamp(_rows(spark, sf).select("shipment_id", text.alias("timestamp")))
 
 
+def _with_gaps(raw):
+    """A24's input with missing values and repeated rows: every shipment once and again for each alert level; its third
+    row lacks the wind speed, so it equals none of the others."""
+    lacks = {"transport_mode": F.col("fog_density_index") < 0.2, "carrier_id": F.col("precipitation_mm") < 3,
+             "wind_speed_knots": F.col("__copy") == 2}
+    copies = raw.select("*", F.explode(F.sequence(F.lit(0), F.col("strike_alert_level"))).alias("__copy"))
+    return copies.select(*[F.when(~lacks[c], F.col(c)).alias(c) if c in lacks else F.col(c) for c in raw.columns])
+
+
 def _parse_replies(spark, sf):
     """X6 on replies that have headers: every conversation turn as the preamble and the text of the three sections, with
     further lines, indented headers, and a section that starts again every third turn."""

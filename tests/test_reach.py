@@ -7,7 +7,7 @@ from test_contract import TABLES, _canon
 
 
 @pytest.mark.parametrize("name", ["clean_timestamp_text", "parse_replies", "route_allocation_caps", "sample_rows", "column_info",
-                                  "history_appends", "corr_matrix", "importance_by_category"])
+                                  "history_appends", "quality_profile", "quality_profile_gaps", "corr_matrix", "importance_by_category"])
 def test_twin(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -23,6 +23,8 @@ def test_rows_are_not_trivial(spark, sf):
     replies = q["parse_replies"](spark, sf).collect()
     assert all(r.risk or r.recommendation for r in replies) and all(r.confidence for r in replies)
     assert any(r.risk.startswith("turn ") for r in replies) and all("act on turn" in r.recommendation for r in replies)
+    gaps = q["quality_profile_gaps"](spark, sf).first()
+    assert gaps.rows > gaps.duplicate_rows > 0 and gaps.missing_values > gaps.rows // 10
     shares = q["route_allocation_caps"](spark, sf).collect()
     assert {r.feasible for r in shares} == {0, 1}
     assert any(r.feasible and 0 < r.alloc < r.cap for r in shares) and any(r.feasible and r.alloc == 0 for r in shares)
