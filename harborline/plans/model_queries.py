@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.constants import GBT_SCRIPT, GRID, GRID_FIXED, RF_SCRIPT
+from harborline.constants import GBT_NOTEBOOK, GBT_SCRIPT, GRID, GRID_FIXED, RF_NOTEBOOK, RF_SCRIPT
 from harborline.operators import anomaly as AN
 from harborline.operators import models as M
 from harborline.operators import scoring as S
@@ -69,18 +69,23 @@ def _evaluate(kind, indexed_fn, feats_fn, spark, sf) -> DataFrame:
 _CV: dict[tuple, DataFrame] = {}
 
 
-def _cv(indexed_fn, feats_fn, spark, sf) -> DataFrame:
+#: Settings of both models and number of folds: of the script, and of the notebook.
+CV_FORMS = {"script": (GBT_SCRIPT, RF_SCRIPT, 3), "notebook": (GBT_NOTEBOOK, RF_NOTEBOOK, 5)}
+
+
+def _cv(indexed_fn, feats_fn, spark, sf, form="script") -> DataFrame:
     """Fold accuracies of both models (computed once per session; a small table)."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, form)
     if key not in _CV:
-        _CV[key] = _cv_run(indexed_fn, feats_fn, spark, sf)
+        _CV[key] = _cv_run(indexed_fn, feats_fn, spark, sf, form)
     return _CV[key]
 
 
-def _cv_run(indexed_fn, feats_fn, spark, sf) -> DataFrame:
+def _cv_run(indexed_fn, feats_fn, spark, sf, form="script") -> DataFrame:
     cols = _features(feats_fn, spark, sf)
-    g = M.boosted_cv(_binned(indexed_fn, feats_fn, spark, sf), GBT_SCRIPT, 3)
-    r = M.timeseries_cv(indexed_fn(spark, sf), lambda: M.forest(cols, **RF_SCRIPT), 3)
+    boosted, forest, k = CV_FORMS[form]
+    g = M.boosted_cv(_binned(indexed_fn, feats_fn, spark, sf), boosted, k)
+    r = M.timeseries_cv(indexed_fn(spark, sf), lambda: M.forest(cols, **forest), k)
     return (g.withColumn("model", F.lit("boosted")).unionByName(r.withColumn("model", F.lit("forest")))
             .select("model", "fold", "accuracy"))
 
@@ -92,7 +97,7 @@ def _grid(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     return M.refit_best(M.grid_search(data, GRID, 3, **GRID_FIXED), data, test, **GRID_FIXED)
 
 
-def _importance(indexed_fn, feats_fn, spark, sf) -> DataFrame:
+def model_importance(indexed_fn, feats_fn, spark, sf) -> DataFrame:
     """Permutation importance of the boosted model, stored once per session (a row a feature)."""
     key = (spark.sparkContext.applicationId, sf, "importance")
     if key not in _FITS:
@@ -140,7 +145,7 @@ def bundle_parts(indexed_fn, feats_fn, spark, sf) -> tuple[dict, dict]:
         "features": spark.createDataFrame(list(enumerate(data.features)), "slot int, feature string"),
         "encoders": reduce(DataFrame.unionByName, codes), "folds": _cv(indexed_fn, feats_fn, spark, sf),
         "curves": reduce(DataFrame.unionByName, curves), "confusion": reduce(DataFrame.unionByName, cells),
-        "impact": S.business_impact(scores["boosted"]), "importance": _importance(indexed_fn, feats_fn, spark, sf),
+        "impact": S.business_impact(scores["boosted"]), "importance": model_importance(indexed_fn, feats_fn, spark, sf),
     }
     info = {"isolation_psi": psi, "train_size": data.cut, "test_size": data.n - data.cut, "n_features": len(data.features)}
     for k, model in (("boosted", boosted), ("forest", forest)):
@@ -190,8 +195,10 @@ def model_queries(indexed_fn, feats_fn) -> dict:
         "train_forest": lambda s, sf: _evaluate("forest", indexed_fn, feats_fn, s, sf),
         "score_shipments": lambda s, sf: _score_all(indexed_fn, feats_fn, s, sf),
         "timeseries_cv": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf),
+        "timeseries_cv_notebook": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf, "notebook"),
+        "select_model_notebook": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf, "notebook")),
         "grid_search": lambda s, sf: _grid(indexed_fn, feats_fn, s, sf),
         "select_model": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf)),
-        "permutation_importance": lambda s, sf: _importance(indexed_fn, feats_fn, s, sf),
+        "permutation_importance": lambda s, sf: model_importance(indexed_fn, feats_fn, s, sf),
         "save_model": lambda s, sf: _save_load(indexed_fn, feats_fn, s, sf),
     }

@@ -54,6 +54,11 @@ def _eng(spark, sf):
     return FP.load_stage(spark, sf, "engineered")
 
 
+def _forest(spark, sf):
+    """Complete rows whose anomaly columns are the isolation forest's."""
+    return FP.load_stage(spark, sf, "plain", anomaly="iforest")
+
+
 def _cleaned(spark, sf):
     """Cleaned raw columns, read from the materialised per-row stage (no re-join)."""
     return _rows(spark, sf).select(*SRC.RAW_COLUMNS)
@@ -170,7 +175,7 @@ def _q() -> dict[str, Query]:
     q["top_ports_semi"] = lambda s, sf: A.top_ports_semi(_cleaned(s, sf)).select(
         "shipment_id", "origin_port", "median_waiting_time_hours")
     q["feature_group_lookup"] = lambda s, sf: A.feature_group_lookup(_importance(s, sf))
-    q["importance_align"] = _importance_align
+    q["importance_align"] = lambda s, sf: _importance_align(s, _importance(s, sf))
     q["broadcast_scalars"] = lambda s, sf: _lean(s, sf).select(
         "shipment_id", "strike_alert_level_norm", "geopolitical_risk_index_norm",
         "regional_fuel_price_index_norm", "weather_severity_score", "ai_delay_prob")
@@ -259,6 +264,20 @@ def _q() -> dict[str, Query]:
     from harborline.plans import model_queries as MQ
     q.update(MQ.model_queries(_indexed, _feats))
 
+    # the anomaly views over the isolation forest's flags, the importance views over the boosted model's importance
+    q["anomaly_lift_forest"] = lambda s, sf: A.anomaly_lift(_forest(s, sf))
+    q["anomaly_driver_diff_forest"] = lambda s, sf: A.anomaly_driver_diff(_forest(s, sf))
+    q["anomaly_histogram_forest"] = lambda s, sf: A.score_histogram(_forest(s, sf), "anomaly_score", "is_anomaly", 60)
+    importance = lambda s, sf: MQ.model_importance(_indexed, _feats, s, sf)
+    q["top_features_model"] = lambda s, sf: A.top_features(importance(s, sf))
+    q["feature_group_lookup_model"] = lambda s, sf: A.feature_group_lookup(importance(s, sf))
+    q["importance_align_model"] = lambda s, sf: _importance_align(s, importance(s, sf))
+    q["importance_by_group_model"] = lambda s, sf: A.importance_by_group(importance(s, sf))
+    q["importance_by_category_model"] = lambda s, sf: A.importance_by_category(importance(s, sf))
+    q["explain_contributions_model"] = lambda s, sf: X.explain_contributions(_lean(s, sf), importance(s, sf))
+    q["reroute_advice_model"] = lambda s, sf: X.reroute_advice(X.with_top_factor(
+        _scored(s, sf), importance(s, sf), FP.C.feature_list(_feats(s, sf).columns), default=0.0))
+
     # explanations and text
     q["explain_contributions"] = lambda s, sf: X.explain_contributions(_lean(s, sf), _importance(s, sf))
     q["feature_bar_pct"] = lambda s, sf: X.explain_contributions(_lean(s, sf), _importance(s, sf), top_n=8,
@@ -326,8 +345,8 @@ def _shipment_lookup(spark, sf):
                                                "risk_status")
 
 
-def _importance_align(spark, sf):
-    imp = A.top_features(_importance(spark, sf), 15)
+def _importance_align(spark, importance):
+    imp = A.top_features(importance, 15)
     names = spark.createDataFrame([(i, n) for i, n in enumerate(EXPLAIN_FEATURES)], "slot int, feature string")
     return names.join(imp, "feature", "left").select(
         "slot", "feature", F.coalesce(F.col("importance"), F.lit(0.001)).alias("importance"))
