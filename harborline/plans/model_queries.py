@@ -195,8 +195,6 @@ def model_queries(indexed_fn, feats_fn) -> dict:
         "train_forest": lambda s, sf: _evaluate("forest", indexed_fn, feats_fn, s, sf),
         "score_shipments": lambda s, sf: _score_all(indexed_fn, feats_fn, s, sf),
         "timeseries_cv": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf),
-        "timeseries_cv_notebook": lambda s, sf: _cv(indexed_fn, feats_fn, s, sf, "notebook"),
-        "select_model_notebook": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf, "notebook")),
         "grid_search": lambda s, sf: _grid(indexed_fn, feats_fn, s, sf),
         "select_model": lambda s, sf: M.select_model(_cv(indexed_fn, feats_fn, s, sf)),
         "permutation_importance": lambda s, sf: model_importance(indexed_fn, feats_fn, s, sf),
