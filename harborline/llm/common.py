@@ -231,3 +231,9 @@ def ensure_folder(spark: SparkSession, path: str) -> None:
     """Make an empty folder where nothing was written (a stream without rows)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -21,6 +21,8 @@ other columns are not read by ``groups`` and pass through ``keep`` as they were.
 from __future__ import annotations
 
 import hashlib
+import re
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harborline.llm import common as C
 
@@ -161,6 +164,66 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     return members.join(false_hits, "digest", "left_anti").drop("digest").unionByName(again)
 
 
+_PART = T.StructField("part", T.StringType())
+_SEEN = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
+                      T.StructField("digest", T.BinaryType()), T.StructField("text_sha256", T.StringType()), _PART])
+
+
+def _texts_at(spark, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, file, row, digest, norm) of the places (file, row, digest), read from their files."""
+    # names of input files, of which a scan of them holds the list as well
+    files = [unquote(r["file"]) for r in places.select("file").distinct().toLocalIterator()]
+    doc = located(spark.read.parquet(*files)).select("file", "row", F.col("doc").getField(id_col).cast("long").alias("doc_id"),
+                                                     F.col("doc").getField(text_col).alias("text"))
+    norm = C.ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")
+    return C.at_rows(doc, places, places.count()).select("doc_id", "file", "row", "digest", norm)
+
+
+def arrivals(docs: DataFrame, folder: str, part: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256,
+             bytes_per_trigger: int = 4 << 30) -> DataFrame:
+    """The rows of ``groups`` for documents that arrive in parts: copies are looked for in this part and all earlier ones.
+
+    ``folder`` (shared, the same at every call) keeps the digests, the state and the digests whose bytes differ, so earlier
+    texts are read again only where this part meets their digest. ``keep_id``, ``group_size`` and ``kept`` are as of this
+    call: a later part may bring a larger id. A part of the same name is read once; a call done again after a failure, or
+    later, goes on from what the folder holds. Files of earlier parts must stay, since locators point to them."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", part):
+        raise ValueError(f"a part's name has letters, digits, - and _ only: {part!r}")
+    spark = docs.sparkSession
+    seen, here = f"{folder}/digests", f"{folder}/digests/part={part}"
+    if not C.written(spark, here):
+        doc = located(docs).select("file", "row", F.col("doc").getField(id_col).cast("long").alias("doc_id"),
+                                   F.col("doc").getField(text_col).alias("text"))
+        C.map_arrow(doc, _digests, _DIGESTS, digest=digest, out=_DIGESTS_ARROW).write.mode("overwrite").parquet(here)
+    every = spark.read.schema(_SEEN).parquet(seen)
+    state = C.stored(stream_state(spark, seen, _SEEN, folder, bytes_per_trigger), "digest-state")
+    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    members = C.stored(every.where(F.col("part") == part).join(state, "digest").withColumn("kept", kept), "members")
+    hits = members.where("n > 1")
+    # this part's copies and the document that each of them would give way to
+    places = C.stored(hits.select("file", "row", "digest").union(hits.select("keep.file", "keep.row", "digest")).distinct(), "places")
+    differ = f"{folder}/differ/part={part}"
+    none = spark.createDataFrame([], "digest binary")
+    apart = _texts_at(spark, places, id_col, text_col).groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where(
+        F.col("a") != F.col("b")).select("digest") if places.limit(1).count() else none
+    apart.write.mode("overwrite").parquet(differ)
+    false_hits = C.stored(spark.read.schema(T.StructType([_SEEN["digest"], _PART])).parquet(f"{folder}/differ").select("digest").distinct(),
+                          "false-hits")
+    shown = ("doc_id", "file", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "kept", "text_sha256")
+    n_false = false_hits.count()
+    if not n_false:
+        return members.select(*shown)
+    false_hits = C.broadcast_if_small(false_hits, n_false, 64)
+    places = C.stored(every.join(false_hits, "digest", "left_semi").select("file", "row", "digest"), "places-apart")
+    if not places.limit(1).count():
+        return members.select(*shown)
+    texts = C.stored(_texts_at(spark, places, id_col, text_col), "texts-apart")
+    own = texts.groupBy("norm").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n"))
+    mine = members.join(false_hits, "digest", "left_semi").select("file", "row", "text_sha256")
+    again = texts.join(own, "norm").join(mine, ["file", "row"]).withColumn("kept", kept)
+    return members.join(false_hits, "digest", "left_anti").select(*shown).unionByName(again.select(*shown))
+
+
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents that stay, all columns as they were."""
     docs = on_files(docs)
