@@ -401,12 +401,10 @@ def describe_features(df: DataFrame, cols: Sequence[str] = DESCRIBE_COLS) -> Dat
 
 
 def distinct_values(df: DataFrame) -> DataFrame:
-    """Sorted distinct origins, destinations and modes in long form."""
-    parts = [df.select(F.lit(k).alias("kind"), F.col(c).alias("value")).distinct()
-             for k, c in (("origin_port", "origin_port"), ("destination_port", "destination_port"),
-                          ("transport_mode", "transport_mode"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.orderBy("kind", "value")
+    """Sorted distinct origins, destinations and modes in long form; one scan, folded to its distinct triples first."""
+    names = ("origin_port", "destination_port", "transport_mode")
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in names])
+    return df.select(*names).distinct().select(F.inline(pairs)).distinct().orderBy("kind", "value")
 
 
 def date_bounds(df: DataFrame) -> DataFrame:

@@ -51,3 +51,13 @@ def test_profile_of_one_hot_row_and_of_none(spark, sf):
 def test_the_profile_scans_its_source_once(spark, sf):
     plan = A.quality_profile(SRC.shipments(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_distinct_values_scan_their_rows_once(spark):
+    rows = [("a", "b", "Sea"), ("a", "b", "Sea"), ("b", "a", None), (None, "c", "Air")]
+    df = spark.createDataFrame(rows, "origin_port string, destination_port string, transport_mode string")
+    out = A.distinct_values(df)
+    assert [tuple(r) for r in out.collect()] == [
+        ("destination_port", "a"), ("destination_port", "b"), ("destination_port", "c"), ("origin_port", None), ("origin_port", "a"),
+        ("origin_port", "b"), ("transport_mode", None), ("transport_mode", "Air"), ("transport_mode", "Sea")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
