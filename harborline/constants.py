@@ -140,6 +140,24 @@ NARRATIVE_HIGH = ("HIGH RISK: Route risk score and congestion index are primary
 NARRATIVE_LOW_FMT = ("Shipment within acceptable risk bounds ({pct}% delay probability). Continue "
                      "standard monitoring.")
 
+# Advice (fixed values; the first rule with a part in the top factor's name holds): name parts, reason, action.
+ADVICE_RULES = (
+    (("transit_delay",), "→ ETA tracking shows %.2fd delay accumulation.",
+     "Action: Switch to express carrier or expedited air freight."),
+    (("strike", "labor"), "→ Strike disruption level %d detected at origin.",
+     "Action: Reroute via %s through inland rail corridor."),
+    (("cong", "berth", "vessel"), "→ Port congestion %.0f%% at %s.",
+     "Action: Divert to nearest hub port or schedule off-peak departure."),
+    (("weather", "wave", "wind"), "→ Weather severity score: %.2f.",
+     "Action: Delay departure 24h or switch to southern land corridor."),
+    (("geopolit", "risk"), "→ Geopolitical risk index: %.3f.",
+     "Action: Select alternative carrier and use Cape of Good Hope routing."),
+    (("hist", "delay_lag"), "→ Historical delay rate at %s: %.1f%%.",
+     "Action: Flag for priority handling; assign dedicated carrier account."),
+)
+ADVICE_OTHERWISE = ("→ Multi-factor risk elevation. Recommend full route review.",
+                    "Action: Escalate to supply chain operations team.")
+
 # Prompt template for the route analysis (placeholders in braces).
 ROUTE_PROMPT_TEMPLATE = """You are an expert supply chain analyst.
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.constants import (ANALYSIS_SECTIONS, EXPLAIN_FEATURES, NARRATIVE_CRITICAL, NARRATIVE_HIGH,
-                                  NARRATIVE_LOW_FMT, NO_PORT_DATA, NO_ROUTE_DATA, ROUTE_PROMPT_TEMPLATE)
+from harborline.constants import (ADVICE_OTHERWISE, ADVICE_RULES, ANALYSIS_SECTIONS, EXPLAIN_FEATURES, NARRATIVE_CRITICAL,
+                                  NARRATIVE_HIGH, NARRATIVE_LOW_FMT, NO_PORT_DATA, NO_ROUTE_DATA, ROUTE_PROMPT_TEMPLATE)
 
 
 def corr_importance(feats: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -89,33 +89,15 @@ def with_top_factor(scored: DataFrame, imp: DataFrame, names: Sequence[str] = EX
 def reroute_advice(explained: DataFrame, threshold: float = 0.5) -> DataFrame:
     """For shipments above ``threshold``, the first rule matching the top factor (``top_feature``)."""
     j = explained.where(F.col("ai_delay_prob") > threshold)
-    f = F.col("top_feature")
-    has = lambda *xs: _any(f, xs)
-    reason = (
-        F.when(has("transit_delay"), F.format_string("→ ETA tracking shows %.2fd delay accumulation.",
-                                                     _fmt_round(F.col("transit_delay_days_raw"), 2)))
-        .when(has("strike", "labor"), F.format_string("→ Strike disruption level %d detected at origin.",
-                                                      F.col("strike_alert_level").cast("int")))
-        .when(has("cong", "berth", "vessel"), F.format_string("→ Port congestion %.0f%% at %s.",
-                                                              F.rint(_canon(F.col("port_congestion_index"))),
-                                                              F.col("origin_port")))
-        .when(has("weather", "wave", "wind"), F.format_string("→ Weather severity score: %.2f.",
-                                                              _fmt_round(F.col("weather_severity_score"), 2)))
-        .when(has("geopolit", "risk"), F.format_string("→ Geopolitical risk index: %.3f.",
-                                                       _fmt_round(F.col("geopolitical_risk_index"), 3)))
-        .when(has("hist", "delay_lag"), F.format_string("→ Historical delay rate at %s: %.1f%%.",
-                                                        F.col("origin_port"),
-                                                        F.rint(_canon(F.col("orig_delay_hist")) * 100 * 10) / 10))
-        .otherwise(F.lit("→ Multi-factor risk elevation. Recommend full route review.")))
-    action = (
-        F.when(has("transit_delay"), F.lit("Action: Switch to express carrier or expedited air freight."))
-        .when(has("strike", "labor"), F.format_string("Action: Reroute via %s through inland rail corridor.",
-                                                      F.col("destination_port")))
-        .when(has("cong", "berth", "vessel"), F.lit("Action: Divert to nearest hub port or schedule off-peak departure."))
-        .when(has("weather", "wave", "wind"), F.lit("Action: Delay departure 24h or switch to southern land corridor."))
-        .when(has("geopolit", "risk"), F.lit("Action: Select alternative carrier and use Cape of Good Hope routing."))
-        .when(has("hist", "delay_lag"), F.lit("Action: Flag for priority handling; assign dedicated carrier account."))
-        .otherwise(F.lit("Action: Escalate to supply chain operations team.")))
+    shown = [[_fmt_round(F.col("transit_delay_days_raw"), 2)], [F.col("strike_alert_level").cast("int")],
+             [F.rint(_canon(F.col("port_congestion_index"))), F.col("origin_port")],
+             [_fmt_round(F.col("weather_severity_score"), 2)], [_fmt_round(F.col("geopolitical_risk_index"), 3)],
+             [F.col("origin_port"), F.rint(_canon(F.col("orig_delay_hist")) * 100 * 10) / 10]]  # values of each rule's reason
+    reason, action = map(F.lit, ADVICE_OTHERWISE)
+    for (parts, why, what), values in reversed(list(zip(ADVICE_RULES, shown, strict=True))):
+        holds = _any(F.col("top_feature"), parts)
+        reason = F.when(holds, F.format_string(why, *values)).otherwise(reason)
+        action = F.when(holds, F.format_string(what, F.col("destination_port")) if "%s" in what else F.lit(what)).otherwise(action)
     return j.select("shipment_id", "top_feature", reason.alias("reason"), action.alias("action"))
 
 
