@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from harborline.constants import REROUTE_THRESHOLD
+from harborline.operators.cleaning import route_risk_score
 from harborline.session import ensure_checkpoint_dir, ship_package
 
 EVENTS_SCHEMA = T.StructType([
@@ -158,6 +159,8 @@ def stream_score_alerts(spark: SparkSession, feature_dir: str, max_risk: float)
     rows = spark.readStream.schema(schema).parquet(feature_dir)
     if "__complete" in schema.fieldNames():  # engineered table: score complete rows only (P14)
         rows = rows.where(F.col("__complete"))
+    if "route_risk_score" not in schema.fieldNames():  # and what a row derives from itself is not stored
+        rows = route_risk_score(rows)
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("route_risk_score") / F.lit(max_risk + 1e-9)))
     alerts = (rows.select("shipment_id", "timestamp", "origin_port", "destination_port", p.alias("ai_delay_prob"))
               .where(F.col("ai_delay_prob") > REROUTE_THRESHOLD))
