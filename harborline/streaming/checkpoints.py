@@ -77,12 +77,26 @@ def stream_checkpoint_8h(spark: SparkSession, sf_dir: str, folder: str | None =
                       "avg_value", "events")
 
 
-LATEST_SCHEMA = T.StructType([
-    T.StructField("window_start", T.TimestampType()), T.StructField("user_id", T.LongType()),
-    T.StructField("last_ts", T.TimestampType()), T.StructField("last_event_id", T.LongType()),
-    T.StructField("last_type", T.StringType()), T.StructField("last_value", T.DoubleType()),
-])
 _WINDOW_MS = 8 * 3600 * 1000
+#: Groups that the users of a window are dealt to; part of the state's keys, so a job that goes on keeps it.
+USER_GROUPS = 64
+#: A group's log is folded to one row a user when it holds so many rows more than twice what the last folding left.
+LOG_ROWS = 1_000
+_EVENT = "user_id long, has_user boolean, ts_us long, event_id long, has_id boolean, event_type string, value double"
+_EVENT_COLUMNS = [c.split()[0] for c in _EVENT.split(", ")]
+LATEST_SCHEMA = f"end_ms long, {_EVENT}"
+
+
+def _latest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The latest event (ties: event id, none is least) of each user."""
+    return (rows.sort_values(["ts_us", "has_id", "event_id"], kind="stable")
+            .drop_duplicates(["user_id", "has_user"], keep="last"))
+
+
+def _values(rows: pd.DataFrame) -> list[tuple]:
+    """Rows as plain Python values, missing ones as None."""
+    plain = (rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in _EVENT_COLUMNS)
+    return list(zip(*plain))
 
 
 class LatestInWindow(StatefulProcessor):
@@ -90,54 +104,64 @@ class LatestInWindow(StatefulProcessor):
 
     A row is late, and dropped, exactly if its time is not after the watermark that its batch started with (the latest
     time of all batches before, less the delay); the window of any other row is open. That watermark is in the checkpoint,
-    so a batch that is done again drops the same rows. State is one entry for each open window of a user, with a timer at
-    its end, and goes when the timer fires."""
+    so a batch that is done again drops the same rows. The key is a window's end and a group of users; its state is a log
+    to which a batch adds its latest row of each user, so state is called a few times a group and batch, not a user. The
+    log is folded as it grows (``LOG_ROWS``), and goes when the timer at the window's end fires."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getMapState("last", "end long", "ts long, event_id long, event_type string, value double")
+        self.log = handle.getListState("log", _EVENT)
+        self.size = handle.getValueState("size", "rows long, folded long")
+
+    def _logged(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.log.get()), columns=_EVENT_COLUMNS)
 
     def handleInputRows(self, key, rows, timerValues):
-        (user,) = key
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        best: dict[int, tuple] = {}
+        best = None
         for part in rows:
-            for end, *event in zip(part["end_ms"], part["ts_us"], part["event_id"], part["event_type"], part["value"]):
-                event = tuple(None if v is None or v != v else v for v in event)
-                order = (event[0], event[1] is not None, event[1] or 0)
-                if event[0] > mark and (end not in best or order > best[end][0]):
-                    best[int(end)] = (order, event)
-        for end, (order, event) in best.items():
-            if self.last.containsKey((end,)):
-                ts, number, *_ = self.last.getValue((end,))
-                if (ts, number is not None, number or 0) >= order:
-                    continue
+            part = part.loc[part["ts_us"] > mark, _EVENT_COLUMNS]
+            if len(part):
+                best = _latest(part if best is None else pd.concat([best, part]))
+        if best is not None:
+            known = self.size.get()
+            n, folded = known if known else (0, 0)
+            if not known:
+                self.handle.registerTimer(int(key[0]))
+            if n + len(best) > 2 * folded + LOG_ROWS and n:
+                best = _latest(pd.concat([self._logged(), best]))
+                n, folded = 0, len(best)
+                self.log.put(_values(best))
             else:
-                self.handle.registerTimer(end)
-            self.last.updateValue((end,), (int(event[0]), None if event[1] is None else int(event[1]), event[2],
-                                           None if event[3] is None else float(event[3])))
+                self.log.appendList(_values(best))
+            self.size.update((n + len(best), folded))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        ts, number, kind, value = self.last.getValue((end,))
-        self.last.removeKey((end,))
-        row = (pd.Timestamp(end - _WINDOW_MS, unit="ms"), key[0], pd.Timestamp(ts, unit="us"), number, kind, value)
-        out = pd.DataFrame([row], columns=LATEST_SCHEMA.fieldNames())
-        yield out.astype({"user_id": "Int64", "last_event_id": "Int64", "last_value": "float64"})
+        out = _latest(self._logged())
+        self.log.clear()
+        self.size.clear()
+        out.insert(0, "end_ms", int(key[0]))
+        yield out.astype({"value": "float64"})
 
     def close(self) -> None:
         pass
 
 
 def latest_checkpoint(events: DataFrame) -> DataFrame:
-    """T2 (streaming plan): keyed by user, so a user's windows share their state and their timers."""
+    """T2 (streaming plan): keyed by window and group of users, whose state and timer they share."""
     at = F.unix_micros("ts")
     end = (F.floor(at / (_WINDOW_MS * 1000)) + 1) * _WINDOW_MS
+    # a missing number travels as 0 and a flag, since pandas would turn the whole column into doubles
     rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", WATERMARK).select(
-        "ts", "user_id", end.cast("long").alias("end_ms"), at.alias("ts_us"), "event_id", "event_type", "value")
+        "ts", end.cast("long").alias("end_ms"), F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).alias("users"),
+        F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNotNull().alias("has_user"), at.alias("ts_us"),
+        F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNotNull().alias("has_id"), "event_type", "value")
     ship_package(events.sparkSession)
-    return rows.groupBy("user_id").transformWithStateInPandas(LatestInWindow(), LATEST_SCHEMA, "append", "eventtime")
+    out = rows.groupBy("end_ms", "users").transformWithStateInPandas(LatestInWindow(), LATEST_SCHEMA, "append", "eventtime")
+    return out.select(F.timestamp_millis(F.col("end_ms") - _WINDOW_MS).alias("window_start"), F.when(F.col("has_user"), F.col("user_id")).alias("user_id"),
+                      F.timestamp_micros("ts_us").alias("last_ts"), F.when(F.col("has_id"), F.col("event_id")).alias("last_event_id"),
+                      F.col("event_type").alias("last_type"), F.col("value").alias("last_value"))
 
 
 def stream_latest_checkpoint(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:

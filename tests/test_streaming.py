@@ -86,3 +86,88 @@ def test_pairwise_nulls(spark):
     want = pdf.toPandas().corr()
     for (a, b), v in got.items():
         assert abs(v - want.loc[a, b]) < 1e-12
+
+
+class _FakeState:
+    """A state of one key, in memory; every call is counted."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.calls = [], None, [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            def get(self):
+                outer.calls += 1
+                return outer.value
+
+            def update(self, value):
+                outer.calls += 1
+                outer.value = value
+
+            def clear(self):
+                outer.calls += 1
+                outer.value = None
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows = self.rows + list(rows)
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+
+def test_latest_calls_state_by_group_and_folds_its_log(monkeypatch):
+    """State calls don't grow with the users; the log stays bounded by them, and its folding changes no result."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from harborline.streaming import checkpoints as T
+    monkeypatch.setattr(T, "LOG_ROWS", 50)
+    rng, state, job = random.Random(5), _FakeState(), T.LatestInWindow()
+    job.init(state)
+    mark, best, batches = 1000, {}, 12
+    for _ in range(batches):
+        rows = [(u, True, rng.randrange(900_000, 1_200_000), rng.randrange(50), True, rng.choice(["a", None]), rng.choice([1.5, None]))
+                for u in rng.choices(range(300), k=400)]
+        for r in rows:
+            if r[2] > mark * 1000 and (r[0] not in best or (r[2], r[3]) >= best[r[0]][2:4]):
+                best[r[0]] = r
+        parts = [pd.DataFrame(rows[i:i + 150], columns=T._EVENT_COLUMNS) for i in range(0, 400, 150)]
+        list(job.handleInputRows((2000, 3), iter(parts), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)))
+        assert len(state.rows) <= 2 * 300 + 50 + 300
+    assert state.timers == [2000] and state.calls <= 6 * batches
+    out = pd.concat(list(job.handleExpiredTimer((2000, 3), None, SimpleNamespace(getExpiryTimeInMs=lambda: 2000))))
+    assert sorted((r.user_id, r.ts_us, r.event_id) for r in out.itertuples()) == sorted((r[0], r[2], r[3]) for r in best.values())
+    assert state.rows == [] and state.value is None
+
+
+def test_latest_keeps_large_ids_beside_missing_ones(spark, tmp_path):
+    """Ids beyond 2**53 stay exact where others of the user are missing; an event without an id is less than one with."""
+    from harborline.streaming.checkpoints import stream_latest_checkpoint
+    d = tmp_path / "ev"
+    d.mkdir()
+    base, large = dt.datetime(2024, 1, 2, 1), 2**53 + 1
+    _write(d / "events1.parquet", [(large, base, 7, 1.0), (None, base, 7, 2.0), (None, base, large, None), (5, base, None, 3.0),
+                                   (9, base + dt.timedelta(days=3), 7, 4.0)])
+    out = {(r.user_id, r.last_event_id, r.last_value) for r in stream_latest_checkpoint(spark, str(d)).collect()}
+    assert out == {(7, large, 1.0), (large, None, None), (None, 5, 3.0)}
