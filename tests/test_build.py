@@ -27,3 +27,24 @@ def test_derived_columns_are_not_stored(spark, sf):
     assert set(HISTORY_COLUMNS) <= stored and "shipment_id" in stored
     assert not stored & {"distance_km", "transit_efficiency", "weather_severity_score", "fuel_x_risk", "anomaly_score", "hour"}
     assert FP.load_stage(spark, sf, "engineered").columns == [*rows.columns, *HISTORY_COLUMNS]
+
+
+def test_queries_without_history_store_none_of_it(spark, sf):
+    """A session of such queries stores no engineered table; the rows are the engineered table's complete ones."""
+    import __spark_entry__ as E
+    key = (spark.sparkContext.applicationId, sf, "zscore")
+    kept = FP._TABLES.pop(key, None)
+    try:
+        E.queries()["top_ports"](spark, sf).collect()
+        tables = FP._TABLES[key]
+        assert "engineered_files" not in tables and not set(HISTORY_COLUMNS) & set(tables["core"].columns)
+        path = [f for f in tables["core"].inputFiles()]
+        assert path and not set(HISTORY_COLUMNS) & set(spark.read.parquet(*path).columns)
+        before = tables["core"]
+        after = FP.load_stage(spark, sf, "plain").drop(*HISTORY_COLUMNS)
+        assert before.columns == after.columns and before.count() == after.count()
+        assert before.exceptAll(after).count() == 0
+        assert any("/engineered-" in f for f in FP.load_stage(spark, sf, "core").inputFiles())
+    finally:
+        if kept is not None:
+            FP._TABLES[key] = kept
