@@ -48,3 +48,25 @@ def test_queries_without_history_store_none_of_it(spark, sf):
     finally:
         if kept is not None:
             FP._TABLES[key] = kept
+
+
+def test_queries_that_read_rows_once_store_nothing(spark, sf):
+    """They read the given tables, not a stored copy; once a session has the rows stored, those, with the same values."""
+    import __spark_entry__ as E
+    names = ("haversine_km", "minmax_norm", "transit_delay_bin", "weather_severity")
+    key = (spark.sparkContext.applicationId, sf, "zscore")
+    kept = FP._TABLES.pop(key, None)
+    try:
+        derived = {n: E.queries()[n](spark, sf) for n in names}
+        assert key not in FP._TABLES
+        for df in derived.values():
+            assert all(f.startswith(f"file://{sf}/") or f.startswith(f"file:{sf}/") for f in df.inputFiles())
+        FP.load_stage(spark, sf, "rows")
+        for n, df in derived.items():
+            again = E.queries()[n](spark, sf)
+            assert any("/shipments-" in f for f in again.inputFiles())
+            assert df.columns == again.columns and df.count() == again.count()
+            assert df.exceptAll(again).count() == 0
+    finally:
+        if kept is not None:
+            FP._TABLES[key] = kept
