@@ -70,3 +70,39 @@ def test_queries_that_read_rows_once_store_nothing(spark, sf):
     finally:
         if kept is not None:
             FP._TABLES[key] = kept
+
+
+def test_core_sorts_and_stores_only_what_windows_read(spark, sf):
+    """Of the rows in time order a core build stores the columns of the windows; the wide rows are stored once."""
+    import os
+    import __spark_entry__ as E
+    from harborline.constants import LAG_COLS as LAGS
+    key = (spark.sparkContext.applicationId, sf, "zscore")
+    kept = FP._TABLES.pop(key, None)
+    folder = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "tables")
+    seen = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    try:
+        assert E.queries()["risk_narrative"](spark, sf).count() > 0
+        new = [n for n in set(os.listdir(folder)) - seen]
+        wide = [n for n in new if "visibility_km" in spark.read.parquet(os.path.join(folder, n)).columns]
+        assert [n.rsplit("-", 1)[0] for n in wide] == ["shipments"]
+        assert any(n.startswith("incomplete-") for n in new)
+        for n in new:
+            if n.startswith("ordered-") and LAGS[0] in spark.read.parquet(os.path.join(folder, n)).columns:
+                assert "shipment_id" not in spark.read.parquet(os.path.join(folder, n)).columns
+    finally:
+        if kept is not None:
+            FP._TABLES[key] = kept
+
+
+def test_rows_leave_by_their_bits(spark):
+    """Broadcast or shuffled, from the first and last bit of a bucket on, and where a bucket has none."""
+    from harborline.operators import cleaning as C
+    n, gone = 200_000, (F.col("r") % 32768).isin(0, 1, 7, 8, 32767) | F.col("r").between(65_000, 70_000) | (F.col("r") % 11 == 3)
+    # numbers as a write gives them: two partitions, the second from 2 ** 33 on
+    rows = spark.range(n).select(F.when(F.col("id") < 150_000, F.col("id")).otherwise(F.col("id") - 150_000 + (1 << 33)).alias("r"))
+    bits = materialize(C.row_bits(rows.where(gone & (F.col("r") < 100_000)), "r"), "bits")
+    want = rows.where(~(gone & (F.col("r") < 100_000)))
+    for small in (True, False):
+        got = C.without_row_bits(rows, "r", bits, small)
+        assert got.columns == ["r"] and got.count() == want.count() and got.exceptAll(want).count() == 0
