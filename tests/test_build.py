@@ -106,3 +106,24 @@ def test_rows_leave_by_their_bits(spark):
     for small in (True, False):
         got = C.without_row_bits(rows, "r", bits, small)
         assert got.columns == ["r"] and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def _stored(spark):
+    import os
+    folder = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "tables")
+    return {n for n in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+
+def test_arrivals_leave_only_their_ordered_parts(spark, sf):
+    """The rows that arrive are stored narrow and only until every part has its own; the result is there after that."""
+    import __spark_entry__ as E
+    key = (spark.sparkContext.applicationId, sf, "zscore")
+    kept, seen = FP._TABLES.pop(key, None), _stored(spark)
+    try:
+        out = E.queries()["history_appends"](spark, sf)
+        new = _stored(spark) - seen
+        assert key not in FP._TABLES and not any(n.startswith(("arrivals-", "shipments-")) for n in new)
+        assert out.count() == 6000 == out.select("shipment_id").distinct().count()
+    finally:
+        if kept is not None:
+            FP._TABLES[key] = kept
