@@ -127,3 +127,28 @@ def test_arrivals_leave_only_their_ordered_parts(spark, sf):
     finally:
         if kept is not None:
             FP._TABLES[key] = kept
+
+
+def test_importance_stores_no_history(spark, sf):
+    """From the rows and, apart, the history as it is computed; the same as from the stored feature table."""
+    import pytest
+    import __spark_entry__ as E
+    from harborline.plans import registry as R
+    key = (spark.sparkContext.applicationId, sf, "zscore")
+    kept, kept_imp, seen = FP._TABLES.pop(key, None), R._IMPORTANCE.pop(key[:2], None), _stored(spark)
+    try:
+        first = {r["feature"]: r["importance"] for r in R._importance(spark, sf).collect()}
+        cats = E.queries()["importance_by_category"](spark, sf).collect()
+        assert not any(n.startswith("engineered-") for n in _stored(spark) - seen)
+        FP.load_stage(spark, sf, "engineered")
+        R._IMPORTANCE.pop(key[:2])
+        again = {r["feature"]: r["importance"] for r in R._importance(spark, sf).collect()}
+        assert len(first) == 87 and first.keys() == again.keys()
+        for name, value in first.items():
+            assert value == pytest.approx(again[name], abs=1e-9), name
+        assert sorted(map(tuple, cats), key=str) == sorted(map(tuple, E.queries()["importance_by_category"](spark, sf).collect()), key=str)
+    finally:
+        if kept is not None:
+            FP._TABLES[key] = kept
+        if kept_imp is not None:
+            R._IMPORTANCE[key[:2]] = kept_imp
