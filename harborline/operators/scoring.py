@@ -55,9 +55,10 @@ def shipment_lookup(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("shipment_id"), "shipment_id", "left_semi")
 
 
-def chronological_index(df: DataFrame) -> DataFrame:
-    """Exact 0-based position in (timestamp, shipment_id) order, distributed."""
-    return with_position(df, ORDER, "pos")
+def chronological_index(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """Exact 0-based position in (timestamp, shipment_id) order, distributed; ``keep`` names the columns that are
+    still wanted after the sort (default: all)."""
+    return with_position(df, ORDER, "pos", keep=keep)
 
 
 def split_bounds(indexed: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:

@@ -1,12 +1,18 @@
 """The feature build: what is stored, and one shuffle of the rows for all history windows."""
 import re
+from contextlib import contextmanager
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from harborline.constants import LAG_COLS
 from harborline.operators.windows import HISTORY_COLUMNS, LABEL, POS, with_history
 from harborline.plans import features as FP
+from harborline.plans import registry as R
 from harborline.session import materialize
+from test_contract import TABLES, _canon
 
 
 def test_windows_share_one_shuffle_and_no_join_by_position(spark):
@@ -108,9 +114,36 @@ def test_rows_leave_by_their_bits(spark):
         assert got.columns == ["r"] and got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def _folder(spark):
+    import os
+    return os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "tables")
+
+
+def _duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+@contextmanager
+def _fresh(spark, sf):
+    """As a new session: nothing is built. Yields the names of the tables that are stored already."""
+    app = spark.sparkContext.applicationId
+    caches = (FP._TABLES, FP._HISTORY, R._POSITIONS, R._INDEXED, R._SCORED, R._IMPORTANCE)
+    kept = [{k: c.pop(k) for k in list(c) if k[:2] == (app, sf)} for c in caches]
+    try:
+        yield _stored(spark)
+    finally:
+        for c, k in zip(caches, kept):
+            for key in [x for x in c if x[:2] == (app, sf)]:
+                del c[key]
+            c.update(k)
+
+
 def _stored(spark):
     import os
-    folder = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "tables")
+    folder = _folder(spark)
     return {n for n in os.listdir(folder)} if os.path.isdir(folder) else set()
 
 
@@ -152,3 +185,30 @@ def test_importance_stores_no_history(spark, sf):
             FP._TABLES[key] = kept
         if kept_imp is not None:
             R._IMPORTANCE[key[:2]] = kept_imp
+
+
+@pytest.mark.parametrize("name", ["business_impact", "roc_auc", "classification_metrics", "confusion_matrix", "roc_curve", "thin_series",
+                                  "chronological_index", "chronological_split", "cv_fold_bounds", "sort_chronological", "label_encode",
+                                  "feature_select", "explain_contributions", "feature_bar_pct", "reroute_advice"])
+def test_query_stores_no_engineered_table(spark, sf, name):
+    """Queries that read no history column, or no row of it whole, store none; the rows are those of the oracle."""
+    with _fresh(spark, sf) as seen:
+        got = E.queries()[name](spark, sf).toPandas()
+        new = _stored(spark) - seen
+        assert not any(n.startswith(("engineered-", "indexed-", "positions-")) for n in new)
+        if name not in ("feature_select", "thin_series"):  # these stand in the oracle's sample of tools/check_oracle.py
+            assert _canon(got) == _canon(_duck(sf).execute(E.oracle_sql()[name]).df())
+        assert len(got)
+
+
+@pytest.mark.parametrize("name", ["hist_delay_rates", "rolling_delay_rates", "delay_lags", "signal_lags", "signal_rolls"])
+def test_history_queries_store_only_what_windows_read(spark, sf, name):
+    """The rows in time order are stored with what the windows of the query read; the history itself is computed as it is read."""
+    with _fresh(spark, sf) as seen:
+        got = _canon(E.queries()[name](spark, sf).toPandas())
+        new = _stored(spark) - seen
+        assert not any(n.startswith(("shipments-", "engineered-")) for n in new)
+        sorted_rows = [spark.read.parquet(f"{_folder(spark)}/{n}").columns for n in new if n.startswith("ordered-")]
+        assert len(sorted_rows) == 1 and "visibility_km" not in sorted_rows[0]
+        assert (LAG_COLS[0] in sorted_rows[0]) == name.startswith("signal")
+        assert got == _canon(_duck(sf).execute(E.oracle_sql()[name]).df())
