@@ -212,3 +212,18 @@ def test_history_queries_store_only_what_windows_read(spark, sf, name):
         assert len(sorted_rows) == 1 and "visibility_km" not in sorted_rows[0]
         assert (LAG_COLS[0] in sorted_rows[0]) == name.startswith("signal")
         assert got == _canon(_duck(sf).execute(E.oracle_sql()[name]).df())
+
+
+def test_history_in_part_equals_the_whole(spark):
+    """``wanted`` columns alone are worked out, to the same values; a chunk is a task of its own and no table is joined to the rows."""
+    rows = materialize(spark.range(500).select(
+        F.col("id").alias(POS), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.xxhash64("id") % 3 + 3).cast("int") % 3 + 1).alias("origin_port"),
+        F.lit("b").alias("destination_port"), F.concat(F.lit("c"), F.col("id") % 4).alias("carrier_id"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 2).cast("int")).alias(LABEL), *[(F.col("id") * 0.1 + k).alias(c) for k, c in enumerate(LAG_COLS)]), "rows")
+    whole = with_history(rows, 60)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert "Join" not in plan and "Window" not in plan
+    for some in (["route_delay_hist"], ["carrier_delay_30d", "delay_lag3"], [f"{LAG_COLS[0]}_roll14", f"{LAG_COLS[2]}_lag1"], ["port_delay_7d"]):
+        part = with_history(rows, 60, wanted=some)
+        assert part.columns == [*rows.columns, *some]
+        assert part.select(POS, *some).exceptAll(whole.select(POS, *some)).count() == 0
