@@ -1,6 +1,7 @@
 """X1 and X3 over all model features: DuckDB agreement, and the history rule."""
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from harborline.operators import cleaning as C
@@ -34,3 +35,35 @@ def test_top_factor_is_one_of_all_features(spark, sf):
     hist = scored.where("route_delay_hist > 0")
     rows = X.reroute_advice(X.with_top_factor(hist, imp, names, default=0.0)).collect()
     assert rows and all(r.top_feature == "route_delay_hist" and r.reason.startswith("→ Historical delay rate") for r in rows)
+
+
+def test_top_factors_by_rows(spark):
+    """Ties go to the earlier factor; missing values and columns come last, NaN first; as a plain loop over the rows has it."""
+    import math
+    import random
+    rng = random.Random(3)
+    names = [f"c{i}" for i in range(9)]
+    rows = [(str(r), *[rng.choice([None, 0.0, -0.0, 1.0, -2.0, 0.5, 2.0, math.nan if r % 50 == 0 else 1.5]) for _ in names[:-1]], None) for r in range(400)]
+    df = spark.createDataFrame(rows, "shipment_id string, " + ", ".join(f"{n} double" for n in names))
+    imp = spark.createDataFrame([(n, [1.0, -0.5, 0.0][i % 3]) for i, n in enumerate(names[:7])], "feature string, importance double")
+    weight = [[1.0, -0.5, 0.0][i % 3] if i < 7 else 0.001 for i in range(9)]
+    col = lambda i: [r[i + 1] for r in rows if r[i + 1] is not None]
+    most = [(math.nan if any(map(math.isnan, col(i))) else max(col(i))) if col(i) else None for i in range(9)]
+    got = {}
+    for r in X.explain_contributions(df, imp, names, top_n=5, with_pct=True).collect():
+        got.setdefault(r["shipment_id"], []).append(r)
+    assert len(got) == len(rows)
+    for r in rows:
+        key = []
+        for i in range(9):
+            v = r[i + 1]
+            c = None if v is None or most[i] is None else abs(v) / (most[i] + 1e-9) * weight[i]
+            key.append((0 if c is None else 2 if math.isnan(c) else 1, 0.0 if c is None or math.isnan(c) else c, -i))
+        want = sorted(range(9), key=lambda i: key[i], reverse=True)[:5]
+        mine = sorted(got[r[0]], key=lambda g: g["rank"])
+        assert [g["feature"] for g in mine] == [names[i] for i in want] and [g["rank"] for g in mine] == [1, 2, 3, 4, 5]
+    # as many factors as the notebook has, without a sort of them for each row: 93 microseconds a row before
+    wide = spark.range(0, 40_000, 1, 4).select(F.col("id").cast("string").alias("shipment_id"),
+                                               *[((F.col("id") * (k + 3)) % 101).cast("double").alias(f"w{k}") for k in range(87)])
+    plan = X.explain_contributions(wide, imp, [f"w{k}" for k in range(87)], default=0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "MapInArrow" in plan
