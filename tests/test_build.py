@@ -1,6 +1,7 @@
 """The feature build: what is stored, and one shuffle of the rows for all history windows."""
 import re
 from contextlib import contextmanager
+from functools import reduce
 
 import duckdb
 import pytest
@@ -227,3 +228,17 @@ def test_history_in_part_equals_the_whole(spark):
         part = with_history(rows, 60, wanted=some)
         assert part.columns == [*rows.columns, *some]
         assert part.select(POS, *some).exceptAll(whole.select(POS, *some)).count() == 0
+
+
+def test_history_told_by_a_flag(spark):
+    """Whether all history of a row is there, without the columns: null or NaN in any of them."""
+    rows = materialize(spark.range(300).select(
+        F.col("id").alias(POS), F.concat(F.lit("o"), F.col("id") % 3).alias("origin_port"), F.lit("b").alias("destination_port"),
+        F.lit("c").alias("carrier_id"), F.when(F.col("id") % 11 > 0, (F.col("id") % 2).cast("int")).alias(LABEL),
+        *[F.when(F.col("id") == 200 + k, F.lit(float("nan"))).when(F.col("id") != 130 + k, F.col("id") * 0.5).alias(c) for k, c in enumerate(LAG_COLS)]), "rows")
+    whole = with_history(rows, 70)
+    there = [~F.isnull(c) & (~F.isnan(c) if t == "double" else F.lit(True)) for c, t in whole.dtypes if c in HISTORY_COLUMNS]
+    want = whole.select(POS, reduce(lambda a, b: a & b, there).alias("told"))
+    got = with_history(rows, 70, keep=[POS], flag="told")
+    assert got.columns == [POS, "told"] and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert {r["told"] for r in got.select("told").distinct().collect()} == {True, False}
